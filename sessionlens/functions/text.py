@@ -66,11 +66,15 @@ def or_unknown(column: Column) -> Column:
     return F.coalesce(column, F.lit(UNKNOWN))
 
 
+def mask_secrets(text: Column) -> Column:
+    """Credential assignments, then long opaque runs, replaced by the mask."""
+    masked = F.regexp_replace(text, CREDENTIAL, f"$1={MASK}")
+    return F.regexp_replace(masked, OPAQUE_RUN, MASK)
+
+
 def redact_excerpt(text: Column, limit: int = EXCERPT_LIMIT) -> Column:
-    """First line with credentials and opaque runs masked, cut at ``limit`` characters."""
-    first_line = F.regexp_extract(text, r"^([^\r\n]*)", 1)
-    masked = F.regexp_replace(first_line, CREDENTIAL, r"$1=\[REDACTED\]")
-    masked = F.regexp_replace(masked, OPAQUE_RUN, r"\[REDACTED\]")
+    """First line with secrets masked, cut at ``limit`` characters: the form evidence is kept in."""
+    masked = mask_secrets(F.regexp_extract(text, r"^([^\r\n]*)", 1))
     return (F.when(F.length(masked) > limit,
                    F.concat(F.substring(masked, 1, limit), F.lit("…")))
             .otherwise(masked))

@@ -91,7 +91,8 @@ def dense_series(series: DataFrame) -> DataFrame:
     """The same series on an unbroken day axis; a day without data reads NULL, not 0."""
     axis = series.agg(F.min("day").cast("date").alias("a"), F.max("day").cast("date").alias("z")) \
         .where(F.col("a").isNotNull()) \
-        .select(F.explode(F.sequence("a", "z")).cast("string").alias("day"))
+        .select(F.explode(F.sequence("a", "z")).alias("day")) \
+        .select(F.col("day").cast("string"))
     return axis.join(series, "day", "left").orderBy("day")
 
 

@@ -18,6 +18,7 @@ from sessionlens.functions import shell as sh
 from sessionlens.functions import text as tx
 from sessionlens.operators.ordered import BLOCK_BITS, as_of
 from sessionlens.schema import FINDING_COLUMNS, FINDING_TYPES, HIGH, MEDIUM, STREAM
+from sessionlens.session import materialise
 
 STALE = "FS_STALE_VERSION"
 MISS = "FS_EDIT_NOT_FOUND"
@@ -108,7 +109,7 @@ def edit_miss(facts: Facts, bits: int = BLOCK_BITS) -> DataFrame:
               .withColumn("ranged", F.lit(True)))
     found = as_of(
         misses, earlier, [*STREAM, "abs_path"], at="seq", order="seq",
-        payload=F.struct("seq", "rank", "name", "error_code"), name="prev", bits=bits)
+        payloads={"prev": F.struct("seq", "rank", "name", "error_code")}, bits=bits)
     found = (found.withColumn("prev_seq", F.col("prev.seq"))
              .join(ranged.withColumnRenamed("seq", "prev_seq"), [*STREAM, "prev_seq"], "left"))
     prev = F.col("prev")
@@ -153,23 +154,25 @@ def stamp_guard(facts: Facts, bits: int = BLOCK_BITS) -> DataFrame:
 
     The earliest causal command inside the open interval (stale, refused) is the earliest one after
     the stale touch, provided it precedes the refusal: two as-of lookups, never a pair per command.
+    The first lookup's few rows are written before the second reads them more than once.
     A command that names the path absolutely names its basename too, so basename is the lookup key.
     """
     refused = facts.errors.where(F.col("code") == STALE)
     stale = as_of(refused, facts.touches, [*STREAM, "abs_path"], at="seq", order="seq",
-                  payload=F.struct("seq", "op"), name="stale", bits=bits)
+                  payloads={"stale": F.struct("seq", "op")}, bits=bits)
     stale = (stale.withColumn("base", tx.base_name(F.col("abs_path")))
              .withColumn("stale_seq", F.col("stale.seq")))
     named = facts.commands.select(
         *STREAM, "seq", "pos", "verb_class", "referenced", "excerpt",
         F.explode(F.array_distinct(F.transform("referenced", tx.base_name))).alias("base"))
-    causal = named.where(F.col("verb_class").isin("MUTATING", "VCS_RESTORE"))
-    keys = [*STREAM, "base"]
-    command = F.struct("seq", "pos", "verb_class", "referenced", "excerpt")
-    placed = as_of(stale, causal, keys, at="stale_seq", order="seq", payload=command,
-                   name="cause", forward=True, bits=bits)
-    placed = as_of(placed, named, keys, at="stale_seq", order="seq",
-                   payload=F.struct("seq", "pos"), name="mention", forward=True, bits=bits)
+    causal = F.col("verb_class").isin("MUTATING", "VCS_RESTORE")
+    # one lookup finds both: the earliest causal command and the earliest of any verb
+    placed = as_of(
+        materialise(stale, "stale_touches"), named, [*STREAM, "base"], at="stale_seq", order="seq",
+        payloads={"cause": F.when(causal, F.struct("seq", "pos", "verb_class", "referenced",
+                                                   "excerpt")),
+                  "mention": F.struct("seq", "pos")},
+        forward=True, bits=bits)
 
     inside = F.col("cause.seq") < F.col("seq")
     path, base = F.col("abs_path"), F.coalesce(tx.base_name(F.col("abs_path")), F.lit(""))
@@ -258,7 +261,7 @@ def shell_edit(facts: Facts, bits: int = BLOCK_BITS) -> DataFrame:
         .withColumn("named", F.explode(_candidate_names(F.col("candidate"))))
     )
     hits = as_of(asked, tracked, [*STREAM, "named"], at="seq", order="seq",
-                 payload=F.struct("seq", "abs_path"), name="touch", bits=bits) \
+                 payloads={"touch": F.struct("seq", "abs_path")}, bits=bits) \
         .where(F.col("touch").isNotNull())
     loose = F.startswith("named", F.lit("*"))
     best = (

@@ -95,7 +95,6 @@ def assemble_steps(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     is_open = F.col("opened_type") == "step/start"
     closes = F.col("next.type") == "assistant/message"
     ends = F.col("next.type") == "step/end"
-    still_open = is_open & F.col("next").isNull()
     last = F.max_by(
         F.struct(
             F.when(is_open, F.col("opened_time")).otherwise(F.col("next.time")).alias("start"),
@@ -108,7 +107,10 @@ def assemble_steps(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         epochs.groupBy(*STEP)
         .agg(last.alias("m"),
              F.max(F.when(ends, F.struct(F.col("next.pos"), F.col("next.time")))).alias("end"),
-             F.max(F.when(still_open, F.col("opened_time"))).alias("open_since"))
+             F.max(F.struct(F.col("next.pos"), F.col("next.type"), F.col("next.time")))
+             .alias("latest"))
+        .withColumn("open_since", F.when(F.col("latest.type") == "step/start",
+                                         F.col("latest.time")))
         .where(F.col("m").isNotNull() | F.col("open_since").isNotNull())
     )
     return step_timing(grouped)

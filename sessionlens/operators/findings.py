@@ -69,33 +69,25 @@ def finding_detail(t: Tables) -> DataFrame:
 def anchor_seq(findings: DataFrame, calls: DataFrame, bits: int = TIME_BLOCK_BITS) -> DataFrame:
     """Adds ``anchor``: a finding's own seq, else the greatest seq started by its time."""
     own = findings.where(F.col("seq").isNotNull()).withColumn("anchor", F.col("seq"))
-    # a running greatest seq per stream and start time makes "greatest so far" an as-of lookup
-    placed = _greatest_so_far(findings.where(F.col("seq").isNull()), calls, bits)
+    placed = as_of(findings.where(F.col("seq").isNull()), calls, STREAM, at="occurred_at",
+                   order="started_at", payloads={"anchor": F.col("seq")}, inclusive=True,
+                   greatest=True, bits=bits)
     return own.unionByName(placed)
 
 
-def _greatest_so_far(findings: DataFrame, calls: DataFrame, bits: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Nearly always the latest started call also has the greatest seq. To be exact when it has
-    # not, blocks of time keep their greatest seq, and so does every prefix inside a block.
-    timed = calls.where(F.col("started_at").isNotNull()) \
-        .groupBy(*STREAM, F.col("started_at").alias("at")).agg(F.max("seq").alias("seq")) \
-        .withColumn("block", F.shiftright("at", bits))
-    inside = (Window.partitionBy(*STREAM, "block").orderBy("at")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    prefixes = timed.withColumn("seq", F.max("seq").over(inside))
-    blocks = (Window.partitionBy(*STREAM).orderBy("block")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = (timed.groupBy(*STREAM, "block").agg(F.max("seq").alias("seq"))
-             .withColumn("seq", F.max("seq").over(blocks)))
-    asked = findings.withColumn("block", F.shiftright("occurred_at", bits))
-    near = as_of(asked, prefixes, [*STREAM, "block"], at="occurred_at", order="at",
-                 payload=F.struct("seq"), name="near", inclusive=True, bits=bits)
-    far = as_of(near, whole, STREAM, at="block", order="block", payload=F.struct("seq"),
-                name="far", bits=BLOCK_BITS)
-    return (far.withColumn("anchor", F.greatest("near.seq", "far.seq"))
-            .select(*findings.columns, "anchor"))
+def _placed(findings: DataFrame, numbered: DataFrame, calls: DataFrame, bits: int) -> DataFrame:
+    """Anchored findings with ``upto``, the number of the last call at or before the anchor.
+
+    0 when the stream's calls all come after it.
+    """
+    anchored = anchor_seq(findings, calls).where(F.col("anchor").isNotNull())
+    placed = as_of(anchored, numbered, STREAM, at="anchor", order="seq",
+                   payloads={"upto": F.col("number")}, inclusive=True, bits=bits)
+    return placed.withColumn("upto", F.coalesce("upto", F.lit(0)))
+
+
+def _numbers(window: int) -> Column:
+    return F.sequence(F.col("upto") - window, F.col("upto") + window)
 
 
 def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONTEXT,
@@ -108,15 +100,11 @@ def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT
     if not 1 <= window <= MAX_CONTEXT:
         raise ValueError(f"window must be between 1 and {MAX_CONTEXT}, was {window}")
     numbered = with_position(calls, STREAM, "seq", "number", bits)
-    anchored = anchor_seq(findings, calls).where(F.col("anchor").isNotNull())
-    placed = as_of(anchored, numbered, STREAM, at="anchor", order="seq",
-                   payload=F.struct("number"), name="upto", inclusive=True, bits=bits)
-    # an anchor before the first call still shows the calls after it
-    at = F.coalesce(F.col("upto.number"), F.lit(0))
+    placed = _placed(findings, numbered, calls, bits)
     wanted = placed.select(
         "id", *STREAM, "anchor", F.col("seq").alias("f_seq"), F.col("cause_seq").alias("f_cause"),
         F.col("stale_seq").alias("f_stale"),
-        F.explode(F.sequence(at - window, at + window)).alias("number"))
+        F.explode(_numbers(window)).alias("number"))
     shown = wanted.join(
         numbered.select(*STREAM, "number", "seq", "name", "error_code", "plane", "path_hint",
                         "duration_ms", "started_at"),
@@ -132,36 +120,32 @@ def neighbours(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONT
                bits: int = BLOCK_BITS) -> DataFrame:
     """The findings among the calls shown around each finding, the finding itself always there.
 
-    A window is bounded by call numbers, so each finding is filed under the calls its seq falls at
-    or between, and the windows ask for those numbers: an equi-join again.
+    A finding lies between two numbered calls (or at one). Windows ask for the lower number, so
+    this is an equi-join on (stream, number) like the context itself.
     """
     numbered = with_position(calls, STREAM, "seq", "number", bits)
-    spans = (finding_context(findings, calls, window, bits)
-             .groupBy("id", *STREAM)
-             .agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
-    number = numbered.select(*STREAM, "seq", "number")
-    spans = (spans.join(number.withColumnsRenamed({"seq": "first_seq", "number": "a"}),
-                        [*STREAM, "first_seq"])
-             .join(number.withColumnsRenamed({"seq": "last_seq", "number": "z"}),
-                   [*STREAM, "last_seq"])
-             .withColumn("number", F.explode(F.sequence("a", "z"))))
-    filed = as_of(findings.where(F.col("seq").isNotNull()), numbered, STREAM, at="seq",
-                  order="seq", payload=F.struct("number"), name="upto", inclusive=True, bits=bits)
-    filed = filed.select(
-        *STREAM, F.col("upto.number").alias("number"), F.col("id").alias("n_id"),
-        F.col("detector").alias("n_detector"), F.col("code").alias("n_code"),
-        F.col("category").alias("n_category"), F.col("seq").alias("n_seq"))
-    inside = (spans.join(filed, [*STREAM, "number"])
-              .where((F.col("n_seq") <= F.col("last_seq")))
-              .select("id", *STREAM, "n_id", "n_detector", "n_code", "n_category", "n_seq"))
-    # a stream without calls has no window: its findings at the same seq are the neighbours
-    alone = findings.where(F.col("seq").isNotNull()).join(spans.select("id").distinct(), "id",
-                                                          "left_anti")
-    alone = (alone.select("id", *STREAM, F.col("seq").alias("n_seq"))
-             .join(filed.drop("number"), [*STREAM, "n_seq"])
-             .select(*inside.columns))
-    itself = findings.select("id", *STREAM, F.col("id").alias("n_id"),
-                             F.col("detector").alias("n_detector"), F.col("code").alias("n_code"),
-                             F.col("category").alias("n_category"), F.col("seq").alias("n_seq"))
-    # the same neighbour can only repeat as the finding itself, so distinct keeps every other row
+    as_neighbour = [F.col("id").alias("n_id"), F.col("detector").alias("n_detector"),
+                    F.col("code").alias("n_code"), F.col("category").alias("n_category"),
+                    F.col("seq").alias("n_seq")]
+    filed = as_of(findings.where(F.col("seq").isNotNull()), numbered, STREAM, at="seq", order="seq",
+                  payloads={"next": F.struct(F.col("seq").alias("at"), "number")},
+                  inclusive=True, forward=True, bits=bits)
+    upper = F.col("next.number")
+    filed = filed.select(*STREAM, *as_neighbour, upper.alias("upper"),
+                         F.when(F.col("next.at") == F.col("seq"), upper).otherwise(upper - 1)
+                         .alias("number"))
+    placed = _placed(findings, numbered, calls, bits)
+    windows = placed.select("id", *STREAM, (F.col("upto") + window).alias("end"),
+                            F.explode(_numbers(window)).alias("number"))
+    found = ["id", *STREAM, "n_id", "n_detector", "n_code", "n_category", "n_seq"]
+    inside = (windows.where(F.col("number") >= 1)
+              .join(filed.where(F.col("number") >= 1), [*STREAM, "number"])
+              .where(F.col("upper") <= F.col("end")).select(*found))
+    # a stream without calls has no window: there the findings at the same seq are the neighbours
+    silent = (filed.where(F.col("upper").isNull())
+              .join(calls.select(*STREAM).distinct(), STREAM, "left_anti"))
+    alone = (silent.select(F.col("n_id").alias("id"), *STREAM, "n_seq")
+             .join(silent.drop("upper", "number"), [*STREAM, "n_seq"]).select(*found))
+    itself = findings.select("id", *STREAM, *as_neighbour)
+    # only the finding itself can come up twice, so distinct drops nothing else
     return inside.unionByName(alone).unionByName(itself).distinct()

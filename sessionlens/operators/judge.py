@@ -6,7 +6,7 @@ row per scope. The only action is the choice of the two cohorts when the caller
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import stats
@@ -45,79 +45,102 @@ def choose_pair(counters: DataFrame, baseline: str | None, candidate: str | None
 def session_rows(exposure: DataFrame, findings: DataFrame) -> DataFrame:
     """Per (cohort, session, scope, key): its findings ``x`` beside its observed calls ``n``.
 
-    The scopes are the grouping sets (), (plane), (code). A session's exposure rides along as an
-    aggregate over the union, so no join is needed.
+    The scopes are the grouping sets (), (plane), (code), and ``unit``: one row per session that
+    has an observed call or a finding. Everything is keyed by (cohort, session), so one shuffle of
+    already aggregated rows serves the exposure window and the sums; a session holds one row per
+    plane and code it met.
     """
-    scoped = (
-        findings.select("cohort", "session_id", "count", F.explode(F.array(
-            F.struct(F.lit("total").alias("scope"), F.lit("all").alias("key")),
-            F.struct(F.lit("plane").alias("scope"), F.col("plane").alias("key")),
-            F.struct(F.lit("code").alias("scope"), F.col("code").alias("key")))).alias("s"))
-        .groupBy("cohort", "session_id", "s.scope", "s.key").agg(F.sum("count").alias("x"))
-    )
-    calls = exposure.groupBy("cohort", "session_id").agg(F.sum("calls").alias("n"))
-    return (scoped.join(calls, ["cohort", "session_id"], "left")
-            .withColumn("n", F.coalesce("n", F.lit(0))))
+    none = F.lit(None).cast("string")
+    stacked = exposure.select("cohort", "session_id", none.alias("plane"), none.alias("code"),
+                              F.col("calls").alias("n"), F.lit(0).cast("bigint").alias("x")) \
+        .unionByName(findings.select("cohort", "session_id", "plane", "code",
+                                     F.lit(0).cast("bigint").alias("n"), F.col("count").alias("x")))
+    session = ["cohort", "session_id"]
+    exposed = stacked.withColumn("n", F.sum("n").over(Window.partitionBy(*session)))
+
+    def scope(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("scope"), key.alias("key"))
+
+    unit = scope("unit", F.lit("all"))
+    scopes = F.when(F.col("x") > 0, F.array(
+        unit, scope("total", F.lit("all")), scope("plane", F.col("plane")),
+        scope("code", F.col("code")))).otherwise(F.array(unit))
+    return (exposed.select(*session, "n", "x", F.explode(scopes).alias("s"))
+            .groupBy(*session, "s.scope", "s.key")
+            .agg(F.max("n").alias("n"), F.sum("x").alias("x")))
+
+
+def row_sums(exposure: DataFrame, findings: DataFrame) -> DataFrame:
+    """G1-G3 inputs: the sums of every (cohort, scope, key), units included, in one pass."""
+    x, n = F.col("x").cast("double"), F.col("n").cast("double")
+    return session_rows(exposure, findings).groupBy("cohort", "scope", "key").agg(
+        F.sum("x").alias("count"), F.count(F.lit(1)).alias("contributing"), F.max("x").alias("max_x"),
+        F.sum(x * x).alias("sum_x2"), F.sum(x * n).alias("sum_xn"),
+        F.sum("n").alias("sum_n"), F.sum(n * n).alias("sum_n2"))
 
 
 def judge_units(exposure: DataFrame, findings: DataFrame) -> DataFrame:
     """Per cohort its units (sessions with an observed call or a finding), N and sum of n^2."""
-    per_session = (
-        exposure.select("cohort", "session_id", F.col("calls").alias("n"))
-        .unionByName(findings.select("cohort", "session_id", F.lit(0).cast("bigint").alias("n")))
-        .groupBy("cohort", "session_id").agg(F.sum("n").alias("n"))
-    )
-    n = F.col("n").cast("double")
-    return per_session.groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("units"), F.sum("n").alias("calls"), F.sum(n * n).alias("sum_n2"))
+    return (row_sums(exposure, findings).where(F.col("scope") == "unit")
+            .select("cohort", F.col("contributing").alias("units"), F.col("sum_n").alias("calls"),
+                    "sum_n2"))
+
+
+def _of_units(column: str) -> Column:
+    # over one row per scope and key of a cohort: as many rows as there are codes
+    return F.max(F.when(F.col("scope") == "unit", F.col(column))).over(Window.partitionBy("cohort"))
 
 
 def sides(exposure: DataFrame, findings: DataFrame) -> DataFrame:
     """Per (cohort, scope, key) the counts and the dispersion of one side."""
-    x, n = F.col("x").cast("double"), F.col("n").cast("double")
-    sums = session_rows(exposure, findings).groupBy("cohort", "scope", "key").agg(
-        F.sum("x").alias("count"), F.count(F.lit(1)).alias("contributing"),
-        F.sum(x * x).alias("sum_x2"), F.sum(x * n).alias("sum_xn"), F.max("x").alias("max_x"))
-    units = judge_units(exposure, findings)
+    with_units = row_sums(exposure, findings).select(
+        "*", _of_units("contributing").alias("units"), _of_units("sum_n").alias("calls"),
+        _of_units("sum_n2").alias("unit_n2"))
     phi = stats.dispersion(
         F.col("units"), F.col("calls"), F.col("count"), F.col("sum_x2"), F.col("sum_xn"),
-        F.col("sum_n2"), F.col("max_x"))
-    return sums.join(units, "cohort").select(
-        "cohort", "scope", "key", "count", "contributing", "units", "calls", phi.alias("phi"))
+        F.col("unit_n2"), F.col("max_x"))
+    return with_units.select("cohort", "scope", "key", "count", "contributing", "units", "calls",
+                             phi.alias("phi"))
+
+
+def scope_sides(exposure: DataFrame, findings: DataFrame) -> DataFrame:
+    return sides(exposure, findings).where(F.col("scope") != "unit")
 
 
 def compare(exposure: DataFrame, findings: DataFrame, baseline: str, candidate: str) -> DataFrame:
     """One row per scope and key seen on either side, plus total and every plane."""
     pair = F.col("cohort").isin(baseline, candidate)
-    exposure, findings = exposure.where(pair), findings.where(pair)
-    units = judge_units(exposure, findings)
-    fixed = units.select("cohort", F.explode(F.array(
-        F.struct(F.lit("total").alias("scope"), F.lit("all").alias("key")),
-        *[F.struct(F.lit("plane").alias("scope"), F.lit(p).alias("key")) for p in PLANES],
-    )).alias("s")).select("cohort", "s.*")
-    rows = sides(exposure, findings).unionByName(fixed, allowMissingColumns=True)
-
-    def pick(cohort: str, column: str, empty):
-        return F.coalesce(F.max(F.when(F.col("cohort") == cohort, F.col(column))), F.lit(empty))
-
-    def side(cohort: str, name: str):
-        return F.struct(
-            pick(cohort, "count", 0).alias("count"), pick(cohort, "phi", 1.0).alias("phi"),
-            pick(cohort, "contributing", 0).alias("contributing")).alias(name)
-
-    # units and calls belong to the cohort, not to one of its rows: a side that never saw a code
-    # still has its sessions and calls
-    totals = units.agg(*[
-        F.struct(pick(cohort, "units", 0).alias("units"),
-                 pick(cohort, "calls", 0).alias("calls")).alias(name)
+    rows = sides(exposure.where(pair), findings.where(pair))
+    # the unit row of a side stands for the total and plane rows it may lack
+    blank = F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(key).alias("key"))
+        for scope, key in (("total", "all"), *(("plane", p) for p in PLANES))])
+    here = F.array(F.struct("scope", "key"))
+    is_unit = F.col("scope") == "unit"
+    spread_out = rows.select(
+        "cohort", "units", "calls", "phi", "count", "contributing", is_unit.alias("unit"),
+        F.explode(F.when(is_unit, blank).otherwise(here)).alias("s")) \
+        .select("*", "s.scope", "s.key")
+
+    def pick(cohort: str, column: str, empty, counted: bool = True) -> Column:
+        mine = F.col("cohort") == cohort
+        if counted:
+            mine = mine & ~F.col("unit")
+        return F.coalesce(F.max(F.when(mine, F.col(column))), F.lit(empty)).alias(column)
+
+    paired = spread_out.groupBy("scope", "key").agg(*[
+        F.struct(pick(cohort, "count", 0), pick(cohort, "phi", 1.0),
+                 pick(cohort, "contributing", 0), pick(cohort, "units", 0, False),
+                 pick(cohort, "calls", 0, False)).alias(name)
         for cohort, name in ((baseline, "b"), (candidate, "c"))])
-    both = totals.select(F.struct("b", "c").alias("t")).scalar()
-    paired = (rows.groupBy("scope", "key").agg(side(baseline, "b"), side(candidate, "c"))
-              .withColumn("t", both))
+    # units and calls belong to the cohort: a side that never met a code still has them. One row
+    # per scope and key, so this window spans as many rows as there are codes.
+    everywhere = Window.partitionBy(F.lit(0))
     for name in ("b", "c"):
-        whole = F.col(name)
-        paired = paired.withColumn(name, whole.withField("units", F.col(f"t.{name}.units"))
-                                   .withField("calls", F.col(f"t.{name}.calls")))
+        side = F.col(name)
+        for column in ("units", "calls"):
+            side = side.withField(column, F.max(F.col(f"{name}.{column}")).over(everywhere))
+        paired = paired.withColumn(name, side)
     b, c = F.col("b"), F.col("c")
     spread = paired.withColumn("spread", stats.spread(b, c))
     phi, df = F.col("spread.phi"), F.col("spread.df")

@@ -86,50 +86,60 @@ def with_position(rows: DataFrame, keys: list[str], order: str, name: str,
 
 
 def as_of(lookups: DataFrame, values: DataFrame, keys: list[str], at: str, order: str,
-          payload: Column, name: str, *, inclusive: bool = False, forward: bool = False,
-          bits: int = BLOCK_BITS) -> DataFrame:
-    """Add to each lookup the nearest value before its ``at`` (after it when ``forward``).
-
-    Strict unless ``inclusive``. Values that share an order value are reduced first: the greatest
-    ``payload`` stays (the least when ``forward``), so lead the payload struct with a tie-break.
-    Repeated lookups are looked up once and joined back on an equi-key, which AQE can split, so
-    neither ties nor repeats can grow a block. A NULL key or ``at`` finds nothing.
+          payloads: dict[str, Column], *, inclusive: bool = False, forward: bool = False,
+          greatest: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
+    """Add to each lookup, per payload, the nearest non-NULL value before its ``at``.
+
+    After it when ``forward``; the greatest of all earlier values when ``greatest``. Strict unless
+    ``inclusive``. Values that share an order value are reduced first: the greatest payload stays
+    (the least when ``forward``), so lead a payload struct with its tie-break. Repeated lookups are
+    looked up once and joined back on an equi-key, which AQE can split, so neither ties nor repeats
+    can grow a block. A NULL key or ``at`` finds nothing.
     """
     sign = F.lit(-1 if forward else 1).cast("bigint")
-    known = [F.col(k).isNotNull() for k in keys]
+    names = list(payloads)
+    asked_flag = "__asked"
 
     def present(df: DataFrame, column: str) -> DataFrame:
-        df = df.where(F.col(column).isNotNull())
-        for condition in known:
-            df = df.where(condition)
+        for k in (*keys, column):
+            df = df.where(F.col(k).isNotNull())
         return df.withColumn(_ORDER, F.col(column).cast("bigint") * sign)
 
+    def latest(name: str) -> Column:
+        return F.max(name) if greatest else F.last(name, ignorenulls=True)
+
     reduce_ties = F.min if forward else F.max
-    found = (present(values, order).groupBy(*keys, _ORDER)
-             .agg(reduce_ties(payload).alias(_VALUE)))
+    found = present(values, order).groupBy(*keys, _ORDER).agg(
+        *[reduce_ties(payload).alias(name) for name, payload in payloads.items()])
     asked = present(lookups, at).select(*keys, _ORDER).distinct()
-    marker = "__asked"
     rows = (
-        found.withColumn(marker, F.lit(False))
-        .unionByName(asked.withColumn(marker, F.lit(True)), allowMissingColumns=True)
+        found.withColumn(asked_flag, F.lit(False))
+        .unionByName(asked.withColumn(asked_flag, F.lit(True)), allowMissingColumns=True)
         .withColumn(_BLOCK, _block_of(F.col(_ORDER), bits))
     )
-    last_value = F.last(_VALUE, ignorenulls=True)
+
+    def of_block(name: str) -> Column:
+        if greatest:
+            return F.max(name)
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(_ORDER)))
+
+    any_value = F.lit(False)
+    for n in names:
+        any_value = any_value | F.col(n).isNotNull()
     carry = (
         rows.groupBy(*keys, _BLOCK)
-        .agg(F.max_by(_VALUE, F.when(F.col(_VALUE).isNotNull(), F.col(_ORDER))).alias(_VALUE),
-             F.max(marker).alias(marker))
-        .withColumn(_VALUE, last_value.over(_before(keys)))
-        .where(F.col(marker) & F.col(_VALUE).isNotNull())
-        .select(*keys, _BLOCK, _VALUE, _ahead(bits).alias(_ORDER), F.lit(False).alias(marker))
+        .agg(*[of_block(n).alias(n) for n in names], F.max(asked_flag).alias(asked_flag))
+        .select(*keys, _BLOCK, asked_flag, *[latest(n).over(_before(keys)).alias(n) for n in names])
+        .where(F.col(asked_flag) & any_value)
+        .select(*keys, _ahead(bits).alias(_ORDER), *names, F.lit(False).alias(asked_flag), _BLOCK)
     )
     scan = (Window.partitionBy(*keys, _BLOCK).orderBy(_ORDER)
             .rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     answered = (
         rows.unionByName(carry)
-        .withColumn(name, last_value.over(scan))
-        .where(F.col(marker) & F.col(name).isNotNull())
-        .select(*keys, (F.col(_ORDER) * sign).alias(at), name)
+        .select(*keys, (F.col(_ORDER) * sign).alias(at), asked_flag,
+                *[latest(n).over(scan).alias(n) for n in names])
+        .where(F.col(asked_flag) & any_value).drop(asked_flag)
     )
     typed = lookups.withColumn(at, F.col(at).cast("bigint"))
     return typed.join(answered, [*keys, at], "left")

@@ -8,7 +8,7 @@ table, so a lost executor costs the tasks it held and nothing upstream.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,23 @@ def derive_facts(events: DataFrame, config: IndexConfig = IndexConfig()) -> Fact
         retries=facts.retry_events(events), fatal_turns=facts.fatal_turns(events))
 
 
+def hold_facts(lazy: Facts, folder: str | None = None) -> Facts:
+    """The same facts with the tables several readers share written once.
+
+    Touches, retries and fatal turns stay projections of the event table they come from.
+    """
+    folder = folder or new_folder(lazy.sessions.sparkSession)
+    calls = materialise(lazy.calls, "call_facts", folder)
+    return replace(
+        lazy, calls=calls, errors=facts.error_events(calls),
+        sessions=materialise(lazy.sessions, "session_facts", folder),
+        commands=materialise(lazy.commands, "command_facts", folder))
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sessionlens-{uuid.uuid4().hex}"
+
+
 def with_header_ids(events: DataFrame) -> DataFrame:
     """Streams take the id their header names when it differs from the directory's.
 
@@ -71,20 +88,14 @@ def index_events(events: DataFrame, config: IndexConfig = IndexConfig(),
                  folder: str | None = None) -> tuple[Tables, DataFrame]:
     """Facts and findings of typed events, materialised; also the unmapped error codes."""
     spark = events.sparkSession
-    folder = folder or f"{shared_folder(spark)}/sessionlens-{uuid.uuid4().hex}"
-    lazy = derive_facts(events, config)
-    sessions = materialise(lazy.sessions, "session_facts", folder)
-    calls = materialise(lazy.calls, "call_facts", folder)
-    held = Facts(
-        sessions=sessions, calls=calls, errors=facts.error_events(calls), touches=lazy.touches,
-        commands=materialise(lazy.commands, "command_facts", folder),
-        retries=lazy.retries, fatal_turns=lazy.fatal_turns)
+    folder = folder or new_folder(spark)
+    held = hold_facts(derive_facts(events, config), folder)
     registry = None if config.detectors is None else list(config.detectors)
     found = materialise(detectors.detect_all(held, registry), "found", folder)
-    findings, evidence = detectors.finding_tables(found, sessions, config.store_evidence)
+    findings, evidence = detectors.finding_tables(found, held.sessions, config.store_evidence)
     tables = Tables(
-        sessions=sessions.drop("cwd"), steps=facts.assemble_steps(events),
-        calls=facts.tool_call_table(calls, sessions), findings=findings, evidence=evidence)
+        sessions=held.sessions.drop("cwd"), steps=facts.assemble_steps(events),
+        calls=facts.tool_call_table(held.calls, held.sessions), findings=findings, evidence=evidence)
     return tables, facts.unmapped_codes(held.errors, code_planes_df(spark))
 
 
@@ -95,7 +106,7 @@ def index_run(spark: SparkSession, root: str, path: str, config: IndexConfig = I
     With ``previous``, the path of an earlier run, its streams are replaced where the scan found
     them again and leave the tables where it did not.
     """
-    folder = f"{shared_folder(spark)}/sessionlens-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     parsed = materialise(logs.parse_events(logs.read_events(spark, root)), "events", folder)
     tables, unmapped = index_events(with_header_ids(logs.good_events(parsed)), config, folder)
     pruned = None

@@ -6,15 +6,13 @@ batches. A batch writes its own ``batch=<n>`` folders, so delivering it again re
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionlens.plans import sinks
-from sessionlens.plans.index import IndexConfig, index_events, with_header_ids
-from sessionlens.session import materialise, shared_folder
+from sessionlens.plans.index import IndexConfig, index_events, new_folder, with_header_ids
+from sessionlens.session import materialise
 from sessionlens.sources import logs
 
 
@@ -31,7 +29,7 @@ def index_stream(spark: SparkSession, root: str, path: str, checkpoint: str,
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        folder = f"{shared_folder(session)}/sessionlens-{uuid.uuid4().hex}"
+        folder = new_folder(session)
         lines = logs.lines_of(batch, F.col("file_path"))
         parsed = materialise(logs.parse_events(lines), "events", folder)
         tables, _ = index_events(with_header_ids(logs.good_events(parsed)), config, folder)
