@@ -32,12 +32,15 @@ def on_facts(name: str, sql: str | None = None, prefix: str = CALLS):
     return add
 
 
-def on_held_facts(name: str, sql: str | None = None, prefix: str = CALLS):
-    """For operators that read the calls more than once: written first, as an index run does."""
-    def add(fn):
-        on_log(name, sql, prefix)(lambda log: fn(hold_facts(derive_facts(log))))
-        return fn
-    return add
+def on_held_facts(*tables: str):
+    """For operators that read these tables more than once: written first, as an index run does."""
+    def on_held(name: str, sql: str | None = None, prefix: str = CALLS):
+        def add(fn):
+            on_log(name, sql, prefix)(
+                lambda log: fn(hold_facts(derive_facts(log), tables=tables)))
+            return fn
+        return add
+    return on_held
 
 
 # --- lines and parsing ------------------------------------------------------------------------
@@ -279,7 +282,7 @@ EDIT_MISS = finding_sql(
       WHEN 'MISS_AFTER_READ' THEN ' although the file was read at seq ' || prev
       WHEN 'MISS_AFTER_PARTIAL_READ' THEN '; the read at seq ' || prev || ' covered only part of the file'
       ELSE '; nothing in this stream had read the file' END""")
-on_detector("edit_miss", EDIT_MISS, MISSES, on_held_facts)(detectors.edit_miss)
+on_detector("edit_miss", EDIT_MISS, MISSES, on_held_facts("calls"))(detectors.edit_miss)
 
 STAMPS = CALLS + """,
 staled AS (SELECT e.*, regexp_extract(e.abs_path, '[^/]*$') AS base, (SELECT max(t.seq) FROM touches t
@@ -303,7 +306,7 @@ STAMP_GUARD = finding_sql(
       WHEN stale IS NULL THEN ' (stale touch not derivable); no prior file-tool operation on this path'
       WHEN mention IS NOT NULL THEN ' since seq ' || stale || '; in-window mention at seq ' || mention || ' is not a mutation'
       ELSE ' since seq ' || stale || '; no shell command in the window referenced this path' END""")
-on_detector("stamp_guard", STAMP_GUARD, STAMPS, on_held_facts)(detectors.stamp_guard)
+on_detector("stamp_guard", STAMP_GUARD, STAMPS, on_held_facts("calls", "commands"))(detectors.stamp_guard)
 
 EDITS = CALLS + """,
 edited AS (SELECT c.*, (SELECT max(t.seq) FROM touches t WHERE t.session_id = c.session_id AND t.source_file = c.source_file
@@ -322,7 +325,7 @@ SHELL_EDIT = finding_sql(
     stale_seq="touch", occurred_at="at_time",
     summary="""base || ' rewritten from the shell (' || lower(form) || ') at seq ' || seq
       || '; the file tools had tracked it since seq ' || touch || ' (' || CASE WHEN kind = 5 THEN 'basename' ELSE 'full' END || ' path match)'""")
-on_detector("shell_edit", SHELL_EDIT, EDITS, on_held_facts)(detectors.shell_edit)
+on_detector("shell_edit", SHELL_EDIT, EDITS, on_held_facts("calls", "commands"))(detectors.shell_edit)
 
 ALL_PREFIX = MISSES + STAMPS[len(CALLS):] + EDITS[len(CALLS):]
 UNION = " UNION ALL ".join(
@@ -333,7 +336,7 @@ UNION = " UNION ALL ".join(
 KINDS = ["detector", "plane", "category", "code", "detail", "confidence"]
 
 
-@on_held_facts("finding_union", f"""
+@on_held_facts("calls", "commands")("finding_union", f"""
 SELECT {', '.join(KINDS)}, count(*) AS count, CAST(sum(occurred_at) AS BIGINT) AS times FROM ({UNION})
 GROUP BY {', '.join(KINDS)}""", ALL_PREFIX)
 def _union(f: Facts):
@@ -341,7 +344,7 @@ def _union(f: Facts):
         F.count(F.lit(1)).alias("count"), F.sum("occurred_at").alias("times"))
 
 
-on_held_facts("evidence_rows", """
+on_held_facts("calls", "commands")("evidence_rows", """
 SELECT 'stamp-guard' AS detector, CASE WHEN kind = 1 THEN 'VCS_RESTORE' ELSE 'MUTATING' END AS verb_class, count(*) AS count
 FROM stamp WHERE cause IS NOT NULL GROUP BY 1, 2
 UNION ALL SELECT 'shell-edit', 'MUTATING', count(*) FROM shown""", ALL_PREFIX)(

@@ -135,6 +135,10 @@ chain AS (
   FROM ev_log WHERE type IN ('tool/call', 'tool/result') AND call_id IS NOT NULL
   WINDOW w AS (PARTITION BY session_id, source_file, call_id ORDER BY pos)
 ),
+waiting AS (
+  SELECT *, max(CASE WHEN type = 'tool/call' AND coalesce(prev_type, 'tool/result') = 'tool/result' THEN pos END)
+    OVER (PARTITION BY session_id, source_file, call_id) AS since FROM chain
+),
 results AS (
   SELECT r.session_id, r.source_file, r.pos, r.seq, r.turn, r.step, r.name, r.time, r.error_code, r.meta_path,
     CASE WHEN c.prev_type = 'tool/call' THEN c.prev_pos END AS call_pos
@@ -150,8 +154,8 @@ calls AS (
     coalesce(o.arg_path, r.meta_path) AS abs_path, o.pos IS NULL AS outcome_only
   FROM results r LEFT JOIN ev_log o ON r.call_pos = o.pos
   UNION ALL
-  SELECT session_id, source_file, 1, pos, turn, step, seq, name, time, NULL, NULL, NULL, arg_path, FALSE
-  FROM chain WHERE type = 'tool/call' AND next_type IS NULL
+  SELECT session_id, source_file, 1, since, turn, step, seq, name, time, NULL, NULL, NULL, arg_path, FALSE
+  FROM waiting WHERE type = 'tool/call' AND next_type IS NULL
 ),
 errors AS (
   SELECT session_id, source_file, seq, turn, step, CASE WHEN NOT outcome_only THEN name END AS tool,

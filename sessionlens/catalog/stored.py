@@ -363,7 +363,7 @@ SELECT event_id, k % 13 AS x1, event_id % 11 AS x2, 1.0 + (event_id % 17) / 4.0
   least(k % 13, k % 4) AS s1, least(event_id % 11, event_id % 5) AS s2,
   event_id % 6 AS u1, k % 7 AS u2, event_id % 23 AS n1, k % 29 AS n2 FROM ev""") + f"""
 SELECT event_id, {r_sql('phi', 6)} AS phi, CASE WHEN isinf(df) THEN -1.0 ELSE {r_sql('df', 6)} END AS df,
-  ratio, low, high, verdict FROM judged""")
+  ratio, low, CASE WHEN high < 1e6 THEN high END AS high, verdict FROM judged""")
 def _spread(spark, sf):
     k, i = F.col("k"), F.col("event_id")
     b = F.struct((k % 13).alias("count"), (F.lit(1.0) + (i % 17) / F.lit(4.0)).alias("phi"),
@@ -373,13 +373,15 @@ def _spread(spark, sf):
                  F.least(i % 11, i % 5).alias("contributing"), (k % 7).alias("units"),
                  (k % 29).alias("calls"))
     rows = src.event_rows(spark, sf).select("event_id", b.alias("b"), c.alias("c"))
-    rows = rows.withColumn("s", stats.spread(F.col("b"), F.col("c")))
-    rows = rows.withColumn("r", stats.rate_ratio(
-        F.col("b"), F.col("c"), F.col("s.phi"), F.col("s.df")))
-    df = F.col("s.df")
-    return rows.select("event_id", round_half_up(F.col("s.phi"), 6).alias("phi"),
+    rows = rows.select("event_id", stats.let(F.struct("b", "c"), lambda s: (
+        stats.compare_sides(s["b"], s["c"]))).alias("j"))
+    df = F.col("j.df")
+    return rows.select("event_id", round_half_up(F.col("j.phi"), 6).alias("phi"),
                        F.when(df == F.lit(stats.INFINITE), F.lit(-1.0))
-                       .otherwise(round_half_up(F.when(df < 1e300, df), 6)).alias("df"), "r.*")
+                       .otherwise(round_half_up(F.when(df < 1e300, df), 6)).alias("df"),
+                       "j.r.ratio", "j.r.low",
+                       # beyond that the last digits are the exp() implementation's
+                       F.when(F.col("j.r.high") < 1e6, F.col("j.r.high")).alias("high"), "j.r.verdict")
 
 
 # --- findings ---------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionlens.functions.text import round_half_up
+from sessionlens.functions.text import literal_array, round_half_up
 
 # Two-sided 95% quantiles, normal and Student's t for 1 to 30 degrees of freedom.
 Z_975 = 1.959963984540054
@@ -52,6 +52,15 @@ def dispersion(k: Column, total_calls: Column, sum_x: Column, sum_x2: Column, su
     return F.when(poisson, _d(1)).otherwise(F.greatest(_d(1), spread))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it.
+
+    Chained projections of struct fields are merged into one expression that repeats each step's
+    whole tree at every use; binding a step to a lambda variable keeps the expression small.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spread(base: Column, cand: Column) -> Column:
     """``struct(phi, df)``: the factor on the log ratio's variance, the degrees of freedom behind it.
 
@@ -59,54 +68,70 @@ def spread(base: Column, cand: Column) -> Column:
     at least as the other side does. The degrees of freedom follow Welch-Satterthwaite on the
     estimated excess, capped by the contributing sessions less the two rates.
     """
-    silent = (base["count"] == 0) & (cand["count"] == 0)
-    half = F.when((base["count"] == 0) | (cand["count"] == 0), 0.5).otherwise(0.0)
-    inv1 = F.try_divide(_d(1), F.nullif(base["count"] + half, _d(0)))
-    inv2 = F.try_divide(_d(1), F.nullif(cand["count"] + half, _d(0)))
-    shows1 = (base["count"] > 0) & (base["contributing"] >= 2)
-    shows2 = (cand["count"] > 0) & (cand["contributing"] >= 2)
+    x1, x2, s1, s2 = base["count"], cand["count"], base["contributing"], cand["contributing"]
+    silent = (x1 == 0) & (x2 == 0)
+    half = F.when((x1 == 0) | (x2 == 0), 0.5).otherwise(0.0)
     own1, own2 = F.greatest(_d(1), base["phi"]), F.greatest(_d(1), cand["phi"])
-    phi1 = F.when(~shows1 & shows2, F.greatest(own1, own2)).otherwise(own1)
-    phi2 = F.when(shows1 & ~shows2, F.greatest(own1, own2)).otherwise(own2)
-    variance = phi1 * inv1 + phi2 * inv2
-    phi = F.try_divide(variance, inv1 + inv2)
-
-    def share(excess: Column, contributing: Column) -> Column:
+    shows1, shows2 = (x1 > 0) & (s1 >= 2), (x2 > 0) & (s2 >= 2)
+    parts = F.struct(
+        F.when(~silent, _d(1) / (x1 + half)).alias("inv1"),
+        F.when(~silent, _d(1) / (x2 + half)).alias("inv2"),
+        F.when(~shows1 & shows2, F.greatest(own1, own2)).otherwise(own1).alias("phi1"),
+        F.when(shows1 & ~shows2, F.greatest(own1, own2)).otherwise(own2).alias("phi2"),
+        shows1.alias("shows1"), (shows1 & shows2).alias("both"))
+
+    def combined(p: Column) -> Column:
+        variance = p["phi1"] * p["inv1"] + p["phi2"] * p["inv2"]
+        return F.struct(variance.alias("variance"),
+                        (variance / (p["inv1"] + p["inv2"])).alias("phi"))
+
+    def share(excess: Column, contributing: Column, variance: Column) -> Column:
         # a side with one contributing session has no degree of freedom to divide by
         return (F.when(excess <= _d(1e-9) * variance, _d(0))
                 .when(contributing <= 1, _d(INFINITE))
                 .otherwise(excess * excess
                            / F.when(contributing > 1, contributing - 1).cast("double")))
 
-    owner = F.when(shows1, base["contributing"]).otherwise(cand["contributing"])
-    estimated = F.when(
-        shows1 & shows2,
-        share((phi1 - 1) * inv1, base["contributing"])
-        + share((phi2 - 1) * inv2, cand["contributing"]),
-    ).otherwise(share((phi - 1) * (inv1 + inv2), owner))
-    cap = base["contributing"] + cand["contributing"] - 2
-    welch = (F.when(estimated == 0, _d(INFINITE)).when(estimated == _d(INFINITE), _d(0))
-             .otherwise(F.try_divide(variance * variance, F.nullif(estimated, _d(0)))))
-    df = (F.when(silent, _d(INFINITE))
-          .when((cap < 1) | (base["units"] < 2) | (cand["units"] < 2), _d(0))
-          .otherwise(F.least(welch, cap.cast("double"))))
-    return F.struct(F.when(silent, _d(1)).otherwise(phi).alias("phi"), df.alias("df"))
+    def estimated(p: Column, v: Column) -> Column:
+        var = v["variance"]
+        separate = (share((p["phi1"] - 1) * p["inv1"], s1, var)
+                    + share((p["phi2"] - 1) * p["inv2"], s2, var))
+        # one phi serves both sides, so its excess is one estimate on its owner's sessions
+        shared = share((v["phi"] - 1) * (p["inv1"] + p["inv2"]),
+                       F.when(p["shows1"], s1).otherwise(s2), var)
+        return F.when(p["both"], separate).otherwise(shared)
+
+    cap = s1 + s2 - 2
+
+    def with_df(v: Column, e: Column) -> Column:
+        welch = (F.when(e == 0, _d(INFINITE)).when(e == _d(INFINITE), _d(0))
+                 .otherwise(F.try_divide(v["variance"] * v["variance"], F.nullif(e, _d(0)))))
+        df = (F.when(silent, _d(INFINITE))
+              .when((cap < 1) | (base["units"] < 2) | (cand["units"] < 2), _d(0))
+              .otherwise(F.least(welch, cap.cast("double"))))
+        return F.struct(F.when(silent, _d(1)).otherwise(v["phi"]).alias("phi"), df.alias("df"))
+
+    return let(parts, lambda p: let(combined(p), lambda v: let(
+        estimated(p, v), lambda e: with_df(v, e))))
 
 
 def t_quantile(df: Column) -> Column:
     """Two-sided 95% quantile; a fractional df rounds down, beyond the table Cornish-Fisher."""
-    unbounded = F.isnan(df) | (df == _d(INFINITE))
-    whole = F.greatest(_d(1), F.floor(F.least(df, _d(1e6))).cast("double"))
-    table = F.array(*[_d(q) for q in T_975])
+    table = literal_array(T_975)
     z = Z_975
-    beyond = (_d(z) + _d(z ** 3 + z) / (_d(4) * whole)
-              + _d(5 * z ** 5 + 16 * z ** 3 + 3 * z) / (_d(96) * whole * whole)
-              + _d(3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z)
-              / (_d(384) * whole * whole * whole))
-    return (F.when(df.isNull() | unbounded, _d(z))
-            .when(whole <= len(T_975),
-                  F.try_element_at(table, F.least(whole, _d(len(T_975))).cast("int")))
-            .otherwise(beyond))
+
+    def at(whole: Column) -> Column:
+        beyond = (_d(z) + _d(z ** 3 + z) / (_d(4) * whole)
+                  + _d(5 * z ** 5 + 16 * z ** 3 + 3 * z) / (_d(96) * whole * whole)
+                  + _d(3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z)
+                  / (_d(384) * whole * whole * whole))
+        return F.when(whole <= len(T_975),
+                      F.try_element_at(table, F.least(whole, _d(len(T_975))).cast("int"))) \
+            .otherwise(beyond)
+
+    unbounded = df.isNull() | F.isnan(df) | (df == _d(INFINITE))
+    whole = F.greatest(_d(1), F.floor(F.least(df, _d(1e6))).cast("double"))
+    return F.when(unbounded, _d(z)).otherwise(let(whole, at))
 
 
 def rate_ratio(base: Column, cand: Column, phi: Column, df: Column) -> Column:
@@ -115,20 +140,37 @@ def rate_ratio(base: Column, cand: Column, phi: Column, df: Column) -> Column:
     The verdict reads the unrounded interval, never the point estimate.
     """
     no_data = (base["calls"] <= 0) | (cand["calls"] <= 0)
-    silent = (base["count"] == 0) & (cand["count"] == 0)
-    half = F.when((base["count"] == 0) | (cand["count"] == 0), 0.5).otherwise(0.0)
-    usable = ~no_data & ~silent
-    x1 = F.when(usable, base["count"] + half)
-    x2 = F.when(usable, cand["count"] + half)
-    n1, n2 = F.when(usable, base["calls"].cast("double")), F.when(usable, cand["calls"].cast("double"))
-    log_ratio = F.ln((x2 / n2) / (x1 / n1))
-    se = F.sqrt(F.greatest(_d(1), phi) * (_d(1) / x1 + _d(1) / x2))
-    reach = F.when(df >= 1, t_quantile(df) * se)
-    low, high = F.exp(log_ratio - reach), F.exp(log_ratio + reach)
-    verdict = (F.when(no_data, "no-data").when(high < 1, "better").when(low > 1, "worse")
-               .otherwise("inconclusive"))
-    return F.struct(
-        round_half_up(F.exp(log_ratio), 3).alias("ratio"),
-        round_half_up(low, 3).alias("low"),
-        round_half_up(high, 3).alias("high"),
-        verdict.alias("verdict"))
+    x1, x2 = base["count"], cand["count"]
+    usable = ~no_data & ~((x1 == 0) & (x2 == 0))
+    half = F.when((x1 == 0) | (x2 == 0), 0.5).otherwise(0.0)
+    events = F.when(usable, F.struct(
+        (x1 + half).alias("x1"), (x2 + half).alias("x2"),
+        base["calls"].cast("double").alias("n1"), cand["calls"].cast("double").alias("n2")))
+
+    def interval(e: Column) -> Column:
+        log_ratio = F.ln((e["x2"] / e["n2"]) / (e["x1"] / e["n1"]))
+        se = F.sqrt(F.greatest(_d(1), phi) * (_d(1) / e["x1"] + _d(1) / e["x2"]))
+        return F.struct(log_ratio.alias("log"),
+                        F.when(df >= 1, t_quantile(df) * se).alias("reach"))
+
+    def bounds(i: Column) -> Column:
+        return F.struct(F.exp(i["log"]).alias("ratio"), F.exp(i["log"] - i["reach"]).alias("low"),
+                        F.exp(i["log"] + i["reach"]).alias("high"))
+
+    def told(b: Column) -> Column:
+        return F.struct(
+            round_half_up(b["ratio"], 3).alias("ratio"), round_half_up(b["low"], 3).alias("low"),
+            round_half_up(b["high"], 3).alias("high"),
+            F.when(no_data, "no-data").when(b["high"] < 1, "better").when(b["low"] > 1, "worse")
+            .otherwise("inconclusive").alias("verdict"))
+
+    return let(events, lambda e: let(interval(e), lambda i: let(bounds(i), told)))
+
+
+def compare_sides(base: Column, cand: Column) -> Column:
+    """The spread and the ratio of two sides in one struct, the spread computed once."""
+    def judged(s: Column) -> Column:
+        return F.struct(s["phi"].alias("phi"), s["df"].alias("df"),
+                        rate_ratio(base, cand, s["phi"], s["df"]).alias("r"))
+
+    return let(spread(base, cand), judged)

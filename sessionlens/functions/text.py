@@ -28,6 +28,24 @@ PATH_ARGUMENTS = ("file_path", "path", "notebook_path")
 RANGE_ARGUMENTS = ("offset", "limit", "start_line", "end_line", "lines")
 
 
+def literal(value) -> str:
+    """A constant as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def literal_array(values) -> Column:
+    """A constant array in one expression, instead of one call per element."""
+    return F.expr("array(" + ", ".join(map(literal, values)) + ")")
+
+
+def literal_map(table: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items()) + ")")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text.rlike(r"\S"), text)
 
@@ -57,9 +75,8 @@ def role_of(depth: Column) -> Column:
 
 def plane_of(code: Column) -> Column:
     """Plane of a tool error code; NULL stays NULL, an unlisted code takes the default."""
-    table = F.create_map(*[F.lit(x) for pair in CODE_PLANES.items() for x in pair])
-    return F.when(code.isNotNull(),
-                  F.coalesce(F.try_element_at(table, code), F.lit(DEFAULT_PLANE)))
+    return F.when(code.isNotNull(), F.coalesce(F.try_element_at(literal_map(CODE_PLANES), code),
+                                               F.lit(DEFAULT_PLANE)))
 
 
 def or_unknown(column: Column) -> Column:

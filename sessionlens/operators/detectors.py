@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions import shell as sh
 from sessionlens.functions import text as tx
+from sessionlens.operators import commands as command_job
+from sessionlens.operators import facts as facts_of
 from sessionlens.operators.ordered import BLOCK_BITS, as_of
 from sessionlens.schema import FINDING_COLUMNS, FINDING_TYPES, HIGH, MEDIUM, STREAM
 from sessionlens.session import materialise
@@ -25,17 +27,27 @@ MISS = "FS_EDIT_NOT_FOUND"
 FILE_TOOLS = ("read", "write", "edit")
 
 
-@dataclass(frozen=True)
 class Facts:
-    """The fact tables of a set of streams. ``calls`` still carries absolute paths and ``rank``."""
-
-    sessions: DataFrame
-    calls: DataFrame
-    errors: DataFrame
-    touches: DataFrame
-    commands: DataFrame
-    retries: DataFrame
-    fatal_turns: DataFrame
+    """The fact tables of a set of typed events, each planned when first asked for.
+
+    ``calls`` still carries absolute paths and ``rank``; a table may be replaced by a written copy.
+    """
+
+    def __init__(self, events: DataFrame, timeline: tuple[tuple[str, str], ...] = (),
+                 fallback_version: str = "unknown"):
+        self.events = events
+        self._timeline, self._fallback = list(timeline), fallback_version
+
+    sessions = cached_property(lambda self: facts_of.attribute_version(
+        facts_of.session_header(self.events), self._timeline, self._fallback))
+    calls = cached_property(lambda self: facts_of.pair_calls(self.events))
+    errors = cached_property(lambda self: facts_of.error_events(self.calls))
+    touches = cached_property(lambda self: facts_of.file_touches(self.events))
+    commands = cached_property(lambda self: command_job.classify(
+        command_job.shell_commands(self.events)))
+    retries = cached_property(lambda self: facts_of.retry_events(self.events))
+    fatal_turns = cached_property(lambda self: facts_of.fatal_turns(self.events))
+    steps = cached_property(lambda self: facts_of.assemble_steps(self.events))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions import stats
-from sessionlens.functions.text import round_half_up
+from sessionlens.functions.text import literal_array, round_half_up
 from sessionlens.operators.cohorts import (baseline_row, cohort_counters, require_cohort,
                                            session_exposure, session_findings)
 from sessionlens.operators.filters import NO_FILTER, Filter, Tables, UnknownFilterValue
@@ -142,16 +142,16 @@ def compare(exposure: DataFrame, findings: DataFrame, baseline: str, candidate:
             side = side.withField(column, F.max(F.col(f"{name}.{column}")).over(everywhere))
         paired = paired.withColumn(name, side)
     b, c = F.col("b"), F.col("c")
-    spread = paired.withColumn("spread", stats.spread(b, c))
-    phi, df = F.col("spread.phi"), F.col("spread.df")
-    judged = spread.withColumn("r", stats.rate_ratio(b, c, phi, df))
-    shown_df = F.when(F.col("r.ratio").isNotNull() & (df != F.lit(stats.INFINITE)), df)
+    judged = paired.select("scope", "key", "b", "c", stats.let(F.struct("b", "c"), lambda s: (
+        stats.compare_sides(s["b"], s["c"]))).alias("j"))
+    phi, df = F.col("j.phi"), F.col("j.df")
+    shown_df = F.when(F.col("j.r.ratio").isNotNull() & (df != F.lit(stats.INFINITE)), df)
     return judged.select(
         "scope", "key",
         b["count"].alias("baseline_count"), c["count"].alias("candidate_count"),
         stats.rate_per_k(b["count"], b["calls"]).alias("baseline_per_k"),
         stats.rate_per_k(c["count"], c["calls"]).alias("candidate_per_k"),
-        "r.ratio", "r.low", "r.high", "r.verdict",
+        "j.r.ratio", "j.r.low", "j.r.high", "j.r.verdict",
         b["contributing"].alias("baseline_sessions"),
         c["contributing"].alias("candidate_sessions"),
         round_half_up(phi, 2).alias("dispersion"),
@@ -160,8 +160,8 @@ def compare(exposure: DataFrame, findings: DataFrame, baseline: str, candidate:
 
 def row_order() -> list:
     """Total, then the planes in their fixed order, then codes by count and name."""
-    scope = F.array_position(F.array(*[F.lit(s) for s in SCOPES]), F.col("scope"))
-    plane = F.array_position(F.array(*[F.lit(p) for p in PLANES]), F.col("key"))
+    scope = F.array_position(literal_array(SCOPES), F.col("scope"))
+    plane = F.array_position(literal_array(PLANES), F.col("key"))
     is_code = F.col("scope") == "code"
     both = F.col("baseline_count") + F.col("candidate_count")
     return [scope, plane, F.when(is_code, -both), F.when(is_code, F.col("key"))]

@@ -8,12 +8,13 @@ table, so a lost executor costs the tasks it held and nothing upstream.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.operators import commands, detectors, facts
+from sessionlens.operators import detectors
+from sessionlens.operators import facts as facts_of
 from sessionlens.operators.detectors import Detector, Facts
 from sessionlens.operators.filters import Tables
 from sessionlens.plans import sinks
@@ -41,27 +42,16 @@ class IndexRun:
 
 def derive_facts(events: DataFrame, config: IndexConfig = IndexConfig()) -> Facts:
     """Lazy facts of a set of typed events."""
-    sessions = facts.attribute_version(
-        facts.session_header(events), list(config.timeline), config.fallback_version)
-    calls = facts.pair_calls(events)
-    return Facts(
-        sessions=sessions, calls=calls, errors=facts.error_events(calls),
-        touches=facts.file_touches(events),
-        commands=commands.classify(commands.shell_commands(events)),
-        retries=facts.retry_events(events), fatal_turns=facts.fatal_turns(events))
+    return Facts(events, config.timeline, config.fallback_version)
 
 
-def hold_facts(lazy: Facts, folder: str | None = None) -> Facts:
-    """The same facts with the tables several readers share written once.
-
-    Touches, retries and fatal turns stay projections of the event table they come from.
-    """
-    folder = folder or new_folder(lazy.sessions.sparkSession)
-    calls = materialise(lazy.calls, "call_facts", folder)
-    return replace(
-        lazy, calls=calls, errors=facts.error_events(calls),
-        sessions=materialise(lazy.sessions, "session_facts", folder),
-        commands=materialise(lazy.commands, "command_facts", folder))
+def hold_facts(facts: Facts, folder: str | None = None,
+               tables: tuple[str, ...] = ("sessions", "calls", "commands")) -> Facts:
+    """Write the tables that several readers share, once; the rest stay projections of events."""
+    folder = folder or new_folder(facts.events.sparkSession)
+    for name in tables:
+        setattr(facts, name, materialise(getattr(facts, name), f"{name}_facts", folder))
+    return facts
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -94,9 +84,9 @@ def index_events(events: DataFrame, config: IndexConfig = IndexConfig(),
     found = materialise(detectors.detect_all(held, registry), "found", folder)
     findings, evidence = detectors.finding_tables(found, held.sessions, config.store_evidence)
     tables = Tables(
-        sessions=held.sessions.drop("cwd"), steps=facts.assemble_steps(events),
-        calls=facts.tool_call_table(held.calls, held.sessions), findings=findings, evidence=evidence)
-    return tables, facts.unmapped_codes(held.errors, code_planes_df(spark))
+        sessions=held.sessions.drop("cwd"), steps=held.steps,
+        calls=facts_of.tool_call_table(held.calls, held.sessions), findings=findings, evidence=evidence)
+    return tables, facts_of.unmapped_codes(held.errors, code_planes_df(spark))
 
 
 def index_run(spark: SparkSession, root: str, path: str, config: IndexConfig = IndexConfig(),

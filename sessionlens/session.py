@@ -15,7 +15,8 @@ def build_session(master: str | None = None, app_name: str = "sessionlens") -> S
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # call-site capture costs a JVM round trip per column expression while a plan is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -14,11 +14,10 @@ FILE_GLOB = "{" + ",".join(CONVENTIONS) + "}"
 
 def _stream_columns(path: Column) -> list[Column]:
     parts = F.split(path, "/")
-    table = F.create_map(*[F.lit(x) for pair in CONVENTIONS.items() for x in pair])
     named = [F.coalesce(F.try_element_at(parts, F.lit(-i)), F.lit("unknown")) for i in (1, 2, 3)]
     return [F.url_decode(named[1]).alias("session_id"), named[0].alias("source_file"),
             F.url_decode(named[2]).alias("project_slug"),
-            F.try_element_at(table, named[0]).alias("schema")]
+            F.try_element_at(tx.literal_map(CONVENTIONS), named[0]).alias("schema")]
 
 
 def scan_streams(spark: SparkSession, root: str) -> DataFrame:

@@ -11,12 +11,13 @@ of the session table.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.functions import text as tx
 from sessionlens.operators.facts import attribute_version
-from sessionlens.operators.filters import Tables
 from sessionlens.schema import EVENT_COLUMNS, STREAM
 
 TIMELINE = [("2024-01-01T06:00:00Z", "v1"), ("2024-01-01T18:00:00Z", "v2")]
@@ -32,8 +33,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def pick(index: Column, values: list) -> Column:
     """The value at a row's index; an absent value is NULL."""
-    return F.try_element_at(F.array(*[F.lit(v) for v in values]),
-                            (index % len(values) + 1).cast("int"))
+    return F.try_element_at(tx.literal_array(values), (index % len(values) + 1).cast("int"))
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +145,21 @@ def stored_evidence(e: DataFrame) -> DataFrame:
             "excerpt_redacted"))
 
 
-def stored_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    e = event_rows(spark, sf_dir)
-    return Tables(stored_sessions(e), stored_steps(e), stored_calls(e), stored_findings(e),
-                  stored_evidence(e))
+class StoredTables:
+    """The five tables over ``events``, each planned only when a question asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._events = event_rows(spark, sf_dir)
+
+    sessions = cached_property(lambda self: stored_sessions(self._events))
+    steps = cached_property(lambda self: stored_steps(self._events))
+    calls = cached_property(lambda self: stored_calls(self._events))
+    findings = cached_property(lambda self: stored_findings(self._events))
+    evidence = cached_property(lambda self: stored_evidence(self._events))
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> StoredTables:
+    return StoredTables(spark, sf_dir)
 
 
 # --- the event log view -----------------------------------------------------------------------
@@ -176,9 +187,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed log events: an activity line and a housekeeping line per row of ``events``."""
     k, user, at = F.col("k"), F.col("user_id"), F.col("event_id")
     lines = event_rows(spark, sf_dir).withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
-    activity = F.create_map(*[F.lit(x) for x in (
-        "signup", "step/start", "view", "assistant/chunk", "purchase", "assistant/message",
-        "click", "tool/call", "error", "tool/result")])
+    activity = tx.literal_map({
+        "signup": "step/start", "view": "assistant/chunk", "purchase": "assistant/message",
+        "click": "tool/call", "error": "tool/result"})
     housekeeping = pick(at % 7, ["step/end", "llm/retry", "turn/end", "session",
                                  "request/context", "tool/call", "tool/call"])
     first = F.col("line") == 0
