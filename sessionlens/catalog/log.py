@@ -11,6 +11,7 @@ from sessionlens.operators import commands, detectors, facts
 from sessionlens.operators.detectors import Facts
 from sessionlens.plans.index import derive_facts, hold_facts
 from sessionlens.schema import STREAM
+from sessionlens.session import materialise
 from sessionlens.sources import logs
 from sessionlens.sources import tables as src
 
@@ -33,11 +34,12 @@ def on_facts(name: str, sql: str | None = None, prefix: str = CALLS):
 
 
 def on_held_facts(*tables: str):
-    """For operators that read these tables more than once: written first, as an index run does."""
+    """For operators that read these tables more than once: events and tables are written first,
+    as an index run does."""
     def on_held(name: str, sql: str | None = None, prefix: str = CALLS):
         def add(fn):
-            on_log(name, sql, prefix)(
-                lambda log: fn(hold_facts(derive_facts(log), tables=tables)))
+            on_log(name, sql, prefix)(lambda log: fn(
+                hold_facts(derive_facts(materialise(log, "events")), tables=tables)))
             return fn
         return add
     return on_held
@@ -54,7 +56,10 @@ SELECT type, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, CAST(sum(time) AS
   count(*) FILTER (type = 'turn/end' AND k % 4 IN (0, 2)) AS details
 FROM ev_log WHERE pos % 97 <> 0 GROUP BY type""", LOG)
 def _parse(log):
-    parsed = logs.good_events(logs.parse_events(src.log_lines(log)))
+    # the lines are written as the log files would be, the parse as an index run does: left lazy,
+    # each reference to a line would render it again and a filter on the parse would parse again
+    lines = materialise(src.log_lines(log), "lines")
+    parsed = logs.good_events(materialise(logs.parse_events(lines), "events"))
 
     def filled(column: str):
         return F.count(column)
@@ -137,7 +142,7 @@ on_log("chunk_window", """
 SELECT session_id, source_file, t AS turn, s AS step, bp AS opened_pos, first AS chunk_first, last AS chunk_last
 FROM chunks""", STEPS)(
     lambda log: facts.step_epochs(log)
-    .where((F.col("opened_type") == "step/start") & F.col("chunk_first").isNotNull())
+    .where(F.col("opened_open") & F.col("chunk_first").isNotNull())
     .select(*STREAM, "turn", "step", "opened_pos", "chunk_first", "chunk_last"))
 
 # --- calls ------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from sessionlens.schema import CODE_PLANES, DEFAULT_PLANE, UNKNOWN
 
 # Credential words and the length from which a token counts as opaque.
 CREDENTIAL = (
-    r"(?i)(?<![A-Za-z0-9_])"
+    r"(?i)(?=[abpst])(?<![A-Za-z0-9_])"  # the first look only skips hopeless positions fast
     r"(token|secret|password|passwd|api[_-]?key|authorization|bearer)"
     r"(?![A-Za-z0-9_])\s*[=:]?\s*\S+"
 )

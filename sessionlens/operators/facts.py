@@ -20,30 +20,40 @@ STEP = [*STREAM, "turn", "step"]
 
 # --- session ----------------------------------------------------------------------------------
 
+def stream_ends(events: DataFrame) -> DataFrame:
+    """D3: the time of each stream's last line, of any type.
+
+    The one aggregate over every line: fixed-width values and keys that are functions of the
+    stream, so it hashes and combines map-side down to a row per stream and task.
+    """
+    return events.groupBy(*STREAM, "project_slug", "schema").agg(
+        F.max_by("time", "pos").alias("ended_at"))
+
+
 def session_header(events: DataFrame) -> DataFrame:
-    """Everything a session row needs, one aggregate per stream: D1 header (last line wins, NULLs
-    included), D2 last context, D3 end time, D5 fatal turns."""
+    """D1 header (the last line wins, NULLs included), D2 last context, D3 end, D5 fatal turns."""
     header = F.col("type") == "session"
     context = F.col("type") == "request/context"
     fatal = (F.col("type") == "turn/end") & (F.col("reason_kind") == "error")
-    return (
-        events.groupBy(*STREAM)
-        .agg(F.first("project_slug").alias("project_slug"),
-             F.first("schema").alias("schema"),
-             F.max_by(F.struct("header_id", "cwd", "agent_preset", "delegation_depth",
+    declared = (
+        events.where(header | context | fatal).groupBy(*STREAM)
+        .agg(F.max_by(F.struct("header_id", "cwd", "agent_preset", "delegation_depth",
                                F.coalesce("created_at", "time").alias("started_at")),
                       F.when(header, F.col("pos"))).alias("h"),
              F.max_by(F.struct("model", "provider", "context_window"),
                       F.when(context, F.col("pos"))).alias("c"),
-             F.max_by("time", "pos").alias("ended_at"),
              F.count_if(fatal).cast("int").alias("fatal_turns"))
+    )
+    return (
+        stream_ends(events).join(declared, STREAM, "left")
         .select(*STREAM, F.coalesce("h.header_id", "session_id").alias("id"),
                 "project_slug", "schema",
                 F.coalesce(F.nullif("h.started_at", F.lit(0)), F.lit(1)).cast("bigint")
                 .alias("started_at"),
                 "ended_at", "h.agent_preset", "h.delegation_depth",
                 "c.model", "c.provider", tx.role_of(F.col("h.delegation_depth")).alias("role"),
-                "c.context_window", "fatal_turns", "h.cwd")
+                "c.context_window", F.coalesce("fatal_turns", F.lit(0)).alias("fatal_turns"),
+                "h.cwd")
     )
 
 
@@ -62,8 +72,8 @@ BOUNDARIES = ("step/start", "assistant/message", "step/end")
 def step_epochs(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per stretch between two boundary events of a step, with the chunk window inside.
 
-    ``opened`` is the boundary a stretch follows, ``next`` the one that ends it. A stretch opened by
-    ``step/start`` is an open step, so its chunks count; in any other stretch they do not.
+    ``opened_*`` is the boundary a stretch follows, ``next`` the one that ends it. Only a stretch
+    after ``step/start`` is an open step, so only its chunks count.
     """
     rows = (
         events.where(F.col("type").isin(*BOUNDARIES, "assistant/chunk"))
@@ -73,14 +83,14 @@ def step_epochs(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
                 "stream_first", "stream_last")
     )
     boundary = F.col("type") != "assistant/chunk"
-    rows = with_previous(rows, STEP, "pos",
-                         F.when(boundary, F.struct("pos", "type", "time")), "opened", bits)
+    rows = with_previous(rows, STEP, "pos", {
+        "opened_pos": F.when(boundary, F.col("pos")),
+        "opened_time": F.when(boundary, F.col("time")),
+        "opened_open": F.when(boundary, F.col("type") == "step/start")}, bits)
     chunk_at = F.when(~boundary, F.col("pos"))
     return (
-        rows.groupBy(*STEP, F.col("opened.pos").alias("opened_pos"))
-        .agg(F.first("opened.type").alias("opened_type"),
-             F.first("opened.time").alias("opened_time"),
-             F.min_by("time", chunk_at).alias("chunk_first"),
+        rows.groupBy(*STEP, "opened_pos", "opened_time", "opened_open")
+        .agg(F.min_by("time", chunk_at).alias("chunk_first"),
              F.max_by("time", chunk_at).alias("chunk_last"),
              # only one boundary can end a stretch: the next one
              F.max_by(F.struct("pos", "type", "time", "input_tokens", "output_tokens",
@@ -92,7 +102,7 @@ def step_epochs(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 def assemble_steps(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """The last message of a (turn, step) closes it; a step still open is a bare row."""
     epochs = step_epochs(events, bits)
-    is_open = F.col("opened_type") == "step/start"
+    is_open = F.col("opened_open")
     closes = F.col("next.type") == "assistant/message"
     ends = F.col("next.type") == "step/end"
     last = F.max_by(
@@ -151,7 +161,7 @@ def pair_calls(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     rows = events.where(F.col("type").isin("tool/call", "tool/result")) \
         .select(*STREAM, "call_id", *cols, "error_code", "meta_path")
     known = rows.where(F.col("call_id").isNotNull())
-    chained = with_previous(known, [*STREAM, "call_id"], "pos", F.struct(*cols), "prev", bits)
+    chained = with_previous(known, [*STREAM, "call_id"], "pos", {"prev": F.struct(*cols)}, bits)
     is_result, is_call = F.col("type") == "tool/result", F.col("type") == "tool/call"
     after_call = F.coalesce(F.col("prev.type") == "tool/call", F.lit(False))
     anonymous = (rows.where(is_result & F.col("call_id").isNull())

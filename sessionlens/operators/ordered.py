@@ -35,31 +35,40 @@ def _before(keys: list[str]):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def with_previous(rows: DataFrame, keys: list[str], order: str, value: Column, name: str,
+def with_previous(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column],
                   bits: int = BLOCK_BITS) -> DataFrame:
-    """Add the last non-NULL ``value`` of the rows strictly before each row.
+    """Add, per named value, its last non-NULL occurrence in the rows strictly before each row.
 
-    ``order`` must be unique inside a key (a line position is).
+    ``order`` must be unique inside a key (a line position is). Values of fixed-width types keep
+    the per-block aggregate a hash aggregate; a struct or string makes it a sorting one.
     """
-    rows = (rows.withColumn(_VALUE, value)
-            .withColumn(_ORDER, F.col(order).cast("bigint"))
-            .withColumn(_BLOCK, _block_of(F.col(order), bits)))
-    carried = F.last(_VALUE, ignorenulls=True)
+    inner = {name: f"__v_{name}" for name in values}
+    rows = rows.withColumns({
+        **{inner[name]: value for name, value in values.items()},
+        _ORDER: F.col(order).cast("bigint"), _BLOCK: _block_of(F.col(order), bits)})
+
+    def last(column: str) -> Column:
+        return F.last(column, ignorenulls=True)
+
+    any_value = F.lit(False)
+    for column in inner.values():
+        any_value = any_value | F.col(column).isNotNull()
     carry = (
         rows.groupBy(*keys, _BLOCK)
-        .agg(F.max_by(_VALUE, F.when(F.col(_VALUE).isNotNull(), F.col(_ORDER))).alias(_VALUE))
-        .select(*keys, _BLOCK, carried.over(_before(keys)).alias(_VALUE))
-        .where(F.col(_VALUE).isNotNull())
-        .select(*keys, _BLOCK, _VALUE, _ahead(bits).alias(_ORDER), F.lit(True).alias(_CARRY))
+        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(_ORDER))).alias(c)
+               for c in inner.values()])
+        .select(*keys, _BLOCK, *[last(c).over(_before(keys)).alias(c) for c in inner.values()])
+        .where(any_value)
+        .withColumns({_ORDER: _ahead(bits), _CARRY: F.lit(True)})
     )
     scan = (Window.partitionBy(*keys, _BLOCK).orderBy(_ORDER)
             .rowsBetween(Window.unboundedPreceding, -1))
     return (
         rows.withColumn(_CARRY, F.lit(False))
         .unionByName(carry, allowMissingColumns=True)
-        .withColumn(name, carried.over(scan))
+        .withColumns({name: last(c).over(scan) for name, c in inner.items()})
         .where(~F.col(_CARRY))
-        .drop(_BLOCK, _ORDER, _VALUE, _CARRY)
+        .drop(_BLOCK, _ORDER, _CARRY, *inner.values())
     )
 
 

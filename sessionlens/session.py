@@ -29,14 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting falls back to a machine-local folder; on a cluster
     such a folder would not be seen by the other executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="sessionlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionlens-"))
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def skewed_rows(seed, n=300, unique=True):
 def test_previous(spark, bits):
     rows = skewed_rows(1)
     df = spark.createDataFrame(rows, "k string, o bigint, v int")
-    got = {(r.k, r.o): r.prev for r in with_previous(df, KEYS, "o", F.col("v"), "prev", bits).collect()}
+    got = {(r.k, r.o): r.prev for r in with_previous(df, KEYS, "o", {"prev": F.col("v")}, bits).collect()}
     want = {}
     for k, o, _ in rows:
         earlier = [(o2, v) for k2, o2, v in rows if k2 == k and o2 < o and v is not None]
