@@ -326,26 +326,30 @@ judged AS (SELECT *, {r_sql('exp(lr)', 3)} AS ratio, {r_sql('exp(lr - reach)', 3
 SHOWN_DF = f"CASE WHEN ratio IS NOT NULL AND NOT isinf(df) THEN {r_sql('df', 1)} END"
 
 
-def judge_sql(base: str, cand: str) -> str:
-    return SIDES + f""",
-every_key AS (SELECT DISTINCT scope, key FROM side WHERE cohort IN ('{base}', '{cand}')
+def judge_sql(base: str, cand: str, sides: str = SIDES) -> str:
+    """``base`` and ``cand`` are SQL expressions."""
+    return sides + f""",
+every_key AS (SELECT DISTINCT scope, key FROM side WHERE cohort IN ({base}, {cand})
   UNION SELECT 'total', 'all'
   UNION SELECT 'plane', unnest(['INFRASTRUCTURE', 'GUARD', 'MODEL_MISUSE']))""" + compare_sql(f"""
 SELECT k.scope, k.key, coalesce(b.count, 0) AS x1, coalesce(c.count, 0) AS x2, coalesce(b.phi, 1.0) AS phi1,
   coalesce(c.phi, 1.0) AS phi2, coalesce(b.contributing, 0) AS s1, coalesce(c.contributing, 0) AS s2,
   tb.units AS u1, tc.units AS u2, tb.calls AS n1, tc.calls AS n2
-FROM every_key k LEFT JOIN side b ON b.cohort = '{base}' AND b.scope = k.scope AND b.key = k.key
-LEFT JOIN side c ON c.cohort = '{cand}' AND c.scope = k.scope AND c.key = k.key
-JOIN total tb ON tb.cohort = '{base}' JOIN total tc ON tc.cohort = '{cand}'""") + f"""
+FROM every_key k LEFT JOIN side b ON b.cohort = {base} AND b.scope = k.scope AND b.key = k.key
+LEFT JOIN side c ON c.cohort = {cand} AND c.scope = k.scope AND c.key = k.key
+JOIN total tb ON tb.cohort = {base} JOIN total tc ON tc.cohort = {cand}""") + f"""
 SELECT scope, key, x1 AS baseline_count, x2 AS candidate_count, {per_k('x1', 'n1')} AS baseline_per_k,
   {per_k('x2', 'n2')} AS candidate_per_k, ratio, low, high, verdict, s1 AS baseline_sessions,
   s2 AS candidate_sessions, {r_sql('phi', 2)} AS dispersion, {SHOWN_DF} AS df FROM judged"""
 
 
-on_tables("judge", judge_sql("m-large", "m-small"))(
+on_tables("judge", judge_sql("'m-large'", "'m-small'"))(
     lambda t: judge.judge(t, "model", "m-large", "m-small"))
 # both cohorts chosen: schema has two, the one with more calls is the baseline
-on_tables("judge_chosen")(lambda t: judge.judge(t, "schema"))
+MOST_CALLS = "(SELECT cohort FROM total ORDER BY calls DESC, cohort LIMIT 1)"
+on_tables("judge_chosen", judge_sql(
+    MOST_CALLS, f"(SELECT cohort FROM total WHERE cohort <> {MOST_CALLS})",
+    SIDES.replace("s.model", "s.schema")))(lambda t: judge.judge(t, "schema"))
 
 
 @query("t_quantile", f"""

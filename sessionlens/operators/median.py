@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
+ROWS = "__rows"
 
 
 def exact_medians(df: DataFrame, groups: list[str], measures: list[str],
@@ -20,10 +21,12 @@ def exact_medians(df: DataFrame, groups: list[str], measures: list[str],
     The median of an even count is the mean of the two middle values. The group keys must come
     from a fixed vocabulary: one bracket row per group and measure is broadcast.
     """
+    # every row also counts as a measured 0 of ROWS, so group sizes come out of the same two passes
     long = (
-        df.select(*groups, F.explode(F.array(*[
-            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v"))
-            for m in measures])).alias("m"))
+        df.select(*groups, F.explode(F.array(
+            F.struct(F.lit(ROWS).alias("measure"), F.lit(0.0).alias("v")),
+            *[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v"))
+              for m in measures])).alias("m"))
         .select(*groups, "m.measure", "m.v").where(F.col("v").isNotNull())
     )
     keys = [*groups, "measure"]
@@ -53,19 +56,12 @@ def exact_medians(df: DataFrame, groups: list[str], measures: list[str],
     medians = (
         counted.withColumn("end", F.sum("c").over(upto))
         .groupBy(*keys)
-        .agg(((F.max(F.when((start <= lower) & (lower < end), F.col("v")))
+        .agg(F.max("n").alias("n"),
+             ((F.max(F.when((start <= lower) & (lower < end), F.col("v")))
                + F.max(F.when((start <= upper) & (upper < end), F.col("v")))) / F.lit(2.0))
              .alias("median"))
     )
-    pivoted = medians.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}")
-        for m in measures])
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"))
-    # A union with NULL gaps, merged per group, is a join on the group keys that also keeps
-    # groups without a measured value.
-    return (
-        sizes.unionByName(pivoted, allowMissingColumns=True)
-        .groupBy(*groups)
-        .agg(F.max("rows").alias("rows"),
-             *[F.max(f"median_{m}").alias(f"median_{m}") for m in measures])
-    )
+    return medians.groupBy(*groups).agg(
+        F.max(F.when(F.col("measure") == ROWS, F.col("n"))).alias("rows"),
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}")
+          for m in measures])
