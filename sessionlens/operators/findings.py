@@ -117,9 +117,11 @@ def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT
 
 
 def neighbours(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONTEXT,
-               bits: int = BLOCK_BITS) -> DataFrame:
+               bits: int = BLOCK_BITS, around: DataFrame | None = None) -> DataFrame:
     """The findings among the calls shown around each finding, the finding itself always there.
 
+    ``around`` limits the findings whose surroundings are asked for; all of ``findings`` otherwise.
+
     A finding lies between two numbered calls (or at one). Windows ask for the lower number, so
     this is an equi-join on (stream, number) like the context itself.
     """
@@ -134,7 +136,8 @@ def neighbours(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONT
     filed = filed.select(*STREAM, *as_neighbour, upper.alias("upper"),
                          F.when(F.col("next.at") == F.col("seq"), upper).otherwise(upper - 1)
                          .alias("number"))
-    placed = _placed(findings, numbered, calls, bits)
+    centres = findings if around is None else around
+    placed = _placed(centres, numbered, calls, bits)
     windows = placed.select("id", *STREAM, (F.col("upto") + window).alias("end"),
                             F.explode(_numbers(window)).alias("number"))
     found = ["id", *STREAM, "n_id", "n_detector", "n_code", "n_category", "n_seq"]
@@ -146,6 +149,8 @@ def neighbours(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONT
               .join(calls.select(*STREAM).distinct(), STREAM, "left_anti"))
     alone = (silent.select(F.col("n_id").alias("id"), *STREAM, "n_seq")
              .join(silent.drop("upper", "number"), [*STREAM, "n_seq"]).select(*found))
-    itself = findings.select("id", *STREAM, *as_neighbour)
+    if around is not None:
+        alone = alone.join(around.select("id"), "id", "left_semi")
+    itself = centres.select("id", *STREAM, *as_neighbour)
     # only the finding itself can come up twice, so distinct drops nothing else
     return inside.unionByName(alone).unionByName(itself).distinct()

@@ -100,30 +100,33 @@ def as_of(lookups: DataFrame, values: DataFrame, keys: list[str], at: str, order
     """Add to each lookup, per payload, the nearest non-NULL value before its ``at``.
 
     After it when ``forward``; the greatest of all earlier values when ``greatest``. Strict unless
-    ``inclusive``. Values that share an order value are reduced first: the greatest payload stays
-    (the least when ``forward``), so lead a payload struct with its tie-break. Repeated lookups are
-    looked up once and joined back on an equi-key, which AQE can split, so neither ties nor repeats
-    can grow a block. A NULL key or ``at`` finds nothing.
+    ``inclusive``. Values that share an order value are reduced first, with map-side combine: the
+    greatest payload stays (the least when ``forward``), so lead a payload struct with its
+    tie-break. Repeated lookups are looked up once and joined back on an equi-key, which AQE can
+    split, so neither ties nor repeats can grow a block. A NULL key or ``at`` finds nothing.
     """
     sign = F.lit(-1 if forward else 1).cast("bigint")
     names = list(payloads)
     asked_flag = "__asked"
 
-    def present(df: DataFrame, column: str) -> DataFrame:
+    def present(df: DataFrame, column: str, asks: bool) -> DataFrame:
         for k in (*keys, column):
             df = df.where(F.col(k).isNotNull())
-        return df.withColumn(_ORDER, F.col(column).cast("bigint") * sign)
+        return df.withColumns({_ORDER: F.col(column).cast("bigint") * sign,
+                               asked_flag: F.lit(asks)})
 
     def latest(name: str) -> Column:
         return F.max(name) if greatest else F.last(name, ignorenulls=True)
 
+    # one row per key and order value, whether a value, a lookup or both stand there
     reduce_ties = F.min if forward else F.max
-    found = present(values, order).groupBy(*keys, _ORDER).agg(
-        *[reduce_ties(payload).alias(name) for name, payload in payloads.items()])
-    asked = present(lookups, at).select(*keys, _ORDER).distinct()
     rows = (
-        found.withColumn(asked_flag, F.lit(False))
-        .unionByName(asked.withColumn(asked_flag, F.lit(True)), allowMissingColumns=True)
+        present(values, order, False)
+        .select(*keys, _ORDER, asked_flag, *[v.alias(n) for n, v in payloads.items()])
+        .unionByName(present(lookups, at, True).select(*keys, _ORDER, asked_flag),
+                     allowMissingColumns=True)
+        .groupBy(*keys, _ORDER)
+        .agg(*[reduce_ties(n).alias(n) for n in names], F.max(asked_flag).alias(asked_flag))
         .withColumn(_BLOCK, _block_of(F.col(_ORDER), bits))
     )
 
@@ -143,7 +146,7 @@ def as_of(lookups: DataFrame, values: DataFrame, keys: list[str], at: str, order
         .select(*keys, _ahead(bits).alias(_ORDER), *names, F.lit(False).alias(asked_flag), _BLOCK)
     )
     scan = (Window.partitionBy(*keys, _BLOCK).orderBy(_ORDER)
-            .rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     answered = (
         rows.unionByName(carry)
         .select(*keys, (F.col(_ORDER) * sign).alias(at), asked_flag,

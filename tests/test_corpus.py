@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logwriter import T0, DAY, write_corpus
-from sessionlens.operators import board, cohorts, findings
+from logwriter import write_corpus
+from sessionlens.operators import findings
 from sessionlens.operators.detectors import Detector, finding_rows
-from sessionlens.plans import index, report, sinks
+from sessionlens.operators.filters import Filter, UnknownFilterValue
+from sessionlens.plans import index, questions, report, sinks
 from sessionlens.sources import logs
 
 TIMELINE = (("2026-09-01T00:00:00Z", "rules-v1"), ("2026-09-07T00:00:00Z", "rules-v2"))
@@ -150,6 +151,37 @@ def test_report(run, spark):
     assert "no judge" in note
 
 
+def test_questions(run):
+    t = run.tables
+    board_parts = questions.overview(t, Filter(model="m-large"))
+    assert board_parts["tiles"].head().sessions == 8
+    assert questions.breakdown(t).agg(F.sum("count")).head()[0] == 21
+    with pytest.raises(UnknownFilterValue):
+        questions.overview(t, Filter(model="M-LARGE"))
+    rows, note = questions.cohort_table(t, "harnessVersion", timeline_configured=True)
+    assert [r.cohort for r in rows.collect()] == ["rules-v1", "rules-v2"]
+    assert "configured harness timeline" in note.head().note
+    with pytest.raises(UnknownFilterValue):
+        questions.cohort_table(t, "model", baseline="gone")
+    verdicts, basis = questions.judgement(t, "harnessVersion")
+    assert verdicts.head().scope == "total" and "attributed, not declared" in basis
+    page, total = questions.findings_page(t, detector="edit-miss", sort="time:asc", size=2)
+    assert [r.category for r in page.collect()] == ["MISS_AFTER_EDIT", "REPEATED_MISS"]
+    assert total.head().total == 3
+    with pytest.raises(UnknownFilterValue):
+        questions.findings_page(t, session="w-99")
+    guard = t.findings.where("session_id = 'w-01' and detector = 'stamp-guard'").head()
+    assert questions.finding(t, guard.id).head().tool == "edit"
+    assert questions.finding(t, 1).count() == 0
+    calls, near = questions.context(t, guard.id, window=2)
+    assert [c.mark for c in calls.collect()] == ["stale", "cause", "finding"]
+    assert {n.n_detector for n in near.collect()} == {"stamp-guard", "shell-edit"}
+    fatal = t.findings.where("session_id = 'w-15' and detector = 'fatal-turn'").head()
+    calls, near = questions.context(t, fatal.id, window=1)
+    assert [c.name for c in calls.collect()] == ["bash", "bash"]
+    assert near.head().n_detector == "fatal-turn"
+
+
 def test_rerun_is_idempotent_and_prunes(spark, root, run, tmp_path):
     t = run.tables
     again = sinks.merge_facts(t, t)
