@@ -38,6 +38,8 @@ def test_scan(spark, root, tmp_path):
     assert streams.count() == 16
     assert counts(streams, "schema") == {"V0": 12, "V3": 4}
     assert {r.project_slug for r in streams.collect()} == {"p1", "two", "v3", "plain", "b"}
+    empty = str(tmp_path)
+    assert logs.scan_streams(spark, empty).count() == 0 == logs.read_events(spark, empty).count()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         logs.read_events(spark, str(tmp_path / "none")).count()
 
