@@ -32,13 +32,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by ``key`` when the scan has fewer partitions than there are cores.
+    """Deal rows out by ``key`` when the scan has only a few partitions per core.
 
-    For work that costs far more per row than a shuffle, on a table of one or two files. A large
-    table has more scan partitions than cores and is left as it is.
+    For work that costs far more per row than a shuffle, on a table of one or two files, whose few
+    splits may all but one be empty: a Parquet row group is never divided. A large table has many
+    scan partitions per core and is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
+    if rows.rdd.getNumPartitions() >= 4 * cores:
         return rows
     return rows.repartition(cores, key)
 
