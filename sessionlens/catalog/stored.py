@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionlens.catalog.sql import PLANE, STORED
+from sessionlens.catalog.sql import STORED
 from sessionlens.functions import stats
 from sessionlens.functions import text as tx
 from sessionlens.functions.text import round_half_up
