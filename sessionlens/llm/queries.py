@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import packing, sharding
+from sessionlens.llm import packing, sharding, warc
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -19,11 +19,16 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
+    "op4_warc": (op4_warc, None),
     "op9_packing": (op9_packing, None),
 }

@@ -17,18 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files, below the one ``spark.checkpoint.dir`` names.
 
-    The files go to the folder ``spark.checkpoint.dir`` names, which every executor reaches, so a
-    lost executor loses nothing. Only a local session without that setting gets a folder of its own.
+    Every executor reaches it. Only a local session without that setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    A lost executor loses nothing; Spark removes the files once nothing refers to them, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
