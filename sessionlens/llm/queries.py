@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import packing, sharding, warc
+from sessionlens.llm import oracles, packing, quality, sharding, warc
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -23,6 +23,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -30,5 +36,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
     "op4_warc": (op4_warc, None),
+    "op7_line_quality": (op7_line_quality, oracles.QUALITY),
     "op9_packing": (op9_packing, None),
 }
