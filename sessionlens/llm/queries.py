@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import oracles, packing, quality, sharding, warc
+from sessionlens.llm import ngram_join, oracles, packing, quality, sharding, warc
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -33,9 +33,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
     "op4_warc": (op4_warc, None),
     "op7_line_quality": (op7_line_quality, oracles.QUALITY),
     "op9_packing": (op9_packing, None),
+    "op10_ngram_join": (op10_ngram_join, None),
 }
