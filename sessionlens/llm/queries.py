@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import ngram_join, oracles, packing, quality, sharding, warc
+from sessionlens.llm import decontam, ngram_join, oracles, packing, quality, sharding, warc
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -23,6 +23,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -41,6 +46,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
     "op4_warc": (op4_warc, None),
+    "op6_decontamination": (op6_decontamination, None),
     "op7_line_quality": (op7_line_quality, oracles.QUALITY),
     "op9_packing": (op9_packing, None),
     "op10_ngram_join": (op10_ngram_join, None),
