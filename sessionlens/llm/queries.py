@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import decontam, ngram_join, oracles, packing, quality, sharding, warc
+from sessionlens.llm import decontam, ngram_join, oracles, packing, pii, quality, sharding, warc
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
+    "op3_personal_data": (op3_personal_data, None),
     "op4_warc": (op4_warc, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_line_quality": (op7_line_quality, oracles.QUALITY),
