@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from sessionlens.llm import licenses as lic
 from sessionlens.llm import quality as q
+from sessionlens.llm import urllist as url
 
 
 def _text(value: str) -> str:
@@ -56,3 +58,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND lost <= {q.MAX_LOST_SHARE} * whole AS kept
 FROM verdict
 """
+
+
+def _license_rules() -> str:
+    """Nested selects that use up one rule after the other."""
+    inner = "SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda i: '<' || i || '>'), " \
+            "'string_agg', '') AS run, CAST([] AS VARCHAR[]) AS found FROM known"
+    inner = f"SELECT doc_id, ids, coalesce(run, '') AS run, found FROM ({inner})"
+    for name, ids in lic.RULES:
+        run = _text(lic.run_text(ids))
+        inner = (f"SELECT doc_id, ids, replace(run, {run}, '|') AS run, CASE WHEN contains(run, {run}) "
+                 f"AND NOT list_contains(found, {_text(name)}) THEN list_append(found, {_text(name)}) "
+                 f"ELSE found END AS found FROM ({inner})")
+    return inner
+
+
+LICENSES = f"""
+WITH sentence AS (
+  SELECT column0 AS plain, column1 AS id
+  FROM (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k, v in lic.SENTENCES.items())}) AS v(column0, column1)
+), cut AS (
+  SELECT doc_id, string_split_regex(
+    regexp_replace(coalesce(text, ''), '{lic.SENTENCE_END}', '\\1' || chr(10), 'g'), '[\\r\\n]+') AS ss
+  FROM documents
+), each AS (
+  SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS place FROM cut
+), named AS (
+  SELECT doc_id, list(id ORDER BY place) AS ids
+  FROM each JOIN sentence ON trim(regexp_replace(lower(s), '{lic.NOT_WORD}', ' ', 'g')) = plain
+  GROUP BY doc_id
+), known AS (
+  SELECT doc_id, coalesce(ids, CAST([] AS VARCHAR[])) AS ids FROM documents LEFT JOIN named USING (doc_id)
+)
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses,
+  len(ids) AS n_sentences, len(regexp_extract_all(run, '<')) AS n_unmatched
+FROM ({_license_rules()})
+"""
+
+_HOST = f"lower(regexp_extract(url, '{url.HOST}', 1))"
+
+_DRAW = "CAST('0x' || substr(md5(url), 1, 7) AS BIGINT)"
+
+URL_LISTS = f"""
+WITH capture AS (
+  SELECT page_id, url, nullif({_HOST}, '') AS host,
+    DATE '2024-01-01' + CAST(page_id * 101 % 366 AS INTEGER) AS fetched, {_DRAW} AS d FROM pages
+), entry AS (
+  SELECT CASE WHEN (d // 3) % 4 = 0 THEN regexp_replace(host, '^[^.]+\\.', '') ELSE host END AS name,
+    CASE WHEN (d // 12) % 3 = 0 THEN 'allow' ELSE 'block' END AS list,
+    (d // 36) % 2 = 0 AS adds, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS day
+  FROM capture WHERE d % 3 = 0 AND host IS NOT NULL
+), state AS (
+  SELECT name, list, day, bool_and(adds) AS added FROM entry GROUP BY ALL
+), change AS (
+  SELECT * FROM (SELECT *, coalesce(lag(added) OVER h, false) AS was FROM state
+    WINDOW h AS (PARTITION BY name, list ORDER BY day)) WHERE added <> was
+), span AS (
+  SELECT * FROM (SELECT name, list, added, day AS valid_from, coalesce(lead(day) OVER (
+    PARTITION BY name, list ORDER BY day), DATE '{url.FOREVER}') AS valid_to FROM change) WHERE added
+), ranked AS (
+  SELECT page_id, s.*, row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC,
+    list = 'allow' DESC) AS place
+  FROM capture JOIN span s ON (host = name OR ends_with(host, '.' || name))
+    AND fetched >= valid_from AND fetched < valid_to
+)
+SELECT c.page_id, host, fetched, coalesce(list, 'none') AS verdict, name, valid_from, valid_to
+FROM capture c LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (page_id)
+"""

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import decontam, ngram_join, oracles, packing, pii, quality, sharding, warc
+from sessionlens.llm import (
+    decontam, licenses, ngram_join, oracles, packing, pii, quality, sharding, urllist, warc,
+)
 from sessionlens.llm.shared import table
 
 SHARDS = 40
@@ -19,6 +21,10 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -38,6 +44,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urllist.judge(urllist.derived_captures(pages), urllist.derived_history(pages))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -49,10 +60,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
+    "op2_license_sentences": (op2_license_sentences, oracles.LICENSES),
     "op3_personal_data": (op3_personal_data, None),
     "op4_warc": (op4_warc, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_line_quality": (op7_line_quality, oracles.QUALITY),
+    "op8_url_lists": (op8_url_lists, oracles.URL_LISTS),
     "op9_packing": (op9_packing, None),
     "op10_ngram_join": (op10_ngram_join, None),
 }
