@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import (
-    decontam, licenses, ngram_join, oracles, packing, pii, quality, sharding, urllist, warc,
+    decontam, licenses, lm, ngram_join, oracles, packing, pii, quality, sharding, urllist, warc,
 )
 from sessionlens.llm.shared import table
 
@@ -33,6 +33,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return lm.score(table(spark, sf_dir, "documents"), held)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_license_sentences": (op2_license_sentences, oracles.LICENSES),
     "op3_personal_data": (op3_personal_data, None),
     "op4_warc": (op4_warc, None),
+    "op5_language_model": (op5_language_model, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_line_quality": (op7_line_quality, oracles.QUALITY),
     "op8_url_lists": (op8_url_lists, oracles.URL_LISTS),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,3 +96,37 @@ def prefix_sums(totals: DataFrame, index: str, value: str, out: str, width: int
     own = F.sum(value).over(Window.partitionBy("_block").orderBy(index)) - F.col(value)
     return (blocks.withColumn("_own", own).join(before, "_block")
             .withColumn(out, F.col("_own") + F.col("_upto")).drop("_block", "_own", "_upto"))
+
+
+def segment_rows(total: np.ndarray, segments: int) -> pa.RecordBatch:
+    """An array of counts as rows (segment, counts); segments of zeros are left out."""
+    parts = np.array_split(total.ravel(), segments)
+    used = [k for k, part in enumerate(parts) if part.any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
+        ["segment", "counts"])
+
+
+def summed_segments(rows: DataFrame, kind: str, tasks: int = 16) -> DataFrame:
+    """The sum of each segment's arrays of ``kind``, one array at a time as the rows stream in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(*batch.columns, strict=True):
+                part, k = np.frombuffer(counts.as_buffer(), kind), segment.as_py()
+                total[k] = total[k] + part if k in total else part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(total, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+            ["segment", "counts"])
+
+    return (rows.select("segment", "counts").repartition(tasks, "segment")
+            .mapInArrow(run, "segment int, counts binary"))
+
+
+def gathered(rows: DataFrame, kind: str, segments: int, size: int) -> np.ndarray:
+    """The summed array itself; its size is a parameter of the caller, whatever the data."""
+    out = np.array_split(np.zeros(size, kind), segments)
+    for row in summed_segments(rows, kind).collect():
+        out[row.segment] = np.frombuffer(row.counts, kind)
+    return np.concatenate(out)
