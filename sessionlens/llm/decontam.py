@@ -187,7 +187,7 @@ def run_counts(docs: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
-FOUND = [("item_id", pa.int64()), ("similarity", pa.float64()), ("score", pa.int64()),
+FOUND = [("text_hash", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("score", pa.int64()),
          ("n_seeds", pa.int64()), ("word_start", pa.int64()), ("word_end", pa.int64()),
          ("item_start", pa.int64()), ("item_end", pa.int64())]
 
@@ -197,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                  least: float = MIN_SIMILARITY) -> DataFrame:
     """One row per (document, test item) whose best alignment reaches ``least``; clean documents give none.
 
-    key, item_id, similarity (score over the item's highest possible score), score, n_seeds, and the
+    key, text_hash, item_id, similarity (score over the item's highest possible score), score, n_seeds, and the
     aligned words: word_start to word_end in the document, item_start to item_end in the item, ends
     exclusive.
 
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     seed is its own seed. Among equal alignments the first one counts. Rows repeated in ``docs`` or
     in ``benchmark`` give repeated rows; absent keys are carried. Other columns are not carried.
     """
-    docs = docs.select(F.col(key).cast("long"), F.col(text))
+    docs = docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(F.col(text)))
     names = [key] + [n for n, _ in FOUND]
     schema = f"`{key}` long, " + ", ".join(
         f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in FOUND)
@@ -218,9 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             items = shared.value
             for batch in batches:
                 rows = []
-                for doc, body in zip(batch.column(0).to_pylist(),
-                                     batch.column(1).cast(pa.binary()), strict=True):
-                    rows.extend((doc, *m) for m in matches(items, word_hashes(body.as_py()), least))
+                for doc, body, own in zip(batch.column(0), batch.column(1).cast(pa.binary()),
+                                          batch.column(2), strict=True):
+                    rows.extend((doc.as_py(), own.as_py(), *m)
+                                for m in matches(items, word_hashes(body.as_py()), least))
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 kinds = [pa.int64()] + [t for _, t in FOUND]
                 yield pa.RecordBatch.from_arrays(
@@ -236,5 +237,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
                          text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that contain a test item; every column and other row stays."""
     leaks = cut(contaminated(docs, benchmark, key, text, **options)
-                .select(F.col(key).alias("_leak")).distinct())
-    return docs.join(leaks, docs[key].eqNullSafe(leaks["_leak"]), "left_anti")
+                .select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct())
+    return docs.join(leaks, docs[key].cast("long").eqNullSafe(leaks["_key"])
+                     & (F.xxhash64(docs[text]) == leaks["_hash"]), "left_anti")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +30,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.shared import WordHash, cut, grams, mix, words
+from sessionlens.llm.shared import batch_words, cut, gathered, grams, mix, segment_rows
 
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SEGMENTS = 64
 BLOOM_BITS = 27
 BLOOM_SEGMENTS = 256
 MAX_BROADCAST_KEYS = 1_000_000
 BATCH_TOKENS = 1 << 21
 
-HASHES = WordHash()
 
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
 
-def shingle_set(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; fewer words than ``n`` are one shingle."""
-    found = words(text, lower=True)
-    if not found:
-        return np.empty(0, np.uint64)
-    return np.unique(grams(HASHES.all(found), min(n, len(found))) ^ np.uint64(min(n, len(found))))
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words than ``n`` are one shingle."""
+    for at in range(0, len(texts), 256):
+        hashes, bounds = batch_words(texts.slice(at, 256))
+        runs = grams(hashes, n)
+        for a, b in pairwise(bounds.tolist()):
+            if 0 < b - a < n:
+                yield grams(hashes[a:b], b - a) ^ np.uint64(b - a)
+            else:
+                yield distinct(runs[a:max(a, b - n + 1)] ^ np.uint64(n))
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
@@ -86,9 +94,10 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(schema))
 
 
-SURVEY = {"key": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
+SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
           "segment": pa.int32(), "counts": pa.binary()}
-SURVEY_SQL = "key long, n long, node binary, least array<long>, segment int, counts binary"
+SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, segment int, "
+              "counts binary")
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
@@ -105,8 +114,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             sizes, nodes, least, tokens_held = [], [], [], 0
-            for body in batch.column(1).cast(pa.binary()):
-                tokens = shingle_set(body.as_py(), n)
+            for tokens in shingle_sets(batch.column(1), n):
                 sizes.append(len(tokens))
                 nodes.append(fingerprint(tokens) if len(tokens) else None)
                 least.append([int(mix(tokens, k).min().view(np.int64)) for k in range(1, ORDERS + 1)]
@@ -119,41 +127,20 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
             if held:
                 count()
             none = [None] * len(sizes)
-            yield batch_of(SURVEY, [batch.column(0), sizes, nodes, least, none, none])
-        parts = np.split(sketch, SEGMENTS)
-        used = [k for k in range(SEGMENTS) if parts[k].any()]
-        none = [None] * len(used)
-        yield batch_of(SURVEY, [none, none, none, none, used,
-                                [parts[k].astype("<u4").tobytes() for k in used]])
+            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, none, none])
+        counts = segment_rows(sketch.astype("<i8"), SEGMENTS)
+        none = pa.nulls(counts.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [none.cast(t) for t in list(SURVEY.values())[:5]] + counts.columns, list(SURVEY))
 
     return docs.mapInArrow(run, SURVEY_SQL)
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """The sum of the count arrays of each segment, a segment at a time as its rows stream in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, counts in zip(*batch.columns, strict=True):
-                part = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
-                k = segment.as_py()
-                total[k] = total[k] + part if k in total else part
-        schema = {"segment": pa.int32(), "counts": pa.binary()}
-        yield batch_of(schema, [list(total), [v.astype("<i8").tobytes() for v in total.values()]])
-
-    return (rows.select("segment", "counts").repartition(SEGMENTS // 4, "segment")
-            .mapInArrow(run, "segment int, counts binary"))
-
-
 def levels_of(rows: DataFrame) -> np.ndarray:
     """How frequent the tokens of each sketch counter are, on a log scale above the usual counter."""
-    counts = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.int64)
-    for row in summed(rows.where("segment is not null")).collect():  # SEGMENTS rows of fixed size
-        counts[row.segment] = np.frombuffer(row.counts, "<i8")
-    flat = counts.ravel()
+    flat = gathered(rows.where("segment is not null"), "<i8", SEGMENTS, 1 << SKETCH_BITS)
     usual = float(np.median(flat))
-    over = np.maximum((flat - usual) / (6 * np.sqrt(usual) + 16), 0.5)
+    over = np.maximum((flat - usual) / (3 * np.sqrt(usual) + 4), 0.5)
     return np.clip(np.floor(np.log2(over)) + 1, 0, 40).astype(np.uint8)
 
 
@@ -171,8 +158,7 @@ def shared_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
             return batch_of(schema, [signed(tokens), counts])
 
         for batch in batches:
-            for body in batch.column(1).cast(pa.binary()):
-                tokens = shingle_set(body.as_py(), n)
+            for tokens in shingle_sets(batch.column(1), n):
                 node = fingerprint(tokens)
                 if not len(tokens) or node in seen:
                     continue
@@ -233,8 +219,7 @@ def prefix_rows(docs: DataFrame, levels, bloom, n: int, percent: int) -> DataFra
         bits, seen = np.frombuffer(bloom.value, np.uint8), set()
         for batch in batches:
             tokens_out, nodes, sizes, held = [], [], [], 0
-            for body in batch.column(1).cast(pa.binary()):
-                tokens = shingle_set(body.as_py(), n)
+            for tokens in shingle_sets(batch.column(1), n):
                 node = fingerprint(tokens)
                 if not len(tokens) or node in seen:
                     continue
@@ -258,57 +243,77 @@ def prefix_rows(docs: DataFrame, levels, bloom, n: int, percent: int) -> DataFra
     return docs.mapInArrow(run, "token long, node binary, n long")
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """node, tokens: the sets of the documents named in ``keys``, tokens as packed longs."""
+def sets_of(docs: DataFrame, keys: DataFrame, levels, n: int, percent: int, whole: bool) -> DataFrame:
+    """node, tokens: the sets of the documents with these keys, tokens as packed longs.
+
+    Without ``whole`` only the first tokens under each order after the first, as 32-bit hashes: node,
+    n, tokens, with as many from each order as ``prefix_size`` says.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"node": pa.binary(), "tokens": pa.binary()}
+        schema = {"node": pa.binary(), "n": pa.int64(), "tokens": pa.binary()}
         for batch in batches:
-            nodes, sets, held = [], [], 0
-            for body in batch.column(1).cast(pa.binary()):
-                tokens = shingle_set(body.as_py(), n)
+            nodes, sizes, sets, held = [], [], [], 0
+            for tokens in shingle_sets(batch.column(1), n):
                 nodes.append(fingerprint(tokens))
-                sets.append(tokens.tobytes())
+                sizes.append(len(tokens))
+                sets.append(tokens.tobytes() if whole else b"".join(
+                    mix(prefix(tokens, levels.value, k, percent), k).astype("<u4").tobytes()
+                    for k in range(2, ORDERS + 1)))
                 held += len(sets[-1])
                 if held > 16 << 20:
-                    yield batch_of(schema, [nodes, sets])
-                    nodes, sets, held = [], [], 0
-            yield batch_of(schema, [nodes, sets])
+                    yield batch_of(schema, [nodes, sizes, sets])
+                    nodes, sizes, sets, held = [], [], [], 0
+            yield batch_of(schema, [nodes, sizes, sets])
 
     if keys.count() <= MAX_BROADCAST_KEYS:  # 8 bytes each
         keys = F.broadcast(keys)
     return (docs.join(keys, docs.key.eqNullSafe(keys.key), "left_semi")
-            .mapInArrow(run, "node binary, tokens binary").dropDuplicates(["node"]))
+            .mapInArrow(run, "node binary, n long, tokens binary"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int,
-             percent: int) -> DataFrame:
-    """The pairs (a, b) that share a first token under every order and are similar enough."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def orders_agree(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets share a first token under each of the orders packed here."""
+    a, b = len(x) // (ORDERS - 1), len(y) // (ORDERS - 1)
+    return all(len(np.intersect1d(x[k * a:(k + 1) * a], y[k * b:(k + 1) * b]))
+               for k in range(ORDERS - 1))
+
+
+def passed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int, percent: int,
+           whole: bool) -> DataFrame:
+    """The pairs (a, b) whose sets, or first tokens, agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"a": pa.binary(), "b": pa.binary()}
         for batch in batches:
-            linked = []
+            found = []
             for a, b, x, y in zip(*batch.columns, strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    continue
-                if not all(len(np.intersect1d(prefix(x, levels.value, k, percent),
-                                              prefix(y, levels.value, k, percent), True))
-                           for k in range(1, ORDERS + 1)):
-                    continue
-                both = len(np.intersect1d(x, y, True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    linked.append((a.as_py(), b.as_py()))
-            yield batch_of(schema, [[p[0] for p in linked], [p[1] for p in linked]])
+                x, y = (np.frombuffer(s.as_buffer(), "<u8" if whole else "<u4") for s in (x, y))
+                if similar(x, y, percent) if whole else orders_agree(x, y):
+                    found.append((a.as_py(), b.as_py()))
+            yield batch_of(schema, [[p[0] for p in found], [p[1] for p in found]])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = cut(classes.join(wanted, "node").select("key").distinct())
-    sets = cut(sets_of(docs, keys, n))
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-               .mapInArrow(run, "a binary, b binary"))
+    sets = sets_of(docs, keys, levels, n, percent, whole)
+    sets = cut(sets) if whole else cut(sets.dropDuplicates(["node"]))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return cut(pairs.join(left, "a").join(right, "b").where(fit).select("a", "b", "x", "y")
+               .mapInArrow(run, "a binary, b binary").distinct())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int,
+             percent: int) -> DataFrame:
+    """The pairs (a, b) that share a first token under every order and are similar enough."""
+    agreed = passed(pairs, docs, classes, levels, n, percent, whole=False)
+    return passed(agreed, docs, classes, levels, n, percent, whole=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,8 +376,8 @@ def cross_pairs(rows: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the least key reachable by links), and
-    is_representative, true for the documents with that least key.
+    """One row per document: key, n_shingles, component_id (the least key reachable by links),
+    text_hash, and component, the same binary label within a component.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``n``-word
     shingles; a text of fewer words is one shingle. A document without words, or without text, has an
@@ -381,10 +386,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     one has no id. An empty table gives no rows. Other columns are not carried.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text))
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
+                       F.xxhash64(F.col(text)).alias("text_hash"))
     rows = cut(survey(docs, n))
     levels = spark.sparkContext.broadcast(levels_of(rows))
-    rows = rows.where("segment is null").select("key", "n", "node", "least")
+    rows = rows.where("segment is null").select("key", "text_hash", "n", "node", "least")
     classes = cut(rows.where("n > 0").groupBy("node").agg(
         F.min("key").alias("key"), F.first("least").alias("least")))
     near = verified(hub_pairs(classes), docs, classes, levels, n, percent)
@@ -397,9 +403,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     labelled = classes.join(found, "node", "left").select(
         "node", "key", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("key").alias("component_id"))
-    ids = labelled.join(least, "label").select("node", "component_id")
+    ids = labelled.join(least, "label").select("node", "component_id", "label")
     return (rows.join(ids, "node", "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-                    .alias("component_id"))
-            .withColumn("is_representative", F.col(key).eqNullSafe(F.col("component_id"))))
+                    .alias("component_id"), "text_hash",
+                    F.when(F.col("n") > 0, F.col("label")).alias("component")))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component, that with the least key; all columns stay.
+
+    Rows that have this key and text too are repeats, one of them stays. A document without words is
+    no component's and stays. Among different texts with the least key, or without any key, the one
+    with the least text hash stays.
+    """
+    found = cut(near_duplicates(docs, key, text, **options)
+                .where("component is not null")
+                .groupBy("component", F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+                .agg(F.count("*").alias("_n")))
+    first = F.struct(F.col("_key").isNull(), "_key", "_hash")
+    best = found.groupBy("component").agg(F.min(first).alias("_best"))
+    marked = found.join(best, "component").withColumn("_stays", F.col("_best") == first)
+    gone = cut(marked.where("not _stays").select("_key", "_hash"))
+    repeated = cut(marked.where("_stays and _n > 1").select("_key", "_hash"))
+    own = F.xxhash64(docs[text])
+
+    def among(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        return rows.join(listed, docs[key].cast("long").eqNullSafe(listed["_key"])
+                         & (own == listed["_hash"]), how)
+
+    kept = among(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = among(kept, repeated, "left_semi").groupBy(docs[key], docs[text]).agg(
+        *[F.first(docs[c]).alias(c) for c in docs.columns if c not in (key, text)])
+    return among(kept, repeated, "left_anti").unionByName(once)

@@ -295,8 +295,9 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = (personal_data(docs, key, text).where("spans != ''")
              .select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"),
                      F.col("spans").alias("_spans")).distinct())
-    joined = docs.join(cut(found), docs[key].cast("long").eqNullSafe(F.col("_key"))
-                       & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
+    found = cut(found)
+    joined = docs.join(found, docs[key].cast("long").eqNullSafe(found["_key"])
+                       & (F.xxhash64(docs[text]) == found["_hash"]), "left")
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             columns[column] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, list(docs.columns))
 
-    return joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[docs[c] for c in docs.columns], found["_spans"]).mapInArrow(run, docs.schema)
 
 
 def mask(text: str, spans: str) -> str:

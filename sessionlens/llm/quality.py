@@ -82,9 +82,27 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text",
     empty. Repeated rows are judged one by one, an absent key is carried. An empty table gives no
     rows. Other columns are not carried.
     """
+    return _judged(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), lost).select(
+        F.col("_key").alias(key), *VERDICT)
+
+
+def cleaned(docs: DataFrame, text: str = "text", lost: float = MAX_LOST_SHARE) -> DataFrame:
+    """The documents that are kept, all their columns, with their failing lines removed."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+                         docs[text].alias("_text"))
+    return _judged(packed, lost).where("kept").select(*[
+        F.col("clean_text").alias(c) if c == text else F.col("_row").getField(c).alias(c)
+        for c in docs.columns])
+
+
+VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+           "n_lines", "n_failed_lines", "line_chars", "lost_chars", "clean_text", "kept"]
+
+
+def _judged(rows: DataFrame, lost: float) -> DataFrame:
+    """``rows`` with the verdict on their column ``_text``."""
     body = F.coalesce(F.col("_text"), F.lit(""))
-    split = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).select(
-        "_key", "_text", _words(body).alias("_words"), F.split(body, "\n").alias("_all_lines"))
+    split = rows.select("*", _words(body).alias("_words"), F.split(body, "\n").alias("_all_lines"))
     hashed = split.select(
         "*",
         F.filter("_all_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -95,8 +113,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chars = lambda lines: F.length(F.array_join(lines, ""))
     repeats = F.size(F.array_distinct("_hash")) < F.size("_hash")
     counted = failed.select(
-        F.col("_key").alias(key),
-        F.size("_words").cast("long").alias("n_words"),
+        *rows.columns, F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),

@@ -40,7 +40,7 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +73,72 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_RANDOM = np.random.default_rng(20240101)
+_LETTER = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
+_RUN = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_REACH = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(
+            np.concatenate([[np.uint64(1)], np.full(_REACH - 1, base, np.uint64)]))
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOW = np.frombuffer(LOWER, np.uint8)
+
+
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch, A-Z in lower case, and where each text's words begin.
+
+    Words are runs of bytes other than space and 0x09 to 0x0D. A word's hash is a polynomial in its
+    bytes, taken from running sums over the batch, so no word becomes an object. The second array has
+    one entry more than there are texts.
+    """
+    raw = texts.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+    offsets = offsets.astype(np.int64)
+    data = (np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+            if len(raw) and raw.buffers()[2] is not None else np.empty(0, np.uint8))
+    offsets = offsets - offsets[0]
+    data = _LOW[data]
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[-1] = True
+    starts = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
+    ends = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            low = starts[at]
+            stop = int(np.searchsorted(ends, low + _REACH, "left"))
+            if stop == at:  # a word beyond the reach is hashed alone, wherever it stands
+                hashes[at] = xxhash.xxh64_intdigest(data[low:ends[at]].tobytes())
+                at += 1
+                continue
+            a, b = starts[at:stop] - low, ends[at:stop] - low
+            sums = np.zeros(b[-1] + 1, np.uint64)
+            np.cumsum(_LETTER[data[low:low + b[-1]]] * _UP[:b[-1]], out=sums[1:])
+            hashes[at:stop] = mix((sums[b] - sums[a]) * _DOWN[a] + (b - a).astype(np.uint64))
+            at = stop
+    return hashes, np.searchsorted(starts, offsets)
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash for each run of ``n`` words, in order; none when there are fewer words."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
     count = len(hashes) - n + 1
-    out = np.zeros(count, np.uint64)
+    if count < 1:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = mix(out * np.uint64(0x100000001B3) + hashes[k:k + count])
-    return out
+        out = hashes[:count] * _RUN[0]
+        for k in range(1, n):
+            out += hashes[k:k + count] * _RUN[k]
+    return mix(out)
 
 
 def prefix_sums(totals: DataFrame, index: str, value: str, out: str, width: int = 1024) -> DataFrame:
@@ -99,14 +156,22 @@ def prefix_sums(totals: DataFrame, index: str, value: str, out: str, width: int
 
 
 def segment_rows(total: np.ndarray, segments: int) -> pa.RecordBatch:
-    """An array of counts as rows (segment, counts); segments of zeros are left out."""
-    parts = np.array_split(total.ravel(), segments)
+    """An array of counts, cut along its first axis, as rows (segment, counts) without empty ones."""
+    parts = np.array_split(total, segments)
     used = [k for k, part in enumerate(parts) if part.any()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
+        [pa.array(used, pa.int32()), pa.array([packed(parts[k]) for k in used], pa.binary())],
         ["segment", "counts"])
 
 
+def packed(array: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 def summed_segments(rows: DataFrame, kind: str, tasks: int = 16) -> DataFrame:
     """The sum of each segment's arrays of ``kind``, one array at a time as the rows stream in."""
 
@@ -114,10 +179,10 @@ def summed_segments(rows: DataFrame, kind: str, tasks: int = 16) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, counts in zip(*batch.columns, strict=True):
-                part, k = np.frombuffer(counts.as_buffer(), kind), segment.as_py()
+                part, k = unpacked(counts.as_py(), kind), segment.as_py()
                 total[k] = total[k] + part if k in total else part
         yield pa.RecordBatch.from_arrays(
-            [pa.array(total, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+            [pa.array(total, pa.int32()), pa.array([packed(v) for v in total.values()], pa.binary())],
             ["segment", "counts"])
 
     return (rows.select("segment", "counts").repartition(tasks, "segment")
@@ -128,5 +193,5 @@ def gathered(rows: DataFrame, kind: str, segments: int, size: int) -> np.ndarray
     """The summed array itself; its size is a parameter of the caller, whatever the data."""
     out = np.array_split(np.zeros(size, kind), segments)
     for row in summed_segments(rows, kind).collect():
-        out[row.segment] = np.frombuffer(row.counts, kind)
+        out[row.segment] = unpacked(row.counts, kind)
     return np.concatenate(out)
