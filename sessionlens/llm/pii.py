@@ -298,7 +298,8 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = cut(found)
     joined = docs.join(found, docs[key].cast("long").eqNullSafe(found["_key"])
                        & (F.xxhash64(docs[text]) == found["_hash"]), "left")
-    column = docs.columns.index(text)
+    names = docs.columns
+    column = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,9 +309,9 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 texts.append(mask(body, spans) if spans else body)
             columns = list(batch.columns)[:-1]
             columns[column] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, list(docs.columns))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*[docs[c] for c in docs.columns], found["_spans"]).mapInArrow(run, docs.schema)
+    return joined.select(*[docs[c] for c in names], found["_spans"]).mapInArrow(run, docs.schema)
 
 
 def mask(text: str, spans: str) -> str:

@@ -90,9 +90,11 @@ def cleaned(docs: DataFrame, text: str = "text", lost: float = MAX_LOST_SHARE) -
     """The documents that are kept, all their columns, with their failing lines removed."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
                          docs[text].alias("_text"))
-    return _judged(packed, lost).where("kept").select(*[
-        F.col("clean_text").alias(c) if c == text else F.col("_row").getField(c).alias(c)
-        for c in docs.columns])
+    # a generator, as a filter would be pushed below the steps and spell each of them out again
+    row = F.when(F.col("kept"), F.array(F.struct("_row", "clean_text")))
+    return _judged(packed, lost).select(F.explode(row).alias("_kept")).select(*[
+        F.col("_kept.clean_text").alias(c) if c == text else
+        F.col("_kept._row").getField(c).alias(c) for c in docs.columns])
 
 
 VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
