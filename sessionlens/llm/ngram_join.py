@@ -7,7 +7,8 @@ candidate must do so under several orders; only then are the sets compared.
   document, tells which those are; it decides an order, so its errors cost time and never a link.
   The pairs come from an equi-join on the first tokens of this order. Tokens that one document alone
   has there cannot join; a Bloom filter of fixed size keeps nearly all of them out of the shuffle.
-* The other orders are checked per candidate pair, from the sets, before the exact comparison.
+* The other orders are checked per candidate pair before the exact comparison. Pairs that differ too
+  much in how many tokens they have in each share of the hash space go before any set is moved.
 
 No pairs within a group of copies. Equal sets are one node. Near copies are first tied to a hub: the
 smallest node with the same least token, under each of three random orders. Links found so are merged
@@ -35,6 +36,7 @@ from sessionlens.llm.shared import batch_words, cut, gathered, grams, mix, segme
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
+SHARES = 64
 SKETCH_BITS = 22
 SEGMENTS = 64
 BLOOM_BITS = 27
@@ -84,6 +86,12 @@ def prefix(tokens: np.ndarray, levels: np.ndarray | None, order: int, percent: i
     return tokens[np.argpartition(order_key(tokens, levels, order), size - 1)[:size]]
 
 
+def share_counts(tokens: np.ndarray) -> bytes:
+    """How many tokens fall to each of ``SHARES`` equal shares of the hash space."""
+    counts = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=SHARES)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
 def signed(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64), pa.int64())
 
@@ -95,8 +103,8 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 
 SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
-          "segment": pa.int32(), "counts": pa.binary()}
-SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, segment int, "
+          "shares": pa.binary(), "segment": pa.int32(), "counts": pa.binary()}
+SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, shares binary, segment int, "
               "counts binary")
 
 
@@ -113,12 +121,13 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            sizes, nodes, least, tokens_held = [], [], [], 0
+            sizes, nodes, least, shares, tokens_held = [], [], [], [], 0
             for tokens in shingle_sets(batch.column(1), n):
                 sizes.append(len(tokens))
                 nodes.append(fingerprint(tokens) if len(tokens) else None)
                 least.append([int(mix(tokens, k).min().view(np.int64)) for k in range(1, ORDERS + 1)]
                              if len(tokens) else None)
+                shares.append(share_counts(tokens))
                 held.append(tokens)
                 tokens_held += len(tokens)
                 if tokens_held > BATCH_TOKENS:
@@ -127,11 +136,12 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
             if held:
                 count()
             none = [None] * len(sizes)
-            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, none, none])
+            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, shares,
+                                      none, none])
         counts = segment_rows(sketch.astype("<i8"), SEGMENTS)
         none = pa.nulls(counts.num_rows)
         yield pa.RecordBatch.from_arrays(
-            [none.cast(t) for t in list(SURVEY.values())[:5]] + counts.columns, list(SURVEY))
+            [none.cast(t) for t in list(SURVEY.values())[:6]] + counts.columns, list(SURVEY))
 
     return docs.mapInArrow(run, SURVEY_SQL)
 
@@ -243,79 +253,79 @@ def prefix_rows(docs: DataFrame, levels, bloom, n: int, percent: int) -> DataFra
     return docs.mapInArrow(run, "token long, node binary, n long")
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, levels, n: int, percent: int, whole: bool) -> DataFrame:
-    """node, tokens: the sets of the documents with these keys, tokens as packed longs.
-
-    Without ``whole`` only the first tokens under each order after the first, as 32-bit hashes: node,
-    n, tokens, with as many from each order as ``prefix_size`` says.
-    """
+def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """node, tokens: the sets of the documents with these keys, tokens as packed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"node": pa.binary(), "n": pa.int64(), "tokens": pa.binary()}
+        schema = {"node": pa.binary(), "tokens": pa.binary()}
         for batch in batches:
-            nodes, sizes, sets, held = [], [], [], 0
+            nodes, sets, held = [], [], 0
             for tokens in shingle_sets(batch.column(1), n):
                 nodes.append(fingerprint(tokens))
-                sizes.append(len(tokens))
-                sets.append(tokens.tobytes() if whole else b"".join(
-                    mix(prefix(tokens, levels.value, k, percent), k).astype("<u4").tobytes()
-                    for k in range(2, ORDERS + 1)))
+                sets.append(tokens.tobytes())
                 held += len(sets[-1])
                 if held > 16 << 20:
-                    yield batch_of(schema, [nodes, sizes, sets])
-                    nodes, sizes, sets, held = [], [], [], 0
-            yield batch_of(schema, [nodes, sizes, sets])
+                    yield batch_of(schema, [nodes, sets])
+                    nodes, sets, held = [], [], 0
+            yield batch_of(schema, [nodes, sets])
 
     if keys.count() <= MAX_BROADCAST_KEYS:  # 8 bytes each
         keys = F.broadcast(keys)
     return (docs.join(keys, docs.key.eqNullSafe(keys.key), "left_semi")
-            .mapInArrow(run, "node binary, n long, tokens binary"))
+            .mapInArrow(run, "node binary, tokens binary"))
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets could be similar enough by how many tokens each has in each hash share.
 
+    Two sets have no more in common than, summed over the shares, the smaller of their counts.
+    """
 
-def orders_agree(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets share a first token under each of the orders packed here."""
-    a, b = len(x) // (ORDERS - 1), len(y) // (ORDERS - 1)
-    return all(len(np.intersect1d(x[k * a:(k + 1) * a], y[k * b:(k + 1) * b]))
-               for k in range(ORDERS - 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"a": pa.binary(), "b": pa.binary()}
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SHARES).astype(np.int64)
+                    for c in (batch.column(2), batch.column(3)))
+            both, every = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            full = (x == 65535).any(1) | (y == 65535).any(1)  # a count beyond its field proves nothing
+            keep = pa.array(full | (100 * both >= percent * (every - both)))
+            yield batch_of(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
 
+    left = classes.select(F.col("node").alias("a"), F.col("shares").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("shares").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+               .mapInArrow(run, "a binary, b binary"))
 
-def passed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int, percent: int,
-           whole: bool) -> DataFrame:
-    """The pairs (a, b) whose sets, or first tokens, agree."""
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int,
+             percent: int) -> DataFrame:
+    """The pairs (a, b) that share a first token under every order and are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"a": pa.binary(), "b": pa.binary()}
         for batch in batches:
-            found = []
+            linked = []
             for a, b, x, y in zip(*batch.columns, strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8" if whole else "<u4") for s in (x, y))
-                if similar(x, y, percent) if whole else orders_agree(x, y):
-                    found.append((a.as_py(), b.as_py()))
-            yield batch_of(schema, [[p[0] for p in found], [p[1] for p in found]])
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                if not all(len(np.intersect1d(prefix(x, levels.value, k, percent),
+                                              prefix(y, levels.value, k, percent), True))
+                           for k in range(1, ORDERS + 1)):
+                    continue
+                both = len(np.intersect1d(x, y, True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    linked.append((a.as_py(), b.as_py()))
+            yield batch_of(schema, [[p[0] for p in linked], [p[1] for p in linked]])
 
+    pairs = possible(pairs, classes, percent)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = cut(classes.join(wanted, "node").select("key").distinct())
-    sets = sets_of(docs, keys, levels, n, percent, whole)
-    sets = cut(sets) if whole else cut(sets.dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return cut(pairs.join(left, "a").join(right, "b").where(fit).select("a", "b", "x", "y")
+    sets = cut(sets_of(docs, keys, n))
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
                .mapInArrow(run, "a binary, b binary").distinct())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int,
-             percent: int) -> DataFrame:
-    """The pairs (a, b) that share a first token under every order and are similar enough."""
-    agreed = passed(pairs, docs, classes, levels, n, percent, whole=False)
-    return passed(agreed, docs, classes, levels, n, percent, whole=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of ``edges`` (a, b): the same label where edges connect."""
     maps = []
@@ -390,9 +400,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
                        F.xxhash64(F.col(text)).alias("text_hash"))
     rows = cut(survey(docs, n))
     levels = spark.sparkContext.broadcast(levels_of(rows))
-    rows = rows.where("segment is null").select("key", "text_hash", "n", "node", "least")
+    rows = rows.where("segment is null").select(
+        "key", "text_hash", "n", "node", "least", "shares")
     classes = cut(rows.where("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.first("least").alias("least")))
+        F.min("key").alias("key"), F.first("least").alias("least"), F.first("shares").alias("shares")))
     near = verified(hub_pairs(classes), docs, classes, levels, n, percent)
     merged = components(near)
     tokens = shared_tokens(docs, levels, n, percent)
