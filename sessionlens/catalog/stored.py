@@ -229,8 +229,8 @@ on_tables("cohort_baseline", cohort_sql("provider")
     .select("cohort", "tool_calls"))
 on_tables("basis_note", cohort_sql("schema") + """
 SELECT 'schema' AS group_by, cohort AS baseline,
-  'harness_version is attributed from the configured harness timeline by session start, not declared by the harness; baseline '
-  || cohort || ' chosen by highest tool-call count' AS note, TRUE AS all_inferred
+  'no session states its harness_version: the configured harness timeline assigned it by start time; baseline '
+  || cohort || ': the cohort with the most tool calls' AS note, TRUE AS all_inferred
 FROM cohort ORDER BY tool_calls DESC, cohort LIMIT 1""")(
     lambda t: cohorts.basis_note(t, "schema", timeline_configured=True))
 

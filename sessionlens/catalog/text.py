@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import shell as sh
 from sessionlens.functions import text as tx
 from sessionlens.operators import commands
-from sessionlens.sources.tables import load, pick, spread
+from sessionlens.sources.tables import load, pick
 
 QUERIES: dict = {}
 
@@ -37,7 +37,7 @@ SELECT {key}, CASE WHEN length(line) > 160 THEN left(line, 160) || '…' ELSE li
   CAST(len(string_split(whole, '[REDACTED]')) - 1 AS INTEGER) AS masks, md5(whole) AS whole_md5 FROM m"""
 
     def run(spark, sf):
-        rows = spread(load(spark, sf, table).select(key, text), key)
+        rows = load(spark, sf, table).select(key, text)
         whole = tx.mask_secrets(F.col(text))
         return rows.select(
             key, tx.redact_excerpt(F.col(text)).alias("excerpt"),
@@ -64,7 +64,7 @@ VERB_SQL = r"""CASE
 
 def _verb(table: str, key: str, text: str):
     query(f"verb_class_{table}", f"SELECT {key}, {VERB_SQL.format(text)} AS verb_class FROM {table}")(
-        lambda spark, sf: spread(load(spark, sf, table).select(key, text), key).select(
+        lambda spark, sf: load(spark, sf, table).select(key, text).select(
             key, sh.verb_class(F.col(text)).alias("verb_class")))
 
 
@@ -86,24 +86,21 @@ WITH a AS (SELECT page_id, list_filter(regexp_extract_all(html,
     lambda p: NOT starts_with(p, '/dev/') AND NOT starts_with(p, '/proc/')) AS l FROM pages),
 o AS (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM a),
 f AS (SELECT page_id, p, min(i) AS i FROM o GROUP BY page_id, p),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM f)
-SELECT page_id, string_agg(p, ' ' ORDER BY i) AS paths FROM r WHERE n <= 20 GROUP BY page_id HAVING count(*) = 20"""
+r AS (SELECT page_id, string_agg(p, ' ' ORDER BY i) AS paths FROM f GROUP BY page_id)
+SELECT page_id, coalesce(paths, '') AS paths FROM pages LEFT JOIN r USING (page_id)"""
 
 
 @query("referenced_paths_pages", ABSOLUTE_SQL)
 def _paths(spark, sf):
-    """Pages whose absolute paths alone fill the list, so the relative ones add nothing."""
-    found = sh.referenced_paths(F.col("html"))
-    rows = spread(load(spark, sf, "pages").select("page_id", "html"), "page_id").select(
-        "page_id", found.alias("paths"))
-    full = F.size(F.filter("paths", lambda p: F.startswith(p, F.lit("/")))) == sh.MAX_PATHS
-    return rows.where(full).select("page_id", F.array_join("paths", " ").alias("paths"))
+    """The absolute paths that each page mentions; SQL has no look-around for the relative ones."""
+    absolute = F.filter(sh.referenced_paths(F.col("html")), lambda p: F.startswith(p, F.lit("/")))
+    return load(spark, sf, "pages").select("page_id", F.array_join(absolute, " ").alias("paths"))
 
 
 @query("document_commands")
 def _document_commands(spark, sf):
     """Every classified fact of every document taken as a command text."""
-    rows = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = load(spark, sf, "documents").select("doc_id", "text")
     return commands.target_kinds(commands.classify(rows, "text")).select(
         "doc_id", "verb_class", "write_kind",
         F.array_join(F.map_keys("target_kinds"), " ").alias("targets"),

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions.text import base_name
 
-MAX_PATHS = 20
-
 # --- fixed values -----------------------------------------------------------------------------
 B = r"(?<![A-Za-z0-9_])"
 E = r"(?![A-Za-z0-9_])"
@@ -59,8 +57,10 @@ SCRIPT_TARGET = (
 DD_OUTPUT = B + r"of=([^\s'\"`;|&<>()]+)"
 SEGMENT = r"(?=([^;&|\n]*))"
 REDIRECTION_WORD = r"^[0-9]*(?:<<<|<|>>|>|>\|)\z"
+REDIRECTION_TAKES = r"[0-9]*(?:<<<|<|>>|>\||>)"
 REDIRECTION_START = r"^(?:[<>]|[0-9]+[<>].*\z)"
 SCRIPT_OPTION = r"^-[A-Za-z]*[ef]\z"
+SCRIPT_TAKES = r"-[A-Za-z]*[ef]"
 SCRIPT_OPTION_INSIDE = r"(?s)\s-[A-Za-z]*[ef]\s"
 PATH_LIKE = (
     r"^(?:(?:[~.]{0,2}/)?[A-Za-z0-9_.~+-]*(?:/[A-Za-z0-9_.~+-]+){1,64}"
@@ -124,7 +124,7 @@ def write_kind(command: Column, surface: Column) -> Column:
 
 
 def redirect_targets(surface: Column) -> Column:
-    return F.slice(F.array_distinct(_find_all(surface, REDIRECT, 1)), 1, MAX_PATHS)
+    return F.array_distinct(_find_all(surface, REDIRECT, 1))
 
 
 def dd_targets(surface: Column) -> Column:
@@ -141,45 +141,29 @@ def script_targets(command: Column) -> Column:
         F.zip_with(_find_all(command, SCRIPT_TARGET, 4), _find_all(command, SCRIPT_TARGET, 6),
                    either),
         either)
-    return F.slice(F.array_distinct(named), 1, MAX_PATHS)
+    return F.array_distinct(named)
 
 
-def _segment_operands(words: Column, script_given: Column | None) -> Column:
-    """The file operands among one segment's words.
+def _segment_operands(tail: Column, script_given: Column | None) -> Column:
+    """The file operands of one segment's text, in order.
 
-    ``script_given`` says whether an option before the segment already named a script; None means
-    the tool takes no script, so its first word is an operand like the others. Only the first word
-    and the first MAX_PATHS distinct path-like later words can matter, so no more are held.
+    A redirection operator takes the word after it, and so does a script option of a tool that has
+    one; both words go in one left-to-right replacement. ``script_given`` says whether an option
+    before the segment already named a script. None means the tool takes no script, so its first
+    word is an operand like the others.
     """
-    scripted = script_given is not None
-    nothing = F.lit(None).cast("string")
-    start = F.struct(
-        F.lit(False).alias("skip"),
-        (script_given if scripted else F.lit(True)).alias("script"),
-        nothing.alias("first"),
-        F.array().cast("array<string>").alias("rest"))
-
-    def step(seen: Column, word: Column) -> Column:
-        option = F.startswith(word, F.lit("-"))
-        takes_script = (option & word.rlike(SCRIPT_OPTION)) if scripted else F.lit(False)
-        operator = word.rlike(REDIRECTION_WORD)
-        passed = seen["skip"] | (word == "") | operator | option | word.rlike(REDIRECTION_START)
-        later = (~passed & seen["first"].isNotNull() & word.rlike(PATH_LIKE)
-                 & (F.size(seen["rest"]) < MAX_PATHS)
-                 & ~F.array_contains(seen["rest"], word))
-        return F.struct(
-            (~seen["skip"] & (word != "") & (operator | takes_script)).alias("skip"),
-            (seen["script"] | (~seen["skip"] & takes_script)).alias("script"),
-            F.when(~passed & seen["first"].isNull(), word).otherwise(seen["first"]).alias("first"),
-            F.when(later, F.concat(seen["rest"], F.array(word)))
-            .otherwise(seen["rest"]).alias("rest"))
-
-    def finish(seen: Column) -> Column:
-        keep_first = seen["script"] & F.coalesce(seen["first"].rlike(PATH_LIKE), F.lit(False))
-        return F.when(keep_first, F.concat(F.array(seen["first"]), seen["rest"])) \
-            .otherwise(seen["rest"])
-
-    return F.aggregate(words, start, step, finish)
+    takes = REDIRECTION_TAKES if script_given is None else f"{REDIRECTION_TAKES}|{SCRIPT_TAKES}"
+    pair = rf"(?<!\S)({takes})(?!\S)\s+\S+"
+    words = F.split(F.regexp_replace(tail, pair, " "), r"\s+")
+    plain = F.filter(words, lambda w: ~((w == "") | w.rlike(REDIRECTION_WORD) | F.startswith(w, F.lit("-"))
+                                        | w.rlike(REDIRECTION_START)))
+    later = F.filter(F.slice(plain, 2, F.greatest(F.size(plain), F.lit(1))),
+                     lambda w: w.rlike(PATH_LIKE))
+    if script_given is None:
+        return F.filter(plain, lambda w: w.rlike(PATH_LIKE))
+    scripted = (script_given | F.exists(_find_all(tail, pair, 1), lambda w: w.rlike(SCRIPT_OPTION))
+                | F.exists(words, lambda w: w.rlike(SCRIPT_OPTION)))
+    return F.when(scripted, F.filter(plain, lambda w: w.rlike(PATH_LIKE))).otherwise(later)
 
 
 def operands(surface: Column, command_pattern: str, script_first: bool) -> Column:
@@ -189,9 +173,8 @@ def operands(surface: Column, command_pattern: str, script_first: bool) -> Colum
                          _find_all(surface, pattern, 2).alias("tail"))
 
     def per_match(m: Column) -> Column:
-        words = F.split(F.regexp_replace(m["tail"], r"^\s+|\s+$", ""), r"\s+")
         given = m["head"].rlike(SCRIPT_OPTION_INSIDE) if script_first else None
-        return _segment_operands(words, given)
+        return _segment_operands(m["tail"], given)
 
     return F.array_distinct(F.flatten(F.transform(found, per_match)))
 
@@ -199,25 +182,28 @@ def operands(surface: Column, command_pattern: str, script_first: bool) -> Colum
 def target_list(command: Column, surface: Column) -> Column:
     """``array<struct<path, kind>>`` of the files the text names as written.
 
-    A path that two forms name keeps the form of higher precedence; at most MAX_PATHS entries.
+    A path that two forms name keeps the form of higher precedence.
     """
+    forms = F.struct(
+        operands(surface, IN_PLACE, True).alias("IN_PLACE"),
+        redirect_targets(surface).alias("REDIRECT"),
+        operands(surface, TEE, False).alias("TEE"),
+        script_targets(command).alias("SCRIPT"),
+        F.concat(operands(surface, TRUNCATE, False), dd_targets(surface)).alias("CONTENT_TOOL"))
+
     def tagged(paths: Column, kind: str) -> Column:
         return F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit(kind).alias("kind")))
 
-    named = F.concat(
-        tagged(operands(surface, IN_PLACE, True), "IN_PLACE"),
-        tagged(redirect_targets(surface), "REDIRECT"),
-        tagged(operands(surface, TEE, False), "TEE"),
-        tagged(script_targets(command), "SCRIPT"),
-        tagged(operands(surface, TRUNCATE, False), "CONTENT_TOOL"),
-        tagged(dd_targets(surface), "CONTENT_TOOL"))
-    first_of_each = F.aggregate(
-        named, F.array().cast("array<struct<path:string,kind:string>>"),
-        lambda kept, t: F.when(
-            (F.size(kept) >= MAX_PATHS)
-            | F.exists(kept, lambda k: k["path"] == t["path"]), kept)
-        .otherwise(F.concat(kept, F.array(t))))
-    return first_of_each
+    def named(found: Column) -> Column:
+        parts, seen = [], F.array().cast("array<string>")
+        for kind in CONTENT_KINDS:
+            fresh = F.array_except(found[kind], seen)
+            parts.append(tagged(fresh, kind))
+            seen = F.concat(seen, found[kind])
+        return F.concat(*parts)
+
+    # bound once, as the element of an array, so that no form is searched for twice
+    return F.when(command.isNotNull(), F.get(F.transform(F.array(forms), named), F.lit(0)))
 
 
 def referenced_paths(command: Column) -> Column:
@@ -225,7 +211,7 @@ def referenced_paths(command: Column) -> Column:
     mentioned = F.concat(_find_all(command, ABSOLUTE), _find_all(command, RELATIVE))
     kept = F.filter(mentioned, lambda p: ~F.startswith(p, F.lit("/dev/"))
                     & ~F.startswith(p, F.lit("/proc/")))
-    return F.slice(F.array_distinct(kept), 1, MAX_PATHS)
+    return F.array_distinct(kept)
 
 
 def evidence_path(failed: Column, referenced: Column) -> Column:

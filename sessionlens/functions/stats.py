@@ -96,7 +96,7 @@ def spread(base: Column, cand: Column) -> Column:
         var = v["variance"]
         separate = (share((p["phi1"] - 1) * p["inv1"], s1, var)
                     + share((p["phi2"] - 1) * p["inv2"], s2, var))
-        # one phi serves both sides, so its excess is one estimate on its owner's sessions
+        # both sides borrow the same phi: count its excess once, with the sessions it came from
         shared = share((v["phi"] - 1) * (p["inv1"] + p["inv2"]),
                        F.when(p["shows1"], s1).otherwise(s2), var)
         return F.when(p["both"], separate).otherwise(shared)

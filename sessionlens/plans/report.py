@@ -17,7 +17,6 @@ from sessionlens.operators.filters import Tables, UnknownFilterValue, vocabulary
 from sessionlens.schema import PLANES
 
 REPORT_AXES = ("harnessVersion", "model", "provider", "role")
-MAX_DOCUMENT_ROWS = 100_000
 
 
 def _section(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -32,15 +31,11 @@ def _padded(number: Column) -> Column:
     return F.lpad((F.lit(Decimal(10 ** 19)) - number.cast("decimal(20,0)")).cast("string"), 20, "0")
 
 
-def recent_size(requested: int) -> int:
-    return max(1, min(findings.MAX_PAGE_SIZE, requested))
-
-
 def report_rows(t: Tables, group_by: str = "harnessVersion", baseline: str | None = None,
                 candidate: str | None = None, recent: int = 50) -> DataFrame:
     """Every section of the report. No section carries an evidence excerpt."""
     plane = F.array_position(F.array(*[F.lit(p) for p in PLANES]), F.col("plane"))
-    page, total = findings.findings_page(t, sort="time:desc", size=recent_size(recent))
+    page, total = findings.findings_page(t, sort="time:desc", size=recent)
     parts = [
         _section(board.tiles(t), "tiles"),
         _section(board.plane_mix(t), "plane_mix", plane),
@@ -77,15 +72,11 @@ def write_report_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("section").json(path)
 
 
-def report_document(rows: DataFrame, limit: int = MAX_DOCUMENT_ROWS) -> DataFrame:
+def report_document(rows: DataFrame) -> DataFrame:
     """One row, one column ``document``: the sections as arrays in their listing order.
 
-    Raises when the report has more rows than one document should hold; ``write_report_rows``
-    stores a report of any size.
+    One document is one value; ``write_report_rows`` stores a report that outgrows one.
     """
-    size = rows.count()
-    if size > limit:
-        raise ValueError(f"{size} report rows are too many for one document; write the rows instead")
     sections = rows.groupBy("section").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sort_key", "body"))),
                     lambda r: r["body"]).alias("bodies"))

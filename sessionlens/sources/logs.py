@@ -12,11 +12,16 @@ from sessionlens.schema import CONVENTIONS, EVENT_COLUMNS, EVENT_JSON, STREAM
 FILE_GLOB = "{" + ",".join(CONVENTIONS) + "}"
 
 
-def _stream_columns(path: Column) -> list[Column]:
+def _stream_columns(path: Column, encoded: bool) -> list[Column]:
+    """Names from a path; of an encoded one percent escapes alone are decoded, a plus sign is one."""
     parts = F.split(path, "/")
     named = [F.coalesce(F.try_element_at(parts, F.lit(-i)), F.lit("unknown")) for i in (1, 2, 3)]
-    return [F.url_decode(named[1]).alias("session_id"), named[0].alias("source_file"),
-            F.url_decode(named[2]).alias("project_slug"),
+
+    def plain(name: Column) -> Column:
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))) if encoded else name
+
+    return [plain(named[1]).alias("session_id"), named[0].alias("source_file"),
+            plain(named[2]).alias("project_slug"),
             F.try_element_at(tx.literal_map(CONVENTIONS), named[0]).alias("schema")]
 
 
@@ -25,7 +30,7 @@ def scan_streams(spark: SparkSession, root: str) -> DataFrame:
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", True).option("pathGlobFilter", FILE_GLOB).load(root))
     # the content column is never read: only names and sizes are listed
-    return files.select(*_stream_columns(F.col("path")), "length")
+    return files.select(*_stream_columns(F.col("path"), False), "length")
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
@@ -42,7 +47,7 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
 def lines_of(text: DataFrame, file_path: Column) -> DataFrame:
     """``value`` rows in file order to lines with their stream and position."""
     return (
-        text.select(*_stream_columns(file_path),
+        text.select(*_stream_columns(file_path, True),
                     F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
         .where(F.col("line").rlike(r"\S"))
     )

@@ -31,19 +31,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by ``key`` when the scan has only a few partitions per core.
-
-    For work that costs far more per row than a shuffle, on a table of one or two files, whose few
-    splits may all but one be empty: a Parquet row group is never divided. A large table has many
-    scan partitions per core and is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= 4 * cores:
-        return rows
-    return rows.repartition(cores, key)
-
-
 def pick(index: Column, values: list) -> Column:
     """The value at a row's index; an absent value is NULL."""
     return F.try_element_at(tx.literal_array(values), (index % len(values) + 1).cast("int"))
@@ -199,7 +186,7 @@ def command_text(template: Column, path: Column, name: Column) -> Column:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed log events: an activity line and a housekeeping line per row of ``events``."""
     k, user, at = F.col("k"), F.col("user_id"), F.col("event_id")
-    lines = spread(event_rows(spark, sf_dir), "event_id") \
+    lines = event_rows(spark, sf_dir).repartition("event_id") \
         .withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
     activity = tx.literal_map({
         "signup": "step/start", "view": "assistant/chunk", "purchase": "assistant/message",
