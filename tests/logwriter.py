@@ -1,4 +1,4 @@
-"""Writes small deterministic session logs for the tests: own scenarios, own values."""
+"""Writes small deterministic session logs for the tests."""
 
 from __future__ import annotations
 
@@ -81,137 +81,95 @@ class Log:
             out.write(zstandard.ZstdCompressor().compress(payload))
 
 
-def _stale_case(log, turn, time, path, command, first="read", last="edit"):
-    log.event("step/start", time, turn=turn, step=0)
-    log.tool(first, turn, 0, time + 1_000, file_path=path)
-    log.tool("bash", turn, 0, time + 3_000, command=command)
-    log.tool(last, turn, 0, time + 5_000, "FS_STALE_VERSION", file_path=path)
-    log.event("step/end", time + 6_000, turn=turn, step=0)
+class Scene:
+    """A log with a clock: every action happens ten seconds after the one before."""
+
+    def __init__(self, session, day, cwd, model=None, provider="local", **options):
+        self.log = Log(session, T0 + day * DAY + 7 * 3_600_000, cwd, **options)
+        self.cwd, self.now, self.turn = cwd, self.log.start, 0
+        if model:
+            self.log.context(self.now + 10, provider, model)
+
+    def tick(self):
+        self.now += 10_000
+        return self.now
+
+    def reads_in_a_step(self, name):
+        self.log.plain_step(0, self.tick(), f"{self.cwd}/{name}")
+        return self
+
+    def does(self, tool, name, code=None):
+        self.log.tool(tool, 1, 0, self.tick(), code, file_path=f"{self.cwd}/{name}")
+        return self
+
+    def runs(self, command):
+        self.log.tool("bash", 1, 0, self.tick(), command=command)
+        return self
+
+    def fails(self, tool, code, **arguments):
+        self.log.tool(tool, 1, 0, self.tick(), code, **arguments)
+        return self
+
+    def retries(self, *codes):
+        for code in codes:
+            self.log.event("llm/retry", self.tick(), turn=1, step=0, failure={"code": code})
+        return self
+
+    def dies(self, code, message):
+        self.log.event("turn/end", self.tick(), turn=2, reason={
+            "kind": "error", "error": {"code": code, "message": message}})
+        return self
+
+    def saved(self, root, project):
+        self.log.write(root, project)
 
 
 def write_corpus(root):
-    """Fifteen sessions in sixteen streams with a known set of findings."""
-    def at(day):
-        return T0 + day * DAY + 9 * 3_600_000
-
-    log = Log("w-01", at(0), "/srv/p1")
-    log.context(at(0) + 10, "local", "m-large")
-    log.plain_step(0, at(0) + 2_000, "/srv/p1/a.gradle")
-    _stale_case(log, 1, at(0) + 40_000, "/srv/p1/Main.java", "sed -i 's/x/y/' /srv/p1/Main.java")
-    log.write(root, "p1")
-
-    log = Log("w-02", at(1), "/srv/p1")
-    log.context(at(1) + 10, "local", "m-small")
-    log.plain_step(0, at(1) + 2_000, "/srv/p1/Makefile")
-    _stale_case(log, 1, at(1) + 40_000, "/srv/p1/GUIDE.md", "git checkout HEAD -- GUIDE.md")
-    log.write(root, "p1")
-
-    log = Log("w-03", at(2), "/srv/p1", preset="planner")
-    log.context(at(2) + 10, "local", "m-large")
-    log.plain_step(0, at(2) + 2_000, "/srv/p1/pkg.json")
-    _stale_case(log, 1, at(2) + 40_000, "/srv/p1/check.mjs", "node tools/check.mjs", first="write")
-    log.write(root, "p1")
-
-    log = Log("w-04", at(3), "/srv/p1")
-    log.context(at(3) + 10, "local", "m-large")
-    log.plain_step(0, at(3) + 2_000, "/srv/p1/n.md")
-    for i in range(3):
-        log.event("user/message", at(3) + 20_000 + i, text="the guide names quota_exceeded here")
-    log.event("turn/end", at(3) + 30_000, turn=1, reason={"kind": "error", "error": {
-        "code": "INVALID_REQUEST", "message": '400: {"code":"quota_exceeded"}'}})
-    log.write(root, "p1")
-
-    log = Log("w-05", at(4), "/srv/p1")
-    log.context(at(4) + 10, "local", "m-small")
-    log.plain_step(0, at(4) + 2_000, "/srv/p1/s.txt")
-    for i, code in enumerate(("TIMEOUT", "SERVER", "TIMEOUT")):
-        log.event("llm/retry", at(4) + 20_000 + i * 1_000, turn=1, step=0, failure={"code": code})
-    log.tool("web", 2, 0, at(4) + 60_000, "WEB_PROVIDER_CREDENTIAL_MISSING", query="q")
-    log.write(root, "p1")
-
-    log = Log("w-06", at(5), "/srv/two")
-    log.context(at(5) + 10, "local", "m-large")
-    log.plain_step(0, at(5) + 2_000, "/srv/two/R.md")
-    log.tool("edit", 1, 0, at(5) + 40_000, "FS_NOT_FOUND", file_path="/srv/two/gone.txt")
-    log.write(root, "two")
-    log = Log("w-06", at(5), "/srv/two", version=3)
-    log.context(at(5) + 10, "local", "m-small")
-    log.plain_step(0, at(5) + 2_000, "/srv/two/R.md")
-    log.write(root, "two")
-
-    log = Log("w-07", at(7), "/srv/v3", version=3, preset="planner")
-    log.context(at(7) + 10, "local", "m-large")
-    log.plain_step(0, at(7) + 2_000, "/srv/v3/R.md")
-    _stale_case(log, 1, at(7) + 40_000, "/srv/v3/conf.yaml",
-                "python -c \"open('/srv/v3/conf.yaml', 'w').write('z')\"", last="write")
-    log.write(root, "v3")
-
-    log = Log("w-08", at(8), "/srv/v3", version=3, preset=None)
-    log.context(at(8) + 10, "local", "m-small")
-    log.event("step/start", at(8) + 2_000, turn=0, step=0)
-    log.event("assistant/message", at(8) + 7_000, turn=0, step=0,
-              usage={"inputTokens": 700, "outputTokens": 140},
-              stream=[{"type": "reasoning-chunks"}, {"type": "chunk"}])
-    log.event("step/end", at(8) + 7_500, turn=0, step=0)
-    log.write(root, "v3")
-
-    log = Log("w-09", at(9), "/srv/plain")
-    log.plain_step(0, at(9) + 2_000, "/srv/plain/n.txt")
-    log.write(root, "plain")
-
-    log = Log("w-10", at(10), "/srv/plain", version=3, preset="planner", depth=1)
-    log.context(at(10) + 10, "remote", "m-large")
-    log.plain_step(0, at(10) + 2_000, "/srv/plain/R.md")
-    log.write(root, "plain")
-
-    log = Log("w-11", at(11), "/srv/plain", depth=1)
-    log.context(at(11) + 10, "remote", "m-small")
-    log.plain_step(0, at(11) + 2_000, "/srv/plain/src/app.mjs")
-    log.tool("search", 1, 0, at(11) + 40_000, "SEARCH_FAILED", pattern="d", path="/srv/plain/src")
-    log.write(root, "plain")
-
-    log = Log("w-15", at(12), "/srv/plain")
-    log.context(at(12) + 10, "local", "m-large")
-    app, notes = "/srv/plain/src/app.mjs", "/srv/plain/notes.md"
-    log.plain_step(0, at(12) + 2_000, app)
-    t = at(12) + 30_000
-    log.tool("read", 1, 0, t + 1_000, file_path=app)
-    log.tool("edit", 1, 0, t + 2_000, file_path=app)
-    log.tool("edit", 1, 0, t + 3_000, "FS_EDIT_NOT_FOUND", file_path=app)
-    log.tool("edit", 1, 0, t + 4_000, "FS_EDIT_NOT_FOUND", file_path=app)
-    log.tool("read", 1, 0, t + 5_000, file_path=app)
-    log.tool("edit", 1, 0, t + 6_000, "FS_EDIT_NOT_FOUND", file_path=app)
-    log.tool("read", 1, 0, t + 7_000, file_path=notes)
-    log.tool("bash", 1, 0, t + 8_000, command=f"cat > {notes} <<'END'\n# n\nbody\nEND")
-    log.tool("bash", 1, 0, t + 9_000,
-             command="python3 - <<'END'\nfrom pathlib import Path\n"
-                     "Path('src/app.mjs').write_text('x')\nEND")
-    log.tool("bash", 1, 0, t + 10_000, command=f"cp {app} {app}.bak")
-    log.event("turn/end", t + 13_000, turn=2, reason={"kind": "error", "error": {
-        "code": "SERVER", "message": '503: {"code":503,"message":"busy","type":"unavailable_error"}'}})
-    log.write(root, "plain")
-
-    log = Log("w-12", at(13), "/srv/b")
-    log.context(at(13) + 10, "local", "m-large")
-    log.plain_step(0, at(13) + 2_000, "/srv/b/R.md")
-    _stale_case(log, 1, at(13) + 40_000, "/srv/b/main.mjs", "sed -i 's/o/n/' /srv/b/main.mjs")
-    log.write(root, "b")
-
-    log = Log("w-13", at(14), "/srv/b")
-    log.context(at(14) + 10, "local", "m-small")
-    log.plain_step(0, at(14) + 2_000, "/srv/b/R.md")
-    for i, code in enumerate(("TRANSPORT", "SERVER")):
-        log.event("llm/retry", at(14) + 20_000 + i * 1_000, turn=1, step=0, failure={"code": code})
-    log.tool("edit", 2, 0, at(14) + 60_000, "FS_NOT_OBSERVED", file_path="/srv/b/ghost.txt")
-    log.write(root, "b")
-
-    log = Log("w-14", at(15), "/srv/b")
-    log.context(at(15) + 10, "local", "m-small")
-    log.plain_step(0, at(15) + 2_000, "/srv/b/R.md")
-    log.lines.insert(3, "{broken")
-    log.lines.insert(5, "   ")
-    log.write(root, "b")
-
-    # lock files and strangers are skipped
-    with open(os.path.join(root, "b", "w-14", "session.lock"), "w") as out:
-        out.write("x")
+    """Six sessions in seven streams; each mixes several situations. test_corpus.py says which."""
+    (Scene("amber", 1, "/data/ops", "m-large")
+     .reads_in_a_step("inventory.ini")
+     .fails("search", "SEARCH_FAILED", pattern="host", path="/data/ops")
+     .does("read", "deploy.sh").runs("printf done >> /data/ops/deploy.sh")
+     .does("edit", "deploy.sh", "FS_STALE_VERSION")
+     .does("read", "roles.yml").runs("git restore roles.yml")
+     .does("write", "roles.yml", "FS_STALE_VERSION")
+     .saved(root, "ops"))
+
+    (Scene("birch", 8, "/data/ops", "m-small", "remote", version=3, preset="planner", depth=1)
+     .reads_in_a_step("inventory.ini").retries("TIMEOUT", "SERVER")
+     .does("write", "vars.json").runs("python3 -c \"open('/data/ops/vars.json','w').write('{}')\"")
+     .does("edit", "vars.json", "FS_STALE_VERSION")
+     .saved(root, "ops"))
+
+    (Scene("cedar", 3, "/data/site", "m-small", preset=None)
+     .reads_in_a_step("index.html")
+     .does("read", "app.css").does("edit", "app.css", "FS_EDIT_NOT_FOUND")
+     .does("edit", "app.css").does("edit", "app.css", "FS_EDIT_NOT_FOUND")
+     .does("edit", "app.css", "FS_EDIT_NOT_FOUND").runs("cp app.css app.css.old")
+     .dies("INVALID_REQUEST", '400: {"code":"prompt_too_long"}')
+     .saved(root, "site"))
+
+    (Scene("dune", 5, "/data/site", "m-large")
+     .reads_in_a_step("robots.txt").does("read", "lost.png", "FS_NOT_FOUND")
+     .fails("web", "WEB_PROVIDER_CREDENTIAL_MISSING", query="q")
+     .saved(root, "site"))
+    untimed = Scene("dune", 5, "/data/site", "m-large", version=3)
+    start = untimed.tick()
+    untimed.log.event("step/start", start, turn=0, step=0)
+    untimed.log.event("assistant/message", start + 900, turn=0, step=0,
+                      usage={"inputTokens": 50, "outputTokens": 77}, stream=[{"type": "chunk"}])
+    untimed.log.event("step/end", start + 1_000, turn=0, step=0)
+    untimed.saved(root, "site")
+
+    (Scene("elm", 9, "/data/lab")
+     .reads_in_a_step("data.tsv").does("read", "plot.py").runs("node render.js")
+     .does("edit", "plot.py", "FS_STALE_VERSION").retries("SERVER", "SERVER", "TRANSPORT")
+     .saved(root, "lab"))
+
+    broken = (Scene("fjord", 10, "/data/lab", "m-large", version=3)
+              .reads_in_a_step("data.tsv").does("read", "fit.py").runs("sed -i 1d fit.py")
+              .dies("SERVER", '529: {"code":529,"type":"overloaded"}'))
+    broken.log.lines[2:2] = ["{not json", "  "]
+    broken.saved(root, "lab")
+    with open(os.path.join(root, "lab", "fjord", "session.lock"), "w") as out:
+        out.write("no log")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logwriter import write_corpus
+from logwriter import Scene, write_corpus
 from sessionlens.operators import findings
 from sessionlens.operators.detectors import Detector, finding_rows
 from sessionlens.operators.filters import Filter, UnknownFilterValue
@@ -33,86 +33,101 @@ def counts(df, *keys):
             for r in df.groupBy(*keys).count().collect()}
 
 
+#: What each session's situations must give, by the rules: (detector, category, code, detail).
+EXPECTED = {
+    "amber": [("error-plane", None, "SEARCH_FAILED", None),
+              ("shell-edit", "DIRECT_MUTATION", None, "REDIRECT"),
+              ("stamp-guard", "DIRECT_MUTATION", "FS_STALE_VERSION", None),
+              ("stamp-guard", "VCS_RESTORE", "FS_STALE_VERSION", None)],
+    "birch": [("retry-storm", None, "SERVER", None), ("shell-edit", "DIRECT_MUTATION", None, "SCRIPT"),
+              ("stamp-guard", "DIRECT_MUTATION", "FS_STALE_VERSION", None)],
+    "cedar": [("edit-miss", "MISS_AFTER_EDIT", "FS_EDIT_NOT_FOUND", None),
+              ("edit-miss", "MISS_AFTER_READ", "FS_EDIT_NOT_FOUND", None),
+              ("edit-miss", "REPEATED_MISS", "FS_EDIT_NOT_FOUND", None),
+              ("fatal-turn", None, "INVALID_REQUEST", "prompt_too_long")],
+    "dune": [("error-plane", None, "FS_NOT_FOUND", None),
+             ("error-plane", None, "WEB_PROVIDER_CREDENTIAL_MISSING", None)],
+    "elm": [("retry-storm", None, "TRANSPORT", None),
+            ("stamp-guard", "EXTERNAL", "FS_STALE_VERSION", None)],
+    "fjord": [("fatal-turn", None, "SERVER", "overloaded"),
+              ("shell-edit", "DIRECT_MUTATION", None, "IN_PLACE")],
+}
+TOTAL = sum(map(len, EXPECTED.values()))
+
+
 def test_scan(spark, root, tmp_path):
     streams = logs.scan_streams(spark, root)
-    assert streams.count() == 16
-    assert counts(streams, "schema") == {"V0": 12, "V3": 4}
-    assert {r.project_slug for r in streams.collect()} == {"p1", "two", "v3", "plain", "b"}
+    assert counts(streams, "project_slug", "schema") == {
+        ("ops", "V0"): 1, ("ops", "V3"): 1, ("site", "V0"): 2, ("site", "V3"): 1,
+        ("lab", "V0"): 1, ("lab", "V3"): 1}
     empty = str(tmp_path)
     assert logs.scan_streams(spark, empty).count() == 0 == logs.read_events(spark, empty).count()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         logs.read_events(spark, str(tmp_path / "none")).count()
 
 
-def test_stored_counts(run):
+def test_folder_names_are_taken_as_they_are(spark, tmp_path):
+    names = {"a+b", "a b", "c%20d", "pct%zz", "ü&x"}
+    for name in names:
+        Scene(name, 1, "/w").reads_in_a_step("f").saved(str(tmp_path), "p+q r")
+    for found in (logs.scan_streams(spark, str(tmp_path)), logs.read_events(spark, str(tmp_path))):
+        rows = found.select("session_id", "project_slug").distinct().collect()
+        assert {r.session_id for r in rows} == names and {r.project_slug for r in rows} == {"p+q r"}
+
+
+def test_findings(run):
     t = run.tables
-    assert t.sessions.count() == 16
-    assert t.sessions.select("session_id").distinct().count() == 15
-    assert counts(t.findings, "plane") == {"GUARD": 6, "INFRASTRUCTURE": 5, "MODEL_MISUSE": 10}
-    assert counts(t.findings, "detector") == {
-        "shell-edit": 5, "error-plane": 4, "edit-miss": 3, "fatal-turn": 2, "retry-storm": 2,
-        "stamp-guard": 5}
-    assert t.findings.where("code is null").count() == 5
-    assert t.findings.select("id").distinct().count() == 21
+    found = {}
+    for r in t.findings.collect():
+        found.setdefault(r.session_id, []).append((r.detector, r.category, r.code, r.detail))
+    assert {k: sorted(v, key=str) for k, v in found.items()} == {
+        k: sorted(v, key=str) for k, v in EXPECTED.items()}
+    assert t.sessions.count() == 7 and t.findings.select("id").distinct().count() == TOTAL
+    assert counts(t.findings, "plane") == {"GUARD": 4, "INFRASTRUCTURE": 5, "MODEL_MISUSE": 8}
     assert run.bad_lines.agg(F.sum("bad_lines")).head()[0] == 1
     assert run.unmapped_codes.count() == 0
     assert t.findings.where("path_hint like '/%'").count() == 0
     assert t.evidence.where("path_hint like '/%'").count() == 0
 
 
-def test_scenarios(run):
-    rows = {(r.session_id, r.detector, r.seq): r for r in run.tables.findings.collect()}
-    by = {}
-    for (sid, det, _), r in sorted(rows.items(), key=lambda kv: (kv[0][0], kv[0][1], kv[0][2] or 0)):
-        by.setdefault((sid, det), []).append(r)
-    guard = by[("w-01", "stamp-guard")][0]
-    assert (guard.category, guard.confidence, guard.path_hint) == ("DIRECT_MUTATION", 0.9, "Main.java")
-    assert guard.stale_seq < guard.cause_seq < guard.seq
-    edit = by[("w-01", "shell-edit")][0]
-    assert (edit.detail, edit.confidence, edit.code) == ("IN_PLACE", 0.9, None)
-    assert edit.seq == guard.cause_seq and edit.stale_seq == guard.stale_seq
-    restore = by[("w-02", "stamp-guard")][0]
-    assert (restore.category, restore.confidence) == ("VCS_RESTORE", 0.9)
-    outside = by[("w-03", "stamp-guard")][0]
-    assert (outside.category, outside.confidence, outside.cause_seq) == ("EXTERNAL", None, None)
-    assert outside.stale_seq is not None and "is not a mutation" in outside.summary
-    fatal = by[("w-04", "fatal-turn")]
-    assert [(f.code, f.detail, f.summary) for f in fatal] == [
-        ("INVALID_REQUEST", "quota_exceeded",
-         "turn 1 ended in error: INVALID_REQUEST (quota_exceeded)")]
-    storm = by[("w-05", "retry-storm")][0]
-    assert (storm.code, storm.summary) == (
-        "TIMEOUT", "step exhausted its retry budget (3 retries, last TIMEOUT)")
-    assert by[("w-05", "error-plane")][0].plane == "INFRASTRUCTURE"
-    assert by[("w-06", "error-plane")][0].source_file == "session.jsonl.zstd"
-    assert by[("w-07", "shell-edit")][0].detail == "SCRIPT"
-    assert [f.category for f in by[("w-15", "edit-miss")]] == [
-        "MISS_AFTER_EDIT", "REPEATED_MISS", "MISS_AFTER_READ"]
-    assert sorted(f.detail for f in by[("w-15", "shell-edit")]) == ["REDIRECT", "SCRIPT"]
-    assert by[("w-15", "fatal-turn")][0].detail == "unavailable_error"
-    assert by[("w-11", "error-plane")][0].plane == "MODEL_MISUSE"
+def one(run, session, detector, category=None):
+    rows = run.tables.findings.where(
+        (F.col("session_id") == session) & (F.col("detector") == detector)
+        & F.col("category").eqNullSafe(F.lit(category))).collect()
+    assert len(rows) == 1
+    return rows[0]
+
+
+def test_what_a_finding_says(run):
+    guard, edit = one(run, "amber", "stamp-guard", "DIRECT_MUTATION"), one(
+        run, "amber", "shell-edit", "DIRECT_MUTATION")
+    assert (guard.confidence, guard.path_hint, edit.confidence) == (0.9, "deploy.sh", 0.9)
+    assert guard.stale_seq == edit.stale_seq < guard.cause_seq == edit.seq < guard.seq
+    outside = one(run, "elm", "stamp-guard", "EXTERNAL")
+    assert outside.cause_seq is None and outside.stale_seq is not None and outside.confidence is None
+    assert one(run, "fjord", "shell-edit", "DIRECT_MUTATION").confidence == 0.6  # named without folder
+    assert "2 retries" in one(run, "birch", "retry-storm").summary
+    assert "prompt_too_long" in one(run, "cedar", "fatal-turn").summary
+    assert one(run, "birch", "stamp-guard", "DIRECT_MUTATION").source_file.endswith("v3.jsonl.zstd")
 
 
 def test_steps(run):
-    steps = run.tables.steps
-    assert counts(steps, "timing_source").keys() == {"chunk-events", "embedded-stream", "none"}
-    v0 = steps.where("timing_source = 'chunk-events'").select("decode_tps", "ttft_ms").distinct()
-    assert [tuple(r) for r in v0.collect()] == [(155 / 2.2, 3200)]
-    v3 = steps.where("timing_source = 'embedded-stream'").select("decode_tps", "ttft_ms").distinct()
-    assert [tuple(r) for r in v3.collect()] == [(190 / 2.7, 900)]
-    untimed = steps.where("session_id = 'w-08'").head()
-    assert (untimed.decode_tps, untimed.ttft_ms, untimed.output_tokens) == (None, None, 140)
+    got = counts(run.tables.steps, "timing_source", "decode_tps", "ttft_ms", "output_tokens")
+    assert got == {("chunk-events", 155 / 2.2, 3200, 155): 4, ("embedded-stream", 190 / 2.7, 900, 190): 2,
+                   ("none", None, None, 77): 1}
 
 
 def test_sessions(run):
     rows = {(r.session_id, r.schema): r for r in run.tables.sessions.collect()}
-    assert rows[("w-01", "V0")].harness_version == "rules-v1"
-    assert rows[("w-07", "V3")].harness_version == "rules-v2"
-    assert rows[("w-09", "V0")].model is None
-    assert rows[("w-10", "V3")].role == "subagent"
-    assert rows[("w-01", "V0")].role == "orchestrator"
-    assert rows[("w-04", "V0")].fatal_turns == 1
-    assert rows[("w-08", "V3")].agent_preset is None
+    assert {k: (r.model, r.harness_version, r.role, r.fatal_turns) for k, r in rows.items()} == {
+        ("amber", "V0"): ("m-large", "rules-v1", "orchestrator", 0),
+        ("birch", "V3"): ("m-small", "rules-v2", "subagent", 0),
+        ("cedar", "V0"): ("m-small", "rules-v1", "orchestrator", 1),
+        ("dune", "V0"): ("m-large", "rules-v1", "orchestrator", 0),
+        ("dune", "V3"): ("m-large", "rules-v1", "orchestrator", 0),
+        ("elm", "V0"): (None, "rules-v2", "orchestrator", 0),
+        ("fjord", "V3"): ("m-large", "rules-v2", "orchestrator", 1)}
+    assert rows[("cedar", "V0")].agent_preset is None and rows[("birch", "V3")].agent_preset == "planner"
     assert "cwd" not in run.tables.sessions.columns
 
 
@@ -124,11 +139,12 @@ def test_privacy(run):
 
 def test_detail_and_context(run):
     t = run.tables
-    detail = {(r.session_id, r.detector): r for r in findings.finding_detail(t).collect()}
-    guard = detail[("w-01", "stamp-guard")]
-    assert guard.tool == "edit"
-    assert [(e.verb_class, e.path_hint) for e in guard.evidence] == [("MUTATING", "Main.java")]
-    assert detail[("w-03", "stamp-guard")].evidence == []
+    guard = one(run, "amber", "stamp-guard", "VCS_RESTORE")
+    outside = one(run, "elm", "stamp-guard", "EXTERNAL")
+    detail = {r.id: r for r in findings.finding_detail(t).collect()}
+    assert detail[guard.id].tool == "write" and detail[outside.id].evidence == []
+    assert [(e.verb_class, e.path_hint) for e in detail[guard.id].evidence] == [
+        ("VCS_RESTORE", "roles.yml")]
     ctx = findings.finding_context(t.findings, t.calls)
     marks = {r["mark"] for r in ctx.where(F.col("id") == guard.id).collect()}
     assert marks == {"finding", "cause", "stale", None}
@@ -137,12 +153,12 @@ def test_detail_and_context(run):
 def test_report(run, spark):
     rows = report.report_rows(run.tables, "harnessVersion")
     document = json.loads(report.report_document(rows).head()[0])
-    assert document["tiles"][0]["findings"] == 21
-    assert document["tiles"][0]["sessions"] == 15
+    assert document["tiles"][0]["findings"] == TOTAL
+    assert document["tiles"][0]["sessions"] == 6
     assert [p["plane"] for p in document["plane_mix"]] == ["INFRASTRUCTURE", "GUARD", "MODEL_MISUSE"]
     assert document["judge"][0]["scope"] == "total"
     assert [r["key"] for r in document["judge"][1:4]] == ["INFRASTRUCTURE", "GUARD", "MODEL_MISUSE"]
-    assert len(document["recent_findings"]) == 21
+    assert len(document["recent_findings"]) == TOTAL
     times = [f["occurred_at"] for f in document["recent_findings"]]
     assert times == sorted(times, reverse=True)
     assert "excerpt" not in json.dumps(document)
@@ -153,9 +169,8 @@ def test_report(run, spark):
 
 def test_questions(run):
     t = run.tables
-    board_parts = questions.overview(t, Filter(model="m-large"))
-    assert board_parts["tiles"].head().sessions == 8
-    assert questions.breakdown(t).agg(F.sum("count")).head()[0] == 21
+    assert questions.overview(t, Filter(model="m-large"))["tiles"].head().sessions == 3
+    assert questions.breakdown(t).agg(F.sum("count")).head()[0] == TOTAL
     with pytest.raises(UnknownFilterValue):
         questions.overview(t, Filter(model="M-LARGE"))
     rows, note = questions.cohort_table(t, "harnessVersion", timeline_configured=True)
@@ -166,20 +181,19 @@ def test_questions(run):
     verdicts, basis = questions.judgement(t, "harnessVersion")
     assert verdicts.head().scope == "total" and "no session states it" in basis
     page, total = questions.findings_page(t, detector="edit-miss", sort="time:asc", size=2)
-    assert [r.category for r in page.collect()] == ["MISS_AFTER_EDIT", "REPEATED_MISS"]
+    assert [r.category for r in page.collect()] == ["MISS_AFTER_READ", "MISS_AFTER_EDIT"]
     assert total.head().total == 3
     with pytest.raises(UnknownFilterValue):
-        questions.findings_page(t, session="w-99")
-    guard = t.findings.where("session_id = 'w-01' and detector = 'stamp-guard'").head()
+        questions.findings_page(t, session="zebra")
+    guard = one(run, "amber", "stamp-guard", "DIRECT_MUTATION")
     assert questions.finding(t, guard.id).head().tool == "edit"
     assert questions.finding(t, 1).count() == 0
     calls, near = questions.context(t, guard.id, window=2)
-    assert [c.mark for c in calls.collect()] == ["stale", "cause", "finding"]
-    assert {n.n_detector for n in near.collect()} == {"stamp-guard", "shell-edit"}
-    fatal = t.findings.where("session_id = 'w-15' and detector = 'fatal-turn'").head()
+    assert [c.mark for c in calls.collect()][:3] == ["stale", "cause", "finding"]
+    assert {n.n_detector for n in near.collect()} >= {"stamp-guard", "shell-edit"}
+    fatal = one(run, "fjord", "fatal-turn")
     calls, near = questions.context(t, fatal.id, window=1)
-    assert [c.name for c in calls.collect()] == ["bash", "bash"]
-    assert near.head().n_detector == "fatal-turn"
+    assert [c.name for c in calls.collect()][-1] == "bash"
 
 
 def test_rerun_is_idempotent_and_prunes(spark, root, run, tmp_path):
@@ -187,18 +201,18 @@ def test_rerun_is_idempotent_and_prunes(spark, root, run, tmp_path):
     again = sinks.merge_facts(t, t)
     for a, b in ((t.findings, again.findings), (t.calls, again.calls), (t.steps, again.steps)):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
-    scanned = t.sessions.where("session_id <> 'w-15'")
+    scanned = t.sessions.where("session_id <> 'cedar'")
     left = sinks.prune(t, scanned)
-    assert left.sessions.count() == 15 and left.findings.where("session_id='w-15'").count() == 0
+    assert left.sessions.count() == 6 and left.findings.where("session_id='cedar'").count() == 0
     summary = sinks.run_summary(left, run.bad_lines, sinks.pruned_streams(t.sessions, scanned)).head()
-    assert (summary.streams, summary.pruned, summary.parse_failures) == (15, 1, 1)
+    assert (summary.streams, summary.pruned, summary.parse_failures) == (6, 1, 1)
     sinks.write_facts(left, str(tmp_path / "prev"))
     second = index.index_run(spark, root, str(tmp_path / "next"),
                              index.IndexConfig(timeline=TIMELINE, store_evidence=False),
                              previous=str(tmp_path / "prev"))
-    assert second.tables.findings.count() == 21
+    assert second.tables.findings.count() == TOTAL
     assert second.pruned.count() == 0
-    assert second.tables.evidence.where("session_id = 'w-01'").count() == 0
+    assert second.tables.evidence.where("session_id = 'amber'").count() == 0
 
 
 def test_added_detector(spark, root):
