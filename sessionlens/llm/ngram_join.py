@@ -3,15 +3,16 @@
 Two sets this similar share a token among the first few of each, under every order of all tokens. A
 candidate must do so under several orders; only then are the sets compared.
 
-* The first order puts tokens of many documents last. A counting sketch of fixed size, over every
-  document, tells which those are; it decides an order, so its errors cost time and never a link.
-  The pairs come from an equi-join on the first tokens of this order. Tokens that one document alone
-  has there cannot join; a Bloom filter of fixed size keeps nearly all of them out of the shuffle.
+* All orders put common tokens last, those that several documents have among the first of a plain
+  random order. A Bloom filter of fixed size holds them; whom it names too many only moves in the
+  orders, which never costs a link. The pairs come from an equi-join on the first tokens of the
+  first order. Tokens that one document alone has there cannot join; a second Bloom filter keeps
+  nearly all of them out of the shuffle.
 * The other orders are checked per candidate pair before the exact comparison. Pairs that differ too
   much in how many tokens they have in each share of the hash space go before any set is moved.
 
 No pairs within a group of copies. Equal sets are one node. Near copies are first tied to a hub: the
-smallest node with the same least token, under each of three random orders. Links found so are merged
+smallest node with the same least token, under each of several random orders. Links found so are merged
 to components, and the join then only pairs nodes of different components: within one token, the
 nodes outside the most frequent component with all others.
 
@@ -31,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.shared import batch_words, cut, gathered, grams, mix, segment_rows
+from sessionlens.llm.shared import batch_words, cut, grams, mix
 
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
+HUBS = 6
+COMMON = 8
 SHARES = 64
-SKETCH_BITS = 22
-SEGMENTS = 64
 BLOOM_BITS = 27
 BLOOM_SEGMENTS = 256
 MAX_BROADCAST_KEYS = 1_000_000
@@ -71,19 +72,19 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def order_key(tokens: np.ndarray, levels: np.ndarray | None, order: int) -> np.ndarray:
-    key = mix(tokens, order)
-    if levels is None:
-        return key
-    level = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
-    return (level << np.uint64(58)) | (key >> np.uint64(6))
+def order_key(tokens: np.ndarray, common: np.ndarray | None, order: int) -> np.ndarray:
+    """Where tokens stand in an order: those of the Bloom filter ``common`` after all others."""
+    key = mix(tokens, order) >> np.uint64(1)
+    return key if common is None else key | (in_bloom(common, tokens).astype(np.uint64) << np.uint64(63))
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray | None, order: int, percent: int) -> np.ndarray:
-    size = prefix_size(len(tokens), percent)
+def prefix(tokens: np.ndarray, common: np.ndarray | None, order: int, percent: int,
+           times: int = 1) -> np.ndarray:
+    """The first tokens under an order: as many as decide, or that many ``times``."""
+    size = times * prefix_size(len(tokens), percent)
     if size >= len(tokens):
         return tokens
-    return tokens[np.argpartition(order_key(tokens, levels, order), size - 1)[:size]]
+    return tokens[np.argpartition(order_key(tokens, common, order), size - 1)[:size]]
 
 
 def share_counts(tokens: np.ndarray) -> bytes:
@@ -103,59 +104,29 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 
 SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
-          "shares": pa.binary(), "segment": pa.int32(), "counts": pa.binary()}
-SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, shares binary, segment int, "
-              "counts binary")
+          "shares": pa.binary()}
+SURVEY_SQL = "key long, text_hash long, n long, node binary, least array<long>, shares binary"
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document, its set's size, node and least token per order; and the counting sketch."""
+    """A row per document: its set's size, node, least token per order and counts by hash share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, mask = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64((1 << SKETCH_BITS) - 1)
-        held: list[np.ndarray] = []
-
-        def count() -> None:
-            slots = (np.concatenate(held) & mask).astype(np.int64)
-            sketch[:] += np.bincount(slots, minlength=len(sketch)).astype(np.uint32)
-            held.clear()
-
         for batch in batches:
-            sizes, nodes, least, shares, tokens_held = [], [], [], [], 0
+            sizes, nodes, least, shares = [], [], [], []
             for tokens in shingle_sets(batch.column(1), n):
                 sizes.append(len(tokens))
                 nodes.append(fingerprint(tokens) if len(tokens) else None)
-                least.append([int(mix(tokens, k).min().view(np.int64)) for k in range(1, ORDERS + 1)]
+                least.append([int(mix(tokens, k).min().view(np.int64)) for k in range(1, HUBS + 1)]
                              if len(tokens) else None)
                 shares.append(share_counts(tokens))
-                held.append(tokens)
-                tokens_held += len(tokens)
-                if tokens_held > BATCH_TOKENS:
-                    count()
-                    tokens_held = 0
-            if held:
-                count()
-            none = [None] * len(sizes)
-            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, shares,
-                                      none, none])
-        counts = segment_rows(sketch.astype("<i8"), SEGMENTS)
-        none = pa.nulls(counts.num_rows)
-        yield pa.RecordBatch.from_arrays(
-            [none.cast(t) for t in list(SURVEY.values())[:6]] + counts.columns, list(SURVEY))
+            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, shares])
 
     return docs.mapInArrow(run, SURVEY_SQL)
 
 
-def levels_of(rows: DataFrame) -> np.ndarray:
-    """How frequent the tokens of each sketch counter are, on a log scale above the usual counter."""
-    flat = gathered(rows.where("segment is not null"), "<i8", SEGMENTS, 1 << SKETCH_BITS)
-    usual = float(np.median(flat))
-    over = np.maximum((flat - usual) / (3 * np.sqrt(usual) + 4), 0.5)
-    return np.clip(np.floor(np.log2(over)) + 1, 0, 40).astype(np.uint8)
-
-
-def shared_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """The first tokens, under the first order, that more than one row has there."""
+def token_counts(docs: DataFrame, common, n: int, percent: int, times: int) -> DataFrame:
+    """token, n: tokens that more than one row has among its first ones under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"token": pa.int64(), "n": pa.int64()}
@@ -174,7 +145,7 @@ def shared_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                held.append(prefix(tokens, levels.value, 1, percent))
+                held.append(prefix(tokens, common and common.value, 1, percent, times))
                 size += len(held[-1])
                 if size > BATCH_TOKENS:
                     yield counted()
@@ -183,7 +154,7 @@ def shared_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
             yield counted()
 
     return (docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-            .where("n > 1").select("token"))
+            .where("n > 1"))
 
 
 def bloom_slots(tokens: np.ndarray) -> list[np.ndarray]:
@@ -191,6 +162,11 @@ def bloom_slots(tokens: np.ndarray) -> list[np.ndarray]:
     return [(mix(tokens, salt) & size).astype(np.int64) for salt in (101, 102, 103)]
 
 
+def in_bloom(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([
+        bits[s >> 3] & (np.uint8(128) >> (s & 7).astype(np.uint8)) > 0 for s in bloom_slots(tokens)])
+
+
 def bloom_of(tokens: DataFrame) -> np.ndarray:
     """A Bloom filter of the tokens, packed bits of a fixed size, built in segments."""
     width = (1 << BLOOM_BITS) // BLOOM_SEGMENTS
@@ -221,12 +197,12 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_rows(docs: DataFrame, levels, bloom, n: int, percent: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
     """token, node, n: the first tokens of each set that another set may have among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"token": pa.int64(), "node": pa.binary(), "n": pa.int64()}
-        bits, seen = np.frombuffer(bloom.value, np.uint8), set()
+        seen = set()
         for batch in batches:
             tokens_out, nodes, sizes, held = [], [], [], 0
             for tokens in shingle_sets(batch.column(1), n):
@@ -235,10 +211,8 @@ def prefix_rows(docs: DataFrame, levels, bloom, n: int, percent: int) -> DataFra
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                first = prefix(tokens, levels.value, 1, percent)
-                kept = [bits[s >> 3] & (np.uint8(128) >> (s & 7).astype(np.uint8)) > 0
-                        for s in bloom_slots(first)]
-                first = first[np.logical_and.reduce(kept)]
+                first = prefix(tokens, common.value, 1, percent)
+                first = first[in_bloom(bloom.value, first)]
                 if len(first):
                     tokens_out.append(first)
                     nodes.extend([node] * len(first))
@@ -297,7 +271,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                .mapInArrow(run, "a binary, b binary"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: int,
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, common, n: int,
              percent: int) -> DataFrame:
     """The pairs (a, b) that share a first token under every order and are similar enough."""
 
@@ -307,8 +281,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, n: i
             linked = []
             for a, b, x, y in zip(*batch.columns, strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if not all(len(np.intersect1d(prefix(x, levels.value, k, percent),
-                                              prefix(y, levels.value, k, percent), True))
+                if not all(len(np.intersect1d(prefix(x, common.value, k, percent),
+                                              prefix(y, common.value, k, percent), True))
                            for k in range(1, ORDERS + 1)):
                     continue
                 both = len(np.intersect1d(x, y, True))
@@ -399,17 +373,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
                        F.xxhash64(F.col(text)).alias("text_hash"))
     rows = cut(survey(docs, n))
-    levels = spark.sparkContext.broadcast(levels_of(rows))
-    rows = rows.where("segment is null").select(
-        "key", "text_hash", "n", "node", "least", "shares")
+    share = spark.sparkContext.broadcast
     classes = cut(rows.where("n > 0").groupBy("node").agg(
         F.min("key").alias("key"), F.first("least").alias("least"), F.first("shares").alias("shares")))
-    near = verified(hub_pairs(classes), docs, classes, levels, n, percent)
+    often = token_counts(docs, None, n, percent, 2).where(F.col("n") >= COMMON).select("token")
+    common = share(bloom_of(often))
+    bloom = share(bloom_of(token_counts(docs, common, n, percent, 1).select("token")))
+    near = verified(hub_pairs(classes), docs, classes, common, n, percent)
     merged = components(near)
-    tokens = shared_tokens(docs, levels, n, percent)
-    bloom = spark.sparkContext.broadcast(bloom_of(tokens).tobytes())
-    pairs = cut(cross_pairs(prefix_rows(docs, levels, bloom, n, percent), merged, percent))
-    links = near.union(verified(pairs, docs, classes, levels, n, percent))
+    pairs = cut(cross_pairs(prefix_rows(docs, common, bloom, n, percent), merged, percent))
+    links = near.union(verified(pairs, docs, classes, common, n, percent))
     found = components(links)
     labelled = classes.join(found, "node", "left").select(
         "node", "key", F.coalesce("label", "node").alias("label"))
