@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.shared import batch_words, cut, grams, mix
+from sessionlens.llm.shared import batch_words, cut, grams, mix, stored
 
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
-HUBS = 6
+HUBS = 4
 COMMON = 8
 SHARES = 64
 BLOOM_BITS = 27
@@ -338,16 +338,28 @@ def hub_pairs(classes: DataFrame) -> DataFrame:
             .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
 
-def cross_pairs(rows: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+def mixed_rows(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """token, node, n, comp, most, leader: the rows of tokens that nodes of several components have.
+
+    ``most`` is the component with the most rows of the token, ``leader`` its least node there.
+    """
+    placed = stored(rows.join(merged, "node", "left").select(
+        "token", "node", "n", F.coalesce("label", "node").alias("comp")))
+    groups = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min("node").alias("leader"))
+    most = groups.groupBy("token").agg(
+        F.max(F.struct("m", "comp", "leader")).alias("_most"), F.count("*").alias("comps")).where(
+        "comps > 1").select("token", F.col("_most.comp").alias("most"), F.col("_most.leader").alias("leader"))
+    return stored(placed.join(most, "token"))
+
+
+def leader_pairs(mixed: DataFrame) -> DataFrame:
+    """Each node outside a token's most frequent component with that component's leader there."""
+    return (mixed.where("comp != most")
+            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+
+
+def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components with a first token in common, of fitting sizes."""
-    placed = rows.distinct().join(merged, "node", "left").select(
-        "token", "node", "n", F.coalesce("label", "node").alias("comp"))
-    placed = cut(placed)
-    groups = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    most = cut(groups.groupBy("token").agg(
-        F.max(F.struct("m", "comp"))["comp"].alias("most"), F.count("*").alias("comps"))
-        .where("comps > 1").select("token", "most"))
-    mixed = placed.join(most, "token")
     other = mixed.where("comp != most").select(
         "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     every = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"),
@@ -381,8 +393,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     bloom = share(bloom_of(token_counts(docs, common, n, percent, 1).select("token")))
     near = verified(hub_pairs(classes), docs, classes, common, n, percent)
     merged = components(near)
-    pairs = cut(cross_pairs(prefix_rows(docs, common, bloom, n, percent), merged, percent))
-    links = near.union(verified(pairs, docs, classes, common, n, percent))
+    mixed = mixed_rows(prefix_rows(docs, common, bloom, n, percent).distinct(), merged)
+    near = near.union(verified(leader_pairs(mixed), docs, classes, common, n, percent))
+    merged = components(near)
+    mixed = mixed_rows(mixed.select("token", "node", "n"), merged)
+    links = near.union(verified(cross_pairs(mixed, percent), docs, classes, common, n, percent))
     found = components(links)
     labelled = classes.join(found, "node", "left").select(
         "node", "key", F.coalesce("label", "node").alias("label"))

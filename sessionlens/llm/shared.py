@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the work folder and read again: smaller than a checkpoint.
+
+    For tables of many narrow rows. The files stay until the work folder is emptied.
+    """
+    path = f"{work_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: bytes | None, lower: bool = False) -> list[bytes]:
     """Runs of bytes other than space and 0x09 to 0x0D; ``lower`` turns A-Z to a-z first."""
     if not text:
