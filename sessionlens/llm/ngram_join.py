@@ -13,8 +13,9 @@ candidate must do so under several orders; only then are the sets compared.
 
 No pairs within a group of copies. Equal sets are one node. Near copies are first tied to a hub: the
 smallest node with the same least token, under each of several random orders. Links found so are merged
-to components, and the join then only pairs nodes of different components: within one token, the
-nodes outside the most frequent component with all others.
+to components; then, within one token, each node outside the most frequent component is tied to the
+leader of that component. The join pairs what is left: within one token, the nodes outside the most
+frequent component with those of all other components.
 
 Nodes are 128-bit set fingerprints. Components are found by contraction: each node joins its least
 neighbour, edges between what is left go on to the next round.

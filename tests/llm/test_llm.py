@@ -466,7 +466,8 @@ def test_components_of_awkward_rows(spark):
 
 
 def test_contraction_finds_the_components_of_a_long_path(spark):
-    path = [(bytes([k // 256, k % 256]), bytes([(k + 1) // 256, (k + 1) % 256])) for k in range(60)]
+    node = lambda k: hashlib.md5(str(k).encode()).digest()
+    path = [(node(k), node(k + 1)) for k in range(60)]
     edges = spark.createDataFrame(path + [(b"zz", b"zy")], "a binary, b binary")
     labels = defaultdict(set)
     for r in ngram_join.components(edges).collect():
