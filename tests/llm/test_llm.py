@@ -533,7 +533,7 @@ def test_pipeline_stages(spark, tmp_path):
              (22, say(60) + " " + leak + " " + say(30), "en", "s", 0),
              (23, rows[5][1][:40] + " " + say(60) + " call +1 (555) 222-3333 now.", "en", "s", 0),
              (24, "spam " * 50, "en", "s", 0), (25, None, "en", "s", 0), (26, "", None, None, None),
-             (27, "Home | A | B | C\n" * 3 + say(40), "en", "s", 0)]
+             (27, "Home | A | B | C\n" + say(40), "en", "s", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(
