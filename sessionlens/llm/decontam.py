@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare seeds, then local alignment.
+"""Benchmark decontamination: seeds, then local alignment.
 
-A test item's short word runs are counted over every document. Of each few neighbouring runs of an item
-the one in the fewest documents becomes a seed, so seeds are rare and yet lie all along the item; no
-run is ruled out for being frequent. A passage that contains a seed is aligned with the item by
-Smith-Waterman over words, which tolerates replaced, added and missing words, and the score decides.
+Every short word run of a test item is a seed; none is ruled out for being frequent or for what its
+neighbours are, since an edit can break any of them. A passage that contains a seed and enough of the
+item's words is aligned with the item by Smith-Waterman over words, which tolerates replaced, added and
+missing words, and the score decides.
 
 The items are a stated query set. They are taken in blocks of bounded size; a block goes to every
-task, and documents are read where they lie, so nothing about them is shuffled but counts of the
-block's runs. Memory is one block and one batch of documents.
+task, and documents are read once a block, where they lie, so nothing about them is shuffled. Memory
+is one block and one batch of documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from sessionlens.llm.shared import WordHash, cut, grams
 
 SEED_WORDS = 3
-SEED_SPAN = 3  # one seed of each so many neighbouring runs
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SIMILARITY = 0.5
 BLOCK_WORDS = 1_000_000
@@ -48,8 +48,7 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
 class Items:
     """A block of test items and the table of their runs."""
 
-    def __init__(self, items: list[tuple[int, bytes]], counts: np.ndarray | None = None):
-        self.source = items
+    def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(t) for _, t in items]
         run, owner, place = [], [], []
@@ -62,9 +61,6 @@ class Items:
         flat, owner, place = (np.concatenate(x) if x else np.empty(0) for x in (run, owner, place))
         order = np.argsort(flat, kind="stable")
         self.run, self.owner, self.place = (x[order] for x in (flat, owner, place))
-        self.known = np.unique(self.run)
-        if counts is not None:
-            self._choose(run, counts)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._slot(self.run)] = True
 
@@ -72,16 +68,6 @@ class Items:
     def _slot(run: np.ndarray) -> np.ndarray:
         return (run & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
-    def _choose(self, run: list[np.ndarray], counts: np.ndarray) -> None:
-        """Keep the rarest run of each span of an item."""
-        chosen = set()
-        for k, found in enumerate(run):
-            rare = counts[np.searchsorted(self.known, found)] if len(found) else found
-            for a in range(0, len(found), SEED_SPAN):
-                chosen.add((k, a + int(np.argmin(rare[a:a + SEED_SPAN]))))
-        keep = np.array([(o, p) in chosen for o, p in zip(self.owner, self.place, strict=True)], bool)
-        self.run, self.owner, self.place = (x[keep] for x in (self.run, self.owner, self.place))
-
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the document, and the run there, of runs in the table."""
         at, what = [], []
@@ -136,10 +122,11 @@ def matches(items: Items, hashes: np.ndarray, least: float) -> Iterator[tuple]:
         k = int(owner[a])
         item, own = items.words[k], np.unique(shift[a:b])
         size, best = len(item), None
+        reach = math.ceil(MATCH * size * (1 - least))  # most gaps of an alignment that counts
         starts = [0, *(np.flatnonzero(np.diff(own) > size) + 1), len(own)]
         for s, e in pairwise(starts):
-            low = max(0, int(own[s]) - size // 2)
-            high = min(len(hashes), int(own[e - 1]) + size + size // 2)
+            low = max(0, int(own[s]) - reach)
+            high = min(len(hashes), int(own[e - 1]) + size + reach)
             passage = hashes[low:high]
             if np.isin(item, passage).sum() < least * size:
                 continue  # an alignment gains from words in common alone
@@ -164,29 +151,6 @@ def blocks_of(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[
         yield block
 
 
-def run_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each known run of the block is."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        total = np.zeros(len(block.known), np.int64)
-        for batch in batches:
-            for body in batch.column(1).cast(pa.binary()):
-                _, what = block.hits(word_hashes(body.as_py()))
-                if len(what):
-                    total[np.searchsorted(block.known, np.unique(what))] += 1
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["run", "n"])
-
-    counts = np.zeros(len(items.known), np.int64)
-    rows = docs.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    for row in rows.toLocalIterator():  # at most one row per run of the block
-        counts[row.run] = row.n
-    return counts
-
-
 FOUND = [("text_hash", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("score", pa.int64()),
          ("n_seeds", pa.int64()), ("word_start", pa.int64()), ("word_end", pa.int64()),
          ("item_start", pa.int64()), ("item_end", pa.int64())]
@@ -211,8 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         f"{n} {'double' if t == pa.float64() else 'long'}" for n, t in FOUND)
     found = []
     for block in blocks_of(benchmark, item_key, item_text):
-        counts = run_counts(docs, Items(block))
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block, counts))
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value

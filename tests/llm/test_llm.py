@@ -392,6 +392,35 @@ def test_leaks_exact_edited_and_none(spark):
     assert decontam.contaminated(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_edited_copies_equal_aligning_everything(spark, copies):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"term{k}" for k in range(3000)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    items = {k: say(n) for k, n in enumerate([20, 36, 60] * 4)}
+    docs = [say(40) + w + say(40) for w in items.values()] if copies else []
+    for item in items.values():
+        for step in (4, 5, 6, 7):
+            for first in range(0, step, 2):
+                hit = lambda i: i % step == first  # noqa: B023, E731
+                docs.append(say(30) + ["changed" if hit(i) else w for i, w in enumerate(item)] + say(30))
+                docs.append(say(9) + [w for i, w in enumerate(item) if not hit(i)])
+                docs.append([x for i, w in enumerate(item) for x in ([w, "added"] if hit(i) else [w])])
+    hashed = {k: decontam.word_hashes(" ".join(w).encode()) for k, w in items.items()}
+    want = {}
+    for d, words in enumerate(docs):
+        passage = decontam.word_hashes(" ".join(words).encode())
+        for k, item in hashed.items():
+            score = decontam.align(item, passage)[0]
+            if score >= decontam.MATCH * len(item) * decontam.MIN_SIMILARITY:
+                want[d, k] = score
+    got = decontam.contaminated(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == want
+    assert len(want) >= len(docs)
+
+
 # --- n-gram Jaccard join ----------------------------------------------------------------------
 
 def plain_components(rows, percent=85):
