@@ -31,7 +31,7 @@ from sessionlens.llm.shared import cut, work_folder
 CRLF, END = b"\r\n", b"\r\n\r\n"
 CHUNK_BYTES = 1 << 16
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 1 << 30
 MAX_BROADCAST_GROUPS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEME = "urn:x-record:"
@@ -53,6 +53,17 @@ def decide(pages: DataFrame, key: str, url: str, body: str, least: int) -> DataF
         (F.col("_owner") > F.col("_key")) | F.col("_key").isNull(), F.col("_owner")).alias("_refers"))
 
 
+def spread(rows: DataFrame, pages: DataFrame, body: str, most: int) -> DataFrame:
+    """``rows`` dealt anew where a partition of ``pages`` holds more than ``most`` bytes of payload.
+
+    A task writes one file: a record is never divided over files. A page counts as a row of average
+    size, and one beyond ``most`` still is in one file.
+    """
+    held = (pages.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length(body)).alias("_held"))
+            .agg(F.max("_held"), F.sum("_held")).first())
+    return rows.repartition(-(-held[1] // most)) if (held[0] or 0) > most else rows
+
+
 def _name(key: int | None) -> bytes:
     return f"<{SCHEME}{'' if key is None else key}>".encode()
 
@@ -93,13 +104,14 @@ def segments(key: int | None, url: str | None, payload: memoryview, digest: str,
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html",
-          chunk: int = CHUNK_BYTES, least: int = MIN_REVISIT_BYTES) -> None:
+          chunk: int = CHUNK_BYTES, least: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write one record per page; a repeated payload of ``least`` bytes or more is stored once.
 
     The page with the largest key among equal payloads is the response, the others are revisits that
     refer to it. Rows repeated with that largest key are responses all. An absent key counts as the
     smallest; where no row of the group has a key, all are responses. An absent body is an empty
-    payload. An empty table gives archives without records. Other columns are not carried.
+    payload. An empty table gives archives without records. Other columns are not carried. A file holds
+    whole records, about ``file_bytes`` of payload at most.
     """
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ").encode()
 
@@ -117,11 +129,12 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                         out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    (decide(pages, key, url, body, least).mapInArrow(run, "value binary")
+    decided = spread(decide(pages, key, url, body, least), pages, body, file_bytes)
+    (decided.mapInArrow(run, "value binary")
      .select(F.col("value").cast("string")).write.mode("overwrite")
      .option("lineSep", END.decode()).option("compression", "gzip")
      .option("zlib.compress.level", "BEST_SPEED")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder))
+     .option("maxRecordsPerFile", 0).text(folder))
 
 
 class Reader:

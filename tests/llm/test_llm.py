@@ -172,6 +172,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(none, folder=str(tmp_path / "none")).count() == 0
 
 
+def test_no_record_is_divided_over_files(spark, tmp_path):
+    rows = [(k, "u", "short") for k in range(30)] + [(30, "u", "long " * 30_000), (31, "u", "x" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    want = {k: (len(t), hashlib.sha1(t.encode()).hexdigest()) for k, _, t in rows}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        for name, size in (("one", warc.FILE_BYTES), ("many", 30_000)):
+            folder = tmp_path / name
+            warc.write(pages, str(folder), chunk=7, file_bytes=size)
+            got = warc.read(spark, str(folder)).where("is_last").collect()
+            assert {r.record_id: (r.bytes_so_far, r.digest_so_far) for r in got} == want
+            assert len(got) == len(rows)
+            assert (len(list(folder.glob("part-*"))) > 1) == (name == "many")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_a_damaged_archive_is_noticed():
     records = list(warc.segments(1, "u", memoryview(b"hello world"), hashlib.sha1(b"hello world").hexdigest(),
                                  None, 4, b"2024-01-01T00:00:00Z"))
