@@ -1,9 +1,11 @@
 """License scan by sentence rules.
 
-A text is cut into sentences, each is normalised, and those that a license is known to contain get
-their identifier. The identifiers, in text order, are matched against rules, longest first: a rule is a
-run of identifiers and names one license; what it matches is used up. Only expressions over one
-row; nothing is shuffled. Texts without any word that every known sentence has one of are not cut.
+A text is normalised, its sentence ends, line breaks and blank lines marked, and the sentences that a
+license is known to contain get their identifier. A known sentence stands between two marks and may
+run over single line breaks and semicolons, as license texts are wrapped, but over nothing else. The
+identifiers, in text order, are matched against rules, longest first: a rule is a run of identifiers and
+names one license; what it matches is used up. Only expressions over one row; nothing is shuffled.
+Texts with none of the words of which every known sentence has one are not searched.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ SENTENCES = {
     "all rights reserved": "reserved",
     "this work is dedicated to the public domain": "public-domain",
 }
-HINTS = r"licen[cs]e|copyright|rights reserved|redistribution|warranty|public domain"
+#: Single words, as these stand in a text in one piece before it is normalised too.
+HINTS = r"licen[cs]e|copyright|reserved|redistribution|warranty|domain"
 
 #: License and the run of identifiers that states it; an earlier rule comes first.
 RULES = [
@@ -97,11 +100,23 @@ def run_text(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
+#: Marks are capitals, which no lower-case text has: H ends a sentence; S, a line break, may end one or
+#: stand within; so may T, a semicolon, after which a sentence begins only where a known one ended.
+BREAK = r"(?>\r\n|\r|\n)"
+MARKS = [(r"[.!?:](?=[ \t\r\n])", " H "), (rf"{BREAK}(?:[^a-z0-9\r\n]*{BREAK})+", " H "),
+         (r"[\r\n]", " S "), (r";(?=[ \t])", " T ")]
+KNOWN = r"(?:(?<=[HS] )|\G T )(?:" + "|".join(
+    s.replace(" ", " (?:[ST] )*") for s in sorted(SENTENCES, key=len, reverse=True)) + ")(?= [HST])"
+
+
 def _sentence_ids(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "[\r\n]+")
+    marked = F.lower(text)
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    marked = F.regexp_replace(F.concat(F.lit("H "), marked, F.lit(" H")), "[^a-z0-9HST]+", " ")
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " ")))
-    return F.array_compact(F.transform(plain, lambda s: F.try_element_at(known, s)))
+    return F.transform(F.regexp_extract_all(marked, F.lit(KNOWN), F.lit(0)),
+                       lambda s: F.try_element_at(known, F.ltrim(F.regexp_replace(s, "[ST] ", ""))))
 
 
 def recognise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

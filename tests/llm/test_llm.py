@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from datetime import date
@@ -262,6 +263,55 @@ def test_license_rules(spark):
     assert licenses.recognise(empty(spark)).count() == 0
 
 
+def test_wrapped_license_texts(spark):
+    grant = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+             "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+             "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+             "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+             "subject to the following conditions:")
+    mit = [grant, "The above copyright notice and this permission notice shall be included in all copies or "
+           "substantial portions of the Software.",
+           "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+           "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+           "EVENT SHALL THE AUTHORS BE LIABLE."]
+    bsd = ["Copyright (c) 2020, Someone. All rights reserved.",
+           "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+           "that the following conditions are met:",
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+           "following disclaimer.",
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+           "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+           "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+           "promote products derived from this software without specific prior written permission."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+              "compliance with the License. You may obtain a copy of the License at",
+              "    http://www.apache.org/licenses/LICENSE-2.0",
+              "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+              "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+              "implied. See the License."]
+    gpl = ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+           "Public License as published by the Free Software Foundation; either version {} of the License, or (at "
+           "your option) any later version."]
+    texts = {"MIT": mit, "BSD-3-Clause,Proprietary": bsd, "BSD-2-Clause,Proprietary": bsd[:4], "Apache-2.0": apache,
+             "GPL-3.0-or-later": [gpl[0].format(3)], "GPL-2.0-or-later": [gpl[0].format(2)]}
+    wrap = lambda parts, width, start, end: (end + start.rstrip() + end).join(
+        end.join(start + x for x in textwrap.wrap(p, width)) for p in parts)
+    cases = [(wrap(parts, width, start, end), want) for want, parts in texts.items() for width in (30, 60, 72, 78)
+             for start in ("", "# ", " * ") for end in ("\n", "\r\n", "\r")]
+    cases += [("All  rights\treserved.", "Proprietary"), ("All rights\nreserved", "Proprietary"),
+              ("All rights\n\nreserved", ""), ("All rights\r\n \t\r\nreserved", ""), ("All rights. reserved", ""),
+              ("Mostly all rights reserved", ""), ("This work is dedicated to the public-domain.", "Public-Domain"),
+              ("Released under\nthe MIT\nlicense; see below", "MIT"), ("H All S rights reserved", "")]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.recognise(docs).collect()}
+    for k, (text, want) in enumerate(cases):
+        assert got[k].licenses == want, text
+    whole = [got[k] for k, (_, want) in enumerate(cases) if want == "Apache-2.0"]
+    assert {r.sentence_ids for r in whole} == {"apache-ref,apache-comply,apache-copy,apache-warranty"}
+    assert {r.n_unmatched for r in whole} == {0}
+
+
+
 # --- URL lists --------------------------------------------------------------------------------
 
 def test_url_lists(spark):
