@@ -18,6 +18,7 @@ from sessionlens.llm.shared import table, work_folder
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 4096
+SHINGLE, PERCENT = 5, 80  # op10's own query has other ones
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the least doc_id."""
-    return ngram_join.representatives(docs)
+    """One document of each group of documents linked by five-word shingles: the one with the least doc_id."""
+    return ngram_join.representatives(docs, n=SHINGLE, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

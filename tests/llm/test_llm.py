@@ -650,3 +650,32 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(texts)
     assert all(r.sequence_id == 0 for r in packed) == (sum(r.length for r in packed) <= 4096)
+
+
+def test_near_duplicates_of_the_pipeline_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(23)
+    rows, between = [], 0
+    for group in range(12):
+        first = [f"w{x}" for x in rng.integers(0, 3000, 140)]
+        copy = list(first)
+        for at in (20, 70, 120)[:2 + group % 2]:
+            copy[at] = "edited"
+        rows += [(" ".join(first)), (" ".join(copy))]
+    rows = [(int(k), t) for k, t in zip(rng.permutation(len(rows)), rows, strict=True)]
+
+    def jaccard(a, b, n):
+        a, b = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return 100 * len(a & b) / len(a | b)
+
+    gone = set()
+    for k, a in rows:
+        for other, b in rows:
+            if k < other and jaccard(a, b, 5) >= 80:
+                gone.add(other)
+                between += jaccard(a, b, 4) < 85
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({k for k, _ in rows} - gone)
+    assert between
