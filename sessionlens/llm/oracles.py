@@ -125,3 +125,57 @@ WITH capture AS (
 SELECT c.page_id, host, fetched, coalesce(list, 'none') AS verdict, name, valid_from, valid_to
 FROM capture c LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (page_id)
 """
+
+#: crc32 by its definition: a table of 256 rests, then a byte at a time
+_CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc_table FROM range(256) AS r(i))"""
+
+
+def _crc(list_of_bytes: str) -> str:
+    return (f"xor(list_reduce({list_of_bytes}, lambda c, b: "
+            "xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)")
+
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT c, c - c % 5 AS b, {_crc("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 9 AS h
+  FROM (SELECT DISTINCT c FROM t), {_CRC_TABLE}
+), seq AS (
+  SELECT conv.c, t.p, 0 AS part, t.r, t.x FROM conv JOIN t ON t.c = conv.b AND t.p <= conv.h
+  UNION ALL
+  SELECT conv.c, t.p, 1, t.r, t.x FROM conv JOIN t ON t.c = conv.c AND t.p > conv.h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d,
+    md5(md5(r) || md5(x)) AS k, strlen(x) AS n FROM seq
+), named AS (
+  SELECT c, d, n, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS name FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM conv
+), last AS (
+  SELECT c, max(d) AS d FROM named GROUP BY c
+), node AS (
+  SELECT name, d, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n FROM named GROUP BY name, d
+), kin AS (
+  SELECT node.*, up.conv_id AS parent_conv_id
+  FROM node LEFT JOIN named ON named.c = node.conv_id AND named.d = node.d - 1
+  LEFT JOIN node up ON up.name = named.name AND up.d = named.d
+), born AS (
+  SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM kin WHERE d > 0 GROUP BY ALL
+), own AS (
+  SELECT kin.*, coalesce(n_children, 0) AS n_children FROM kin LEFT JOIN born USING (conv_id, d)
+), total AS (
+  SELECT named.name, named.d, sum((n_children = 0)::BIGINT) AS n_leaves,
+    sum((n_convs - 1) * own.n) AS saved_tokens
+  FROM own JOIN named ON named.c = own.conv_id AND named.d <= own.d GROUP BY ALL
+), ends AS (
+  SELECT name, d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h
+  FROM named JOIN last USING (c, d) GROUP BY ALL
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM own JOIN total USING (name, d) LEFT JOIN ends USING (name, d)
+"""

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import (
-    decontam, licenses, lm, ngram_join, oracles, packing, pii, quality, sharding, urllist, warc,
+    decontam, licenses, lm, ngram_join, oracles, packing, pii, prefix_trie, quality, sharding, urllist,
+    warc,
 )
 from sessionlens.llm.shared import table
 
@@ -63,6 +64,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
     "op2_license_sentences": (op2_license_sentences, oracles.LICENSES),
@@ -74,4 +79,5 @@ QUERIES = {
     "op8_url_lists": (op8_url_lists, oracles.URL_LISTS),
     "op9_packing": (op9_packing, None),
     "op10_ngram_join": (op10_ngram_join, None),
+    "op11_prefix_trie": (op11_prefix_trie, oracles.PREFIX_TRIE),
 }
