@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sessionlens.llm import licenses as lic
 from sessionlens.llm import quality as q
+from sessionlens.llm import spelling as sp
 from sessionlens.llm import urllist as url
 
 
@@ -179,3 +180,43 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves A
   CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
 FROM own JOIN total USING (name, d) LEFT JOIN ends USING (name, d)
 """
+
+_UPPER, _LOWER = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+_BYTES = ("flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), "
+          "lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] "
+          "ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END))")
+
+SPELLING = f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
+      '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT w, n, {_crc(_BYTES)} AS h FROM run, {_CRC_TABLE}
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % {sp.CUT_ONE_IN} = 0
+      THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= {sp.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {sp.MIN_COUNT}
+), less AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS v
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b USING (i, v) WHERE a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON words.word = less.v
+  UNION SELECT words.word, less.word FROM less JOIN words ON words.word = less.v
+), best AS (
+  SELECT near.word, count(*) AS n_near, max(words.n) AS near_n,
+    arg_min(near.near, (-words.n, near.near)) AS near
+  FROM near JOIN words ON words.word = near.near GROUP BY near.word
+), formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= {sp.RATIO} * n THEN near END AS form,
+    CASE WHEN near_n >= {sp.RATIO} * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT way.word, way.next, formed.form FROM way JOIN formed ON formed.word = way.next
+)
+SELECT formed.*, root FROM formed JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)
+"""

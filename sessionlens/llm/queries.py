@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import (
-    decontam, licenses, lm, ngram_join, oracles, packing, pii, prefix_trie, quality, sharding, urllist,
-    warc,
+    decontam, licenses, lm, ngram_join, oracles, packing, pii, prefix_trie, quality, sharding, spelling,
+    urllist, warc,
 )
 from sessionlens.llm.shared import table
 
@@ -68,6 +68,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jump_shards": (op1_jump_shards, None),
     "op2_license_sentences": (op2_license_sentences, oracles.LICENSES),
@@ -80,4 +84,5 @@ QUERIES = {
     "op9_packing": (op9_packing, None),
     "op10_ngram_join": (op10_ngram_join, None),
     "op11_prefix_trie": (op11_prefix_trie, oracles.PREFIX_TRIE),
+    "op13_spelling_variants": (op13_spelling_variants, oracles.SPELLING),
 }
