@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import (
-    decontam, licenses, lm, ngram_join, oracles, packing, pii, prefix_trie, quality, sharding, spelling,
-    urllist, warc,
+    decontam, licenses, lm, ngram_join, oracles, packing, pii, prefix_trie, pu_quality, quality,
+    sharding, spelling, urllist, warc,
 )
 from sessionlens.llm.shared import table
 
@@ -68,6 +68,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -84,5 +89,6 @@ QUERIES = {
     "op9_packing": (op9_packing, None),
     "op10_ngram_join": (op10_ngram_join, None),
     "op11_prefix_trie": (op11_prefix_trie, oracles.PREFIX_TRIE),
+    "op12_pu_quality": (op12_pu_quality, None),
     "op13_spelling_variants": (op13_spelling_variants, oracles.SPELLING),
 }
