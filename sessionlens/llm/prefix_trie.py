@@ -222,11 +222,10 @@ def trie(conversations: DataFrame) -> DataFrame:
     turns, lengths = rebuilt(conversations)
     turns = stored(turns)
     deepest = lengths.agg(F.max("length")).head()[0] or 0
-    levels = int(deepest).bit_length()
+    levels = max(2, int(deepest).bit_length())
     paths = stored(named_prefixes(turns, lengths, levels))
     nodes = stored(_nodes(paths))
-    totals = _grafted(paths, _handed_up(nodes, levels), levels) if levels > 1 else \
-        _handed_up(nodes, levels).select(*NAME, *TOTALS)
+    totals = _grafted(paths, _handed_up(nodes, levels), levels)
     digests = _digests(paths.where(F.col("depth") == F.col("length")).select(*NAME, "conv"))
     return (
         nodes.drop(*TOTALS).join(totals, NAME).join(digests, NAME, "left")

@@ -165,8 +165,8 @@ def subtree_rows(words: DataFrame, levels: int = LEVELS) -> DataFrame:
                 [pa.array(key), pa.array(query), batch.column(0).take(of), batch.column(1).take(of)],
                 ["key", "query", "word", "n"])
 
-    if levels * _BITS > 63:
-        raise ValueError(f"at most {63 // _BITS} levels fit a key")
+    if not 1 <= levels <= 63 // _BITS:
+        raise ValueError(f"1 to {63 // _BITS} levels make a key")
     return words.mapInArrow(run, "key bigint, query boolean, word string, n bigint")
 
 
