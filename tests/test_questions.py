@@ -113,7 +113,8 @@ def test_pages(t):
     assert ids(sort="code:desc") == [3, 1, 2]
     assert ids(size=2, page=1) == [1]
     assert ids(plane="GUARD") == [3]
-    for kw in ({"page": -1}, {"size": 0}, {"size": 201}):
+    assert ids(size=201) == [3, 2, 1]
+    for kw in ({"page": -1}, {"size": 0}):
         with pytest.raises(ValueError):
             findings.findings_page(t, **kw)
     for token in ("id", "time:down", "time:"):
@@ -140,7 +141,13 @@ def test_context_against_loops(spark):
     fdf = spark.createDataFrame(
         rows, "id bigint, session_id string, source_file string, detector string, code string, "
         "category string, seq bigint, stale_seq bigint, cause_seq bigint, occurred_at bigint")
-    w = 4
+    check_context(spark, fdf, cdf, rows, calls, 4)
+    check_context(spark, fdf, cdf, rows, calls, 51)
+    with pytest.raises(ValueError):
+        findings.finding_context(fdf, cdf, 0)
+
+
+def check_context(spark, fdf, cdf, rows, calls, w):
     context, near = {}, {}
     for r in findings.finding_context(fdf, cdf, w, bits=2).collect():
         context.setdefault(r.id, set()).add((r.anchor, r.seq, r.mark))
@@ -161,8 +168,6 @@ def test_context_against_loops(spark):
         inside = {r[0] for r in rows if anchor is not None and r[1] == s and r[6] is not None
                   and lo <= r[6] <= hi}
         assert near[i] == inside | {i}
-    with pytest.raises(ValueError):
-        findings.finding_context(fdf, cdf, 51)
 
 
 def test_error_rates_and_split(t):
