@@ -337,10 +337,13 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 
     Hashing what identifies the source event needs no global ordering, unlike a counter.
     """
-    together = reduce(DataFrame.unionByName, parts)
-    return together.withColumn("id", F.xxhash64(
+    return reduce(DataFrame.unionByName, parts).withColumn("id", finding_id())
+
+
+def finding_id() -> Column:
+    return F.xxhash64(
         *STREAM, "detector", F.coalesce("seq", F.lit(-1)), "occurred_at",
-        F.coalesce("code", F.lit("")), F.coalesce("detail", F.lit("")), "summary"))
+        F.coalesce("code", F.lit("")), F.coalesce("detail", F.lit("")), "summary")
 
 
 def detect_all(facts: Facts, detectors: list[Detector] | None = None) -> DataFrame:

@@ -25,32 +25,55 @@ def _stream_columns(path: Column, encoded: bool) -> list[Column]:
             F.try_element_at(tx.literal_map(CONVENTIONS), named[0]).alias("schema")]
 
 
+def file_key(file: Column) -> Column:
+    """What stands for a file's path while its lines are folded: two files never share one."""
+    return F.md5(file)
+
+
 def scan_streams(spark: SparkSession, root: str) -> DataFrame:
-    """One row per log file under ``root``; a missing root raises, an empty one gives no rows."""
+    """One row per log file under ``root``; a missing root raises, an empty one gives no rows.
+
+    A file of zero bytes is no log yet: Spark's listings leave it out. A compressed empty text is one.
+    """
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", True).option("pathGlobFilter", FILE_GLOB).load(root))
-    # the content column is never read: only names and sizes are listed
-    return files.select(*_stream_columns(F.col("path"), False), "length")
+    # the content column is never read: only names, sizes and times are listed
+    return files.select(*_stream_columns(F.col("path"), False), "length",
+                        F.col("modificationTime").alias("modified"),
+                        F.col("_metadata.file_path").alias("file"))
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
+def files_of(files: DataFrame) -> DataFrame:
+    """Files of (file, length, modified) as ``scan_streams`` lists them."""
+    return files.select(*_stream_columns(F.col("file"), True), "length", "modified", "file")
+
+
+def read_events(spark: SparkSession, root: str | list[str], keyed: bool = False) -> DataFrame:
     """The lines of every log file with their position in file order; blank lines are left out.
 
-    zstd is not splittable, so one task reads a file front to back and the generated id follows
-    file order. Write the result once before reading it twice: the id is stable only then.
+    ``root`` is a folder, or the paths of single files. zstd is not splittable, so one task reads a
+    file front to back and the generated id follows file order. Write the result once before reading
+    it twice: the id is stable only then.
     """
+    if not root:
+        return lines_of(spark.createDataFrame([], "value string, file string"), F.col("file"), keyed)
     return lines_of(spark.read.option("recursiveFileLookup", True)
                     .option("pathGlobFilter", FILE_GLOB).text(root),
-                    F.col("_metadata.file_path"))
+                    F.col("_metadata.file_path"), keyed)
 
 
-def lines_of(text: DataFrame, file_path: Column) -> DataFrame:
-    """``value`` rows in file order to lines with their stream and position."""
-    return (
-        text.select(*_stream_columns(file_path, True),
+def lines_of(text: DataFrame, file_path: Column, keyed: bool = False) -> DataFrame:
+    """``value`` rows in file order to lines with their stream and position.
+
+    ``keyed``: the file's key is in the place of its session's name, so that files whose folders
+    share a name stay apart.
+    """
+    lines = (
+        text.select(*_stream_columns(file_path, True), file_key(file_path).alias("file_key"),
                     F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
         .where(F.col("line").rlike(r"\S"))
     )
+    return lines.withColumn("session_id", F.col("file_key")).drop("file_key") if keyed else lines.drop("file_key")
 
 
 def _whole(number: Column, kind: str) -> Column:
