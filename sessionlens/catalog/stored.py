@@ -441,6 +441,22 @@ JOIN finding f ON f.session_id = s.session_id AND f.source_file = s.source_file
 UNION SELECT id, id, seq FROM finding""")(
     lambda t: findings.neighbours(t.findings, t.calls, window=3).select("id", "n_id", "n_seq"))
 
+on_tables("neighbour_spans", CONTEXT + """,
+span AS (SELECT id, session_id, source_file, min(seq) AS a, max(seq) AS z FROM context GROUP BY 1, 2, 3),
+filed AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_file ORDER BY seq, id) AS place
+  FROM finding WHERE seq IS NOT NULL)
+SELECT s.id, count(f.id) AS n, min(f.place) AS first_place, max(f.place) AS last_place FROM span s
+LEFT JOIN filed f ON f.session_id = s.session_id AND f.source_file = s.source_file AND f.seq BETWEEN s.a AND s.z
+GROUP BY s.id""")(lambda t: _spans(t))
+
+
+def _spans(t: Tables):
+    spans = findings.neighbour_spans(findings.ladder(t.findings, t.calls), window=3)
+    some = F.col("last") >= F.col("first")
+    return spans.select("id", F.greatest(F.col("last") - F.col("first") + 1, F.lit(0)).alias("n"),
+                        F.when(some, F.col("first")).alias("first_place"), F.when(some, F.col("last")).alias("last_place"))
+
+
 on_tables("tool_at", f"""
 SELECT f.id, c.name AS tool FROM finding f LEFT JOIN tool_call c ON {SAME} AND c.seq = f.seq
 """)(lambda t: findings.tool_at(t.findings, t.calls).select("id", "tool"))

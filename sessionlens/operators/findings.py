@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.operators.filters import (NO_FILTER, Filter, Tables, UnknownFilterValue,
                                            apply_axis, findings_in)
-from sessionlens.operators.ordered import BLOCK_BITS, TIME_BLOCK_BITS, as_of, with_position
+from sessionlens.operators.ordered import (BLOCK_BITS, TIME_BLOCK_BITS, as_of, with_position,
+                                           with_sums)
 from sessionlens.schema import STREAM
+from sessionlens.session import materialise
 
 SORT_COLUMNS = {"time": "occurred_at", "plane": "plane", "detector": "detector",
                 "code": "code", "session": "session_id", "confidence": "confidence"}
@@ -73,23 +77,53 @@ def anchor_seq(findings: DataFrame, calls: DataFrame, bits: int = TIME_BLOCK_BIT
     return own.unionByName(placed)
 
 
-def _placed(findings: DataFrame, numbered: DataFrame, calls: DataFrame, bits: int) -> DataFrame:
-    """Anchored findings with ``upto``, the number of the last call at or before the anchor.
+@dataclass(frozen=True)
+class Ladder:
+    """The places of a set of streams, written once: what any window around a finding is read from.
 
-    0 when the stream's calls all come after it.
+    ``rungs`` has one row per seq at which a call, a finding or an anchor stands: the calls up to it
+    (``number``), the findings before it and the findings through it. ``placed`` has the findings asked
+    about, each with its anchor and that anchor's rung.
     """
-    anchored = anchor_seq(findings, calls).where(F.col("anchor").isNotNull())
-    placed = as_of(anchored, numbered, STREAM, at="anchor", order="seq",
-                   payloads={"upto": F.col("number")}, inclusive=True, bits=bits)
-    return placed.withColumn("upto", F.coalesce("upto", F.lit(0)))
 
+    rungs: DataFrame
+    placed: DataFrame
+
+
+ASKED = ["id", "seq", "cause_seq", "stale_seq", "occurred_at"]
 
-def _numbers(window: int) -> Column:
-    return F.sequence(F.col("upto") - window, F.col("upto") + window)
+
+def ladder(findings: DataFrame, calls: DataFrame, bits: int = BLOCK_BITS,
+           around: DataFrame | None = None) -> Ladder:
+    """One scan by seq over calls, findings and the anchors of ``around`` (all findings if not given).
+
+    The few narrow columns that the anchors (by time) and the rungs (by seq) need are written first, so
+    that whatever ``findings`` and ``calls`` are derived from is read once for both.
+    """
+    findings = materialise(findings.select(*STREAM, *ASKED), "findings_seen")
+    calls = materialise(calls.select(*STREAM, "seq", "started_at"), "calls_seen")
+    asked = findings if around is None else around.select(*STREAM, *ASKED)
+    anchored = materialise(anchor_seq(asked, calls).where(F.col("anchor").isNotNull()), "anchored")
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    stands = (
+        calls.select(*STREAM, "seq", one.alias("call"), none.alias("found"))
+        .unionByName(findings.where(F.col("seq").isNotNull())
+                     .select(*STREAM, "seq", none.alias("call"), one.alias("found")))
+        .unionByName(anchored.select(*STREAM, F.col("anchor").alias("seq"), none.alias("call"),
+                                     none.alias("found")))
+        .groupBy(*STREAM, "seq").agg(F.max("call").alias("call"), F.sum("found").alias("found"))
+    )
+    rungs = materialise(
+        with_sums(stands, STREAM, "seq", {"number": F.col("call"), "through": F.col("found")}, bits)
+        .select(*STREAM, "seq", (F.col("call") == 1).alias("is_call"), "number",
+                (F.col("through") - F.col("found")).alias("before"), "through"), "rungs")
+    at_anchor = rungs.select(*STREAM, F.col("seq").alias("anchor"), F.col("number").alias("upto"),
+                             "before", "through")
+    return Ladder(rungs, anchored.join(at_anchor, [*STREAM, "anchor"]))
 
 
 def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONTEXT,
-                    bits: int = BLOCK_BITS) -> DataFrame:
+                    bits: int = BLOCK_BITS, steps: Ladder | None = None) -> DataFrame:
     """The calls around every finding, its own stream, unfiltered, marked.
 
     Calls are numbered inside their stream; a finding asks for the numbers around its anchor, so
@@ -97,16 +131,15 @@ def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT
     """
     if window < 1:
         raise ValueError(f"window must be at least 1, was {window}")
-    numbered = with_position(calls, STREAM, "seq", "number", bits)
-    placed = _placed(findings, numbered, calls, bits)
-    wanted = placed.select(
+    steps = steps or ladder(findings, calls, bits)
+    wanted = steps.placed.select(
         "id", *STREAM, "anchor", F.col("seq").alias("f_seq"), F.col("cause_seq").alias("f_cause"),
         F.col("stale_seq").alias("f_stale"),
-        F.explode(_numbers(window)).alias("number"))
-    shown = wanted.join(
-        numbered.select(*STREAM, "number", "seq", "name", "error_code", "plane", "path_hint",
-                        "duration_ms", "started_at"),
-        [*STREAM, "number"])
+        F.explode(F.sequence(F.col("upto") - window, F.col("upto") + window)).alias("number"))
+    numbered = steps.rungs.where("is_call").select(*STREAM, "number", "seq")
+    shown = wanted.join(numbered, [*STREAM, "number"]).join(
+        calls.select(*STREAM, "seq", "name", "error_code", "plane", "path_hint", "duration_ms",
+                     "started_at"), [*STREAM, "seq"])
     mark = (F.when(F.col("seq") == F.col("f_seq"), "finding")
             .when(F.col("seq") == F.col("f_cause"), "cause")
             .when(F.col("seq") == F.col("f_stale"), "stale"))
@@ -114,41 +147,52 @@ def finding_context(findings: DataFrame, calls: DataFrame, window: int = DEFAULT
                         "duration_ms", "started_at", mark.alias("mark"))
 
 
+def neighbour_spans(steps: Ladder, window: int = DEFAULT_CONTEXT) -> DataFrame:
+    """R7 for every finding at once: the ``filed`` places of its neighbours, from first to last.
+
+    One row per finding however many findings stand around it. The neighbours are the findings from the
+    first to the last call shown; in a stream without calls, those at the anchor itself.
+    """
+    calls = steps.rungs.where("is_call").select(*STREAM, "number", "before", "through")
+    low = calls.select(*STREAM, F.col("number").alias("low"), F.col("before").alias("before_low"))
+    high = calls.select(*STREAM, F.col("number").alias("high"), F.col("through").alias("through_high"))
+    known = calls.groupBy(*STREAM).agg(F.max("number").alias("calls"))
+    return (
+        steps.placed.join(known, STREAM, "left")
+        .withColumns({"low": F.greatest(F.col("upto") - window, F.lit(1)),
+                      "high": F.least(F.col("upto") + window, F.col("calls"))})
+        .join(low, [*STREAM, "low"], "left").join(high, [*STREAM, "high"], "left")
+        .select("id", *STREAM, (F.coalesce("before_low", "before") + 1).alias("first"),
+                F.when(F.col("calls").isNull(), F.col("through")).otherwise(F.col("through_high")).alias("last"))
+    )
+
+
+def filed(findings: DataFrame, steps: Ladder) -> DataFrame:
+    """Findings with a seq, each with its ``place`` among those of its stream in order of (seq, id)."""
+    before = steps.rungs.select(*STREAM, "seq", "before")
+    # ids are spread over all 64-bit values: a seq's findings fall in at most 2 ** 16 blocks
+    ranked = with_position(findings.where(F.col("seq").isNotNull()), [*STREAM, "seq"], "id", "__rank", 48)
+    return (ranked.join(before, [*STREAM, "seq"])
+            .withColumn("place", F.col("before") + F.col("__rank")).drop("before", "__rank"))
+
+
 def neighbours(findings: DataFrame, calls: DataFrame, window: int = DEFAULT_CONTEXT,
-               bits: int = BLOCK_BITS, around: DataFrame | None = None) -> DataFrame:
-    """The findings among the calls shown around each finding, the finding itself always there.
+               bits: int = BLOCK_BITS, around: DataFrame | None = None,
+               steps: Ladder | None = None) -> DataFrame:
+    """R7 spelled out: the findings among the calls shown around each finding, itself always there.
 
     ``around`` limits the findings whose surroundings are asked for; all of ``findings`` otherwise.
-
-    A finding lies between two numbered calls (or at one). Windows ask for the lower number, so
-    this is an equi-join on (stream, number) like the context itself.
+    The rows are the pairs themselves, which many findings around one call make many of: where each finding's
+    neighbours only have to be known, take ``neighbour_spans``.
     """
-    numbered = with_position(calls, STREAM, "seq", "number", bits)
+    steps = steps or ladder(findings, calls, bits, around)
     as_neighbour = [F.col("id").alias("n_id"), F.col("detector").alias("n_detector"),
                     F.col("code").alias("n_code"), F.col("category").alias("n_category"),
                     F.col("seq").alias("n_seq")]
-    filed = as_of(findings.where(F.col("seq").isNotNull()), numbered, STREAM, at="seq", order="seq",
-                  payloads={"next": F.struct(F.col("seq").alias("at"), "number")},
-                  inclusive=True, forward=True, bits=bits)
-    upper = F.col("next.number")
-    filed = filed.select(*STREAM, *as_neighbour, upper.alias("upper"),
-                         F.when(F.col("next.at") == F.col("seq"), upper).otherwise(upper - 1)
-                         .alias("number"))
-    centres = findings if around is None else around
-    placed = _placed(centres, numbered, calls, bits)
-    windows = placed.select("id", *STREAM, (F.col("upto") + window).alias("end"),
-                            F.explode(_numbers(window)).alias("number"))
     found = ["id", *STREAM, "n_id", "n_detector", "n_code", "n_category", "n_seq"]
-    inside = (windows.where(F.col("number") >= 1)
-              .join(filed.where(F.col("number") >= 1), [*STREAM, "number"])
-              .where(F.col("upper") <= F.col("end")).select(*found))
-    # a stream without calls has no window: there the findings at the same seq are the neighbours
-    silent = (filed.where(F.col("upper").isNull())
-              .join(calls.select(*STREAM).distinct(), STREAM, "left_anti"))
-    alone = (silent.select(F.col("n_id").alias("id"), *STREAM, "n_seq")
-             .join(silent.drop("upper", "number"), [*STREAM, "n_seq"]).select(*found))
-    if around is not None:
-        alone = alone.join(around.select("id"), "id", "left_semi")
-    itself = centres.select("id", *STREAM, *as_neighbour)
-    # only the finding itself can come up twice, so distinct drops nothing else
-    return inside.unionByName(alone).unionByName(itself).distinct()
+    spans = neighbour_spans(steps, window).where(F.col("last") >= F.col("first")) \
+        .select("id", *STREAM, F.explode(F.sequence("first", "last")).alias("place"))
+    others = (spans.join(filed(findings, steps).select(*STREAM, "place", *as_neighbour), [*STREAM, "place"])
+              .where(F.col("n_id") != F.col("id")).select(*found))
+    itself = (findings if around is None else around).select("id", *STREAM, *as_neighbour)
+    return others.unionByName(itself.select(*found))

@@ -75,22 +75,34 @@ def with_previous(rows: DataFrame, keys: list[str], order: str, values: dict[str
 def with_position(rows: DataFrame, keys: list[str], order: str, name: str,
                   bits: int = BLOCK_BITS) -> DataFrame:
     """Add each row's 1-based rank by ``order`` inside its key. ``order`` must be unique there."""
-    rows = (rows.withColumn(_ORDER, F.col(order).cast("bigint"))
-            .withColumn(_BLOCK, _block_of(F.col(order), bits)))
+    return with_sums(rows, keys, order, {name: F.lit(1)}, bits)
+
+
+def with_sums(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column],
+              bits: int = BLOCK_BITS) -> DataFrame:
+    """Add, per named value, its sum over the rows of the key up to and with each row.
+
+    All sums come from one scan. ``order`` must be unique inside a key.
+    """
+    inner = {name: f"__v_{name}" for name in values}
+    rows = rows.withColumns({
+        **{inner[name]: value.cast("bigint") for name, value in values.items()},
+        _ORDER: F.col(order).cast("bigint"), _BLOCK: _block_of(F.col(order), bits)})
     carry = (
-        rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias(_VALUE))
-        .select(*keys, _BLOCK, F.sum(_VALUE).over(_before(keys)).alias(_VALUE))
-        .where(F.col(_VALUE).isNotNull())
-        .select(*keys, _BLOCK, _VALUE, _ahead(bits).alias(_ORDER), F.lit(True).alias(_CARRY))
+        rows.groupBy(*keys, _BLOCK).agg(*[F.sum(c).alias(c) for c in inner.values()])
+        .select(*keys, _BLOCK, F.row_number().over(Window.partitionBy(*keys).orderBy(_BLOCK)).alias(_VALUE),
+                *[F.sum(c).over(_before(keys)).alias(c) for c in inner.values()])
+        .where(F.col(_VALUE) > 1)
+        .select(*keys, _BLOCK, *inner.values(), _ahead(bits).alias(_ORDER), F.lit(True).alias(_CARRY))
     )
     scan = (Window.partitionBy(*keys, _BLOCK).orderBy(_ORDER)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        rows.withColumn(_VALUE, F.lit(1).cast("bigint")).withColumn(_CARRY, F.lit(False))
+        rows.withColumn(_CARRY, F.lit(False))
         .unionByName(carry, allowMissingColumns=True)
-        .withColumn(name, F.sum(_VALUE).over(scan))
+        .withColumns({name: F.sum(c).over(scan) for name, c in inner.items()})
         .where(~F.col(_CARRY))
-        .drop(_BLOCK, _ORDER, _VALUE, _CARRY)
+        .drop(_BLOCK, _ORDER, _CARRY, *inner.values())
     )
 
 

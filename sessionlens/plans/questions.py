@@ -85,7 +85,8 @@ def context(t: Tables, finding_id: int, window: int = findings.DEFAULT_CONTEXT,
     one = t.findings.where(F.col("id") == finding_id)
     stream = one.select(*STREAM)
     calls = t.calls.join(stream, STREAM, "left_semi")
-    near = findings.neighbours(t.findings.join(stream, STREAM, "left_semi"), calls, window,
-                               around=one)
-    return (findings.finding_context(one, calls, window).orderBy("seq"),
+    own = t.findings.join(stream, STREAM, "left_semi")
+    steps = findings.ladder(own, calls, around=one)
+    near = findings.neighbours(own, calls, window, around=one, steps=steps)
+    return (findings.finding_context(one, calls, window, steps=steps).orderBy("seq"),
             near.orderBy("n_seq", "n_id"))

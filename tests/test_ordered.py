@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.operators.median import exact_medians
-from sessionlens.operators.ordered import as_of, with_position, with_previous
+from sessionlens.operators.ordered import as_of, with_position, with_previous, with_sums
 
 KEYS = ["k"]
 
@@ -38,6 +38,17 @@ def test_position(spark, bits):
     assert got == {(k, o): sum(k2 == k and o2 <= o for k2, o2, _ in rows) for k, o, _ in rows}
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_sums(spark, bits):
+    rows = skewed_rows(5)
+    df = spark.createDataFrame(rows, "k string, o bigint, v int")
+    sums = with_sums(df, KEYS, "o", {"a": F.col("v"), "b": F.lit(2)}, bits)
+    got = {(r.k, r.o): (r.a or 0, r.b) for r in sums.collect()}
+    assert sums.columns == ["k", "o", "v", "a", "b"]
+    assert got == {(k, o): (sum(v or 0 for k2, o2, v in rows if k2 == k and o2 <= o),
+                            2 * sum(k2 == k and o2 <= o for k2, o2, _ in rows)) for k, o, _ in rows}
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 @pytest.mark.parametrize("mode", ["back", "forward", "greatest"])
 def test_as_of(spark, inclusive, mode):

@@ -86,6 +86,29 @@ def test_page_is_a_top_k(stored):
     assert "TakeOrderedAndProject" in plan(page)
 
 
+def test_a_context_reads_each_table_at_most_twice(stored, monkeypatch):
+    """Scans of the tables in every plan that runs, those written on the way included."""
+    from sessionlens.operators import findings
+
+    written = []
+
+    def write(df, name, folder=None, through=findings.materialise):
+        written.append(df)
+        return through(df, name, folder)
+
+    monkeypatch.setattr(findings, "materialise", write)
+    steps = findings.ladder(stored.findings, stored.calls)
+    last = findings.finding_context(stored.findings, stored.calls, steps=steps)
+    spans = findings.neighbour_spans(steps)
+    reads = {}
+    for df in [*written, last, spans]:
+        df.collect()  # the plan as it ended, with the shuffles it used again
+        final = plan(df).split("== Initial Plan ==")[0]
+        for place in re.findall(r"Location: InMemoryFileIndex\(1 paths\)\[[^\]]*/(\w+)\]", final):
+            reads[place] = reads.get(place, 0) + 1
+    assert reads["calls"] == 2 and reads["findings"] == 1, reads
+
+
 def test_one_stream_with_most_rows_gives_the_same_answer(spark):
     """The same log with all users but a few folded into one stream: block size must not matter."""
     log = src.event_log(spark, SF).withColumn(

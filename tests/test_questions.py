@@ -170,6 +170,32 @@ def check_context(spark, fdf, cdf, rows, calls, w):
         assert near[i] == inside | {i}
 
 
+def test_many_findings_around_one_call_stay_one_row_each(spark):
+    """10^5 findings at one call, and some around the next: no pairs, whatever the block."""
+    n = 100_000
+    calls = spark.createDataFrame([("s", "f", q, f"n{q}", q * 10) for q in (1, 5, 9, 13)],
+                                  "session_id string, source_file string, seq bigint, name string, started_at bigint")
+    rows = spark.range(n).select(
+        F.xxhash64("id").alias("id"), F.lit("s").alias("session_id"), F.lit("f").alias("source_file"),
+        F.when(F.col("id") % 1000 == 0, 9).otherwise(5).cast("bigint").alias("seq"),
+        F.lit(None).cast("bigint").alias("cause_seq"), F.lit(None).cast("bigint").alias("stale_seq"),
+        F.lit(0).cast("bigint").alias("occurred_at"))
+    silent = rows.limit(30).select("id", F.lit("quiet").alias("session_id"), "source_file",
+                                   F.when(F.col("id") > 0, 3).otherwise(4).cast("bigint").alias("seq"),
+                                   "cause_seq", "stale_seq", "occurred_at")
+    rows = rows.unionByName(silent)
+    steps = findings.ladder(rows, calls, bits=2)
+    spans = findings.neighbour_spans(steps, 1)
+    got = {tuple(r) for r in spans.join(rows.select("id", "session_id", "seq"), ["id", "session_id"])
+           .select("session_id", "seq", "first", "last").distinct().collect()}
+    low = rows.where("session_id = 'quiet' and seq = 3").count()
+    assert got == {("s", 5, 1, n), ("s", 9, 1, n), ("quiet", 3, 1, low), ("quiet", 4, low + 1, 30)}
+    assert spans.count() == n + 30
+    placed = findings.filed(rows, steps).where("session_id = 's'")
+    ordered = [r.place for r in placed.orderBy("seq", "id").select("place").collect()]
+    assert ordered == list(range(1, n + 1))
+
+
 def test_error_rates_and_split(t):
     assert board.error_rates(t).count() == 0  # the one failed row is an outcome without a call
     split = {r.schema: (r.rows, r.outcome_only) for r in board.outcome_split(t).collect()}
