@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import shell as sh
 from sessionlens.functions import text as tx
 from sessionlens.operators import commands
-from sessionlens.sources.tables import load, pick
+from sessionlens.sources.tables import load, pick, spread
 
 QUERIES: dict = {}
 
@@ -37,7 +37,7 @@ SELECT {key}, CASE WHEN length(line) > 160 THEN left(line, 160) || '…' ELSE li
   CAST(len(string_split(whole, '[REDACTED]')) - 1 AS INTEGER) AS masks, md5(whole) AS whole_md5 FROM m"""
 
     def run(spark, sf):
-        rows = load(spark, sf, table).select(key, text)
+        rows = spread(load(spark, sf, table).select(key, text))
         whole = tx.mask_secrets(F.col(text))
         return rows.select(
             key, tx.redact_excerpt(F.col(text)).alias("excerpt"),
@@ -64,7 +64,7 @@ VERB_SQL = r"""CASE
 
 def _verb(table: str, key: str, text: str):
     query(f"verb_class_{table}", f"SELECT {key}, {VERB_SQL.format(text)} AS verb_class FROM {table}")(
-        lambda spark, sf: load(spark, sf, table).select(key, text).select(
+        lambda spark, sf: spread(load(spark, sf, table).select(key, text)).select(
             key, sh.verb_class(F.col(text)).alias("verb_class")))
 
 
@@ -94,13 +94,14 @@ SELECT page_id, coalesce(paths, '') AS paths FROM pages LEFT JOIN r USING (page_
 def _paths(spark, sf):
     """The absolute paths that each page mentions; SQL has no look-around for the relative ones."""
     absolute = F.filter(sh.referenced_paths(F.col("html")), lambda p: F.startswith(p, F.lit("/")))
-    return load(spark, sf, "pages").select("page_id", F.array_join(absolute, " ").alias("paths"))
+    return spread(load(spark, sf, "pages").select("page_id", "html")).select(
+        "page_id", F.array_join(absolute, " ").alias("paths"))
 
 
 @query("document_commands")
 def _document_commands(spark, sf):
     """Every classified fact of every document taken as a command text."""
-    rows = load(spark, sf, "documents").select("doc_id", "text")
+    rows = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return commands.target_kinds(commands.classify(rows, "text")).select(
         "doc_id", "verb_class", "write_kind",
         F.array_join(F.map_keys("target_kinds"), " ").alias("targets"),

@@ -26,6 +26,18 @@ ERROR_CODES = ["FS_STALE_VERSION", "FS_EDIT_NOT_FOUND", "FS_NOT_FOUND", "SEARCH_
                "WEB_PROVIDER_CREDENTIAL_MISSING", "ABORTED", "E_UNLISTED", None]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys``, by all columns if none are given, over as many tasks as a shuffle has, one a
+    core at least.
+
+    For work that costs far more a row than moving the row does: a file is cut by row groups only, and a
+    few large ones would hold up the rest. The number is given, so it is not coalesced again.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *(keys or df.columns))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -186,7 +198,7 @@ def command_text(template: Column, path: Column, name: Column) -> Column:
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed log events: an activity line and a housekeeping line per row of ``events``."""
     k, user, at = F.col("k"), F.col("user_id"), F.col("event_id")
-    lines = event_rows(spark, sf_dir).repartition("event_id") \
+    lines = spread(event_rows(spark, sf_dir), "event_id") \
         .withColumn("line", F.explode(F.array(F.lit(0), F.lit(1))))
     activity = tx.literal_map({
         "signup": "step/start", "view": "assistant/chunk", "purchase": "assistant/message",
