@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.catalog.sql import STORED
@@ -141,18 +144,19 @@ FROM (SELECT day, count(*) AS n FROM finding GROUP BY day) f
 FULL JOIN (SELECT day, count(*) AS n FROM observed WHERE day IS NOT NULL GROUP BY day) c ON f.day = c.day"""
 on_tables("daily_series", SERIES)(board.daily_series)
 
-on_tables("daily_series_dense", """, one AS (
-  SELECT f.day, count(*) AS findings FROM finding f WHERE code = 'ABORTED' AND detector = 'error-plane'
-    AND id % 1 = 0 AND path_hint = 'src/f5.ts' GROUP BY f.day)
-SELECT strftime(a.d, '%Y-%m-%d') AS day, o.findings, CASE WHEN o.findings IS NOT NULL THEN CAST(0 AS BIGINT) END AS tool_calls
-FROM (SELECT unnest(generate_series(min(day)::DATE, max(day)::DATE, INTERVAL 1 DAY)) AS d FROM one) a
-LEFT JOIN one o ON o.day = strftime(a.d, '%Y-%m-%d')""".replace(" AND id % 1 = 0", ""))(
-    lambda t: board.dense_series(board.merge_counts(
-        [t.findings.where("code = 'ABORTED' AND detector = 'error-plane'"
-                          " AND path_hint = 'src/f5.ts'")
-         .groupBy("day").agg(F.count(F.lit(1)).alias("findings"),
-                             F.lit(0).cast("bigint").alias("tool_calls"))],
-        ["day"], ["findings", "tool_calls"])))
+# every day moved to twice its distance from a fixed one, so that each second day is a gap
+STRETCHED = "DATE '2000-01-01' + CAST(2 * (day::DATE - DATE '2000-01-01') AS INTEGER)"
+
+
+@on_tables("daily_series_dense", f""", series AS ({SERIES}),
+far AS (SELECT {STRETCHED} AS d, findings, tool_calls FROM series)
+SELECT strftime(a.d, '%Y-%m-%d') AS day, findings, tool_calls
+FROM (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM far) a
+LEFT JOIN far ON far.d = a.d""")
+def _dense(t: Tables):
+    start = F.lit("2000-01-01").cast("date")
+    far = F.date_add(start, (F.datediff(F.col("day").cast("date"), start) * 2).cast("int"))
+    return board.dense_series(board.daily_series(t).withColumn("day", far.cast("string")))
 
 
 @on_tables("step_throughput", f"""
@@ -398,6 +402,28 @@ def _page(t: Tables):
     return page.select("id", "session_id", "detector", "code", "confidence", "occurred_at")
 
 
+SORTS = [f"{key}:{way}" for key in findings.SORT_COLUMNS for way in ("asc", "desc")]
+
+
+def _following_sql(sort: str) -> str:
+    key, way = sort.split(":")
+    order = f"{findings.SORT_COLUMNS[key]} {way} NULLS {'FIRST' if way == 'asc' else 'LAST'}, id {way}"
+    return f"""(SELECT '{sort}' AS sort, id FROM finding ORDER BY {order} LIMIT 20 OFFSET 20)"""
+
+
+@on_tables("findings_following", "\n" + " UNION ALL ".join(map(_following_sql, SORTS)))
+def _following(t: Tables):
+    """The second page under each of the twelve orders, sought from the last row of the first."""
+    pages = []
+    for sort in SORTS:
+        last = findings.page_end(findings.findings_page(t, sort=sort)[0], sort)
+        if last is not None:
+            page, _ = findings.findings_page(t, sort=sort, after=last)
+            pages.append(page.select(F.lit(sort).alias("sort"), "id"))
+    return reduce(DataFrame.unionByName, pages) if pages else \
+        t.findings.select(F.lit("").alias("sort"), "id").where("false")
+
+
 on_tables("findings_total", "SELECT count(*) AS total FROM finding WHERE detector = 'edit-miss'")(
     lambda t: findings.findings_page(t, detector="edit-miss")[1])
 

@@ -140,3 +140,19 @@ def _detail(spark, sf):
             .when(message == 4, F.col("text"))
             .otherwise(F.concat(F.lit('400: {"code":"X",'), F.lit("oops}"))))
     return load(spark, sf, "documents").select("doc_id", tx.provider_detail(body).alias("detail"))
+
+
+@query("dd_targets", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN '/w/out/' || event_id || '.bin' WHEN 1 THEN 'rel/' || event_id || '.img' ELSE '' END AS paths,
+  CASE WHEN event_id % 3 < 2 THEN 'CONTENT_TOOL' ELSE '' END AS kinds FROM events""")
+def _dd(spark, sf):
+    """What ``dd`` writes, as a map of path to form: an absolute, a relative path, and a command only named alike."""
+    i = F.col("event_id").cast("string")
+    text = pick(F.col("event_id"), [0, 1, 2])
+    command = (F.when(text == 0, F.concat(F.lit("dd if=/dev/zero of=/w/out/"), i, F.lit(".bin bs=1")))
+               .when(text == 1, F.concat(F.lit("cd /w && dd of=rel/"), i, F.lit(".img if=a count=2")))
+               .otherwise(F.concat(F.lit("ddrescue of=/w/no/"), i, F.lit(" a b"))))
+    rows = commands.target_kinds(commands.classify(
+        load(spark, sf, "events").select("event_id", command.alias("command"))))
+    return rows.select("event_id", F.array_join(F.map_keys("target_kinds"), ",").alias("paths"),
+                       F.array_join(F.map_values("target_kinds"), ",").alias("kinds"))

@@ -34,21 +34,52 @@ def sort_columns(token: str) -> list[Column]:
     return [F.desc_nulls_last(column), F.desc("id")]
 
 
+def beyond(sort: str, value, last_id: int) -> Column:
+    """R1 by key: the rows that come after the row of (sort value, id) in the order of ``sort``."""
+    key, _, direction = sort.partition(":")
+    sort_columns(sort)
+    column, same = F.col(SORT_COLUMNS[key.lower()]), F.lit(last_id)
+    if direction.lower() == "asc":  # NULL first
+        later, tied = F.col("id") > same, column == F.lit(value)
+        if value is None:
+            return column.isNotNull() | (column.isNull() & later)
+        return (column > F.lit(value)) | (tied & later)
+    later, tied = F.col("id") < same, column == F.lit(value)
+    if value is None:
+        return column.isNull() & later
+    return (column < F.lit(value)) | (tied & later) | column.isNull()
+
+
 def findings_page(t: Tables, f: Filter = NO_FILTER, *, plane: str | None = None,
                   detector: str | None = None, code: str | None = None,
                   session: str | None = None, sort: str = "time:desc", page: int = 0,
-                  size: int = DEFAULT_PAGE_SIZE) -> tuple[DataFrame, DataFrame]:
-    """One page of findings and the total, as two frames. A page is a top-k, never a full sort."""
+                  size: int = DEFAULT_PAGE_SIZE,
+                  after: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of findings and the total, as two frames. A page is a top-k, never a full sort.
+
+    ``after``: the (sort value, id) of the last row of the page before. Such a page holds ``size`` rows
+    whatever comes ahead of it, and its condition reaches the scan; ``page`` alone counts its way there
+    over all rows ahead, and is for the first few pages.
+    """
     if page < 0:
         raise ValueError(f"page must be >= 0, was {page}")
     if size < 1:
         raise ValueError(f"size must be at least 1, was {size}")
+    if after is not None and page:
+        raise ValueError("a page follows a row or has a number, not both")
     rows = apply_axis(findings_in(t, f), plane, detector, code, session)
-    ordered = rows.orderBy(*sort_columns(sort))
-    return (ordered.offset(page * size).limit(size),
+    seen = rows if after is None else rows.where(beyond(sort, *after))
+    ordered = seen.orderBy(*sort_columns(sort))
+    return ((ordered.offset(page * size) if page else ordered).limit(size),
             rows.agg(F.count(F.lit(1)).alias("total")))
 
 
+def page_end(page: DataFrame, sort: str = "time:desc") -> tuple | None:
+    """The (sort value, id) of a page's last row; None for an empty page."""
+    rows = page.select(SORT_COLUMNS[sort.partition(":")[0].lower()], "id").collect()  # one page
+    return tuple(rows[-1]) if rows else None
+
+
 def tool_at(findings: DataFrame, calls: DataFrame) -> DataFrame:
     """The tool a finding's seq points at, NULL for a seq that is no call."""
     names = calls.select(*STREAM, "seq", F.col("name").alias("tool"))
@@ -60,11 +91,11 @@ def finding_detail(t: Tables) -> DataFrame:
 
     Restrict ``t.findings`` first to open a single finding.
     """
-    evidence = t.evidence.groupBy(F.col("finding_id").alias("id")).agg(
+    evidence = t.evidence.groupBy(*STREAM, F.col("finding_id").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct(
             "seq", "verb_class", "path_hint", "excerpt_redacted"))).alias("evidence"))
     nothing = F.array().cast(evidence.schema["evidence"].dataType)
-    return (tool_at(t.findings, t.calls).join(evidence, "id", "left")
+    return (tool_at(t.findings, t.calls).join(evidence, [*STREAM, "id"], "left")
             .withColumn("evidence", F.coalesce("evidence", nothing)))
 
 

@@ -61,12 +61,14 @@ def judgement(t: Tables, axis: str, baseline: str | None = None, candidate: str
 def findings_page(t: Tables, f: Filter = NO_FILTER, *, plane: str | None = None,
                   detector: str | None = None, code: str | None = None,
                   session: str | None = None, sort: str = "time:desc", page: int = 0,
-                  size: int = findings.DEFAULT_PAGE_SIZE) -> tuple[DataFrame, DataFrame]:
+                  size: int = findings.DEFAULT_PAGE_SIZE,
+                  after: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     validate_filter(t, f)
     axis = {"plane": plane, "detector": detector, "code": code, "session": session}
     for name, value in axis.items():
         require_known(t, name, value)
-    return findings.findings_page(t, f, **axis, sort=sort, page=page, size=size)
+    return findings.findings_page(t, f, **axis, sort=sort, page=page, size=size,
+                                  after=after)
 
 
 def finding(t: Tables, finding_id: int) -> DataFrame:

@@ -109,6 +109,14 @@ def test_a_context_reads_each_table_at_most_twice(stored, monkeypatch):
     assert reads["calls"] == 2 and reads["findings"] == 1, reads
 
 
+def test_a_page_by_key_is_cut_at_the_scan(stored):
+    from sessionlens.operators import findings
+
+    page, _ = findings.findings_page(stored, sort="time:asc", after=(1_000, 7))
+    (pushed, _), = scans(page)
+    assert "GreaterThan(occurred_at,1000)" in pushed and "Offset" not in plan(page)
+
+
 def test_one_stream_with_most_rows_gives_the_same_answer(spark):
     """The same log with all users but a few folded into one stream: block size must not matter."""
     log = src.event_log(spark, SF).withColumn(

@@ -122,6 +122,28 @@ def test_pages(t):
             findings.sort_columns(token)
 
 
+def test_pages_by_key_follow_each_other(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "a", "b"]), rng.choice([None, 0.5, 0.9]), rng.choice([5, 6, 7])) for i in
+            rng.sample(range(-500, 500), 90)]
+    found = spark.createDataFrame(rows, "id bigint, code string, confidence double, occurred_at bigint") \
+        .selectExpr("*", "'d' detector", "'GUARD' plane", "'s' session_id", "'f' source_file")
+    t = Tables(None, None, None, found)
+    for sort in ("code:asc", "code:desc", "confidence", "confidence:asc", "time", "TIME:ASC"):
+        whole = [r.id for r in found.orderBy(*findings.sort_columns(sort)).collect()]
+        seen, last = [], None
+        while len(seen) < 90:
+            page, _ = findings.findings_page(t, sort=sort, size=13, after=last)
+            ids = [r.id for r in page.collect()]
+            assert ids and len(ids) <= 13
+            seen += ids
+            last = findings.page_end(page, sort)
+        assert seen == whole
+        assert findings.page_end(findings.findings_page(t, sort=sort, after=last)[0], sort) is None
+    with pytest.raises(ValueError):
+        findings.findings_page(t, page=1, after=(5, 1))
+
+
 def test_context_against_loops(spark):
     rng = random.Random(9)
     calls, rows = [], []
