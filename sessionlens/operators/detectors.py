@@ -119,10 +119,13 @@ def edit_miss(facts: Facts, bits: int = BLOCK_BITS) -> DataFrame:
         & (F.col("error_code").isNull() | (F.col("error_code") == MISS)))
     ranged = (facts.touches.where(F.col("partial")).select(*STREAM, "seq").distinct()
               .withColumn("ranged", F.lit(True)))
-    found = as_of(
-        misses, earlier, [*STREAM, "abs_path"], at="seq", order="seq",
-        payloads={"prev": F.struct("seq", "rank", "name", "error_code")}, bits=bits)
-    found = (found.withColumn("prev_seq", F.col("prev.seq"))
+    # the scan carries a number of fixed width, the call's place in the order observed
+    place = F.shiftleft(F.col("rank.late").cast("bigint"), 62) + F.col("rank.at")
+    found = as_of(misses, earlier, [*STREAM, "abs_path"], at="seq", order="seq",
+                  payloads={"prev_place": place}, bits=bits)
+    there = earlier.select(*STREAM, place.alias("prev_place"),
+                           F.struct("seq", "name", "error_code").alias("prev"))
+    found = (found.join(there, [*STREAM, "prev_place"], "left").withColumn("prev_seq", F.col("prev.seq"))
              .join(ranged.withColumnRenamed("seq", "prev_seq"), [*STREAM, "prev_seq"], "left"))
     prev = F.col("prev")
     category = (

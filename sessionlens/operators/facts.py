@@ -88,39 +88,45 @@ def step_epochs(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         "opened_time": F.when(boundary, F.col("time")),
         "opened_open": F.when(boundary, F.col("type") == "step/start")}, bits)
     chunk_at = F.when(~boundary, F.col("pos"))
+
+    def ending(column: Column, name: str) -> Column:
+        # only one boundary can end a stretch: the next one
+        return F.max(F.when(boundary, column)).alias(f"next_{name}")
+
     return (
         rows.groupBy(*STEP, "opened_pos", "opened_time", "opened_open")
         .agg(F.min_by("time", chunk_at).alias("chunk_first"),
              F.max_by("time", chunk_at).alias("chunk_last"),
-             # only one boundary can end a stretch: the next one
-             F.max_by(F.struct("pos", "type", "time", "input_tokens", "output_tokens",
-                               "stream_first", "stream_last"),
-                      F.when(boundary, F.col("pos"))).alias("next"))
+             ending(F.array_position(F.lit(list(BOUNDARIES)), F.col("type")), "kind"),
+             *[ending(F.col(c), c) for c in ("pos", "time", "input_tokens", "output_tokens",
+                                             "stream_first", "stream_last")])
     )
 
 
 def assemble_steps(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """The last message of a (turn, step) closes it; a step still open is a bare row."""
+    """The last message of a (turn, step) closes it; a step still open is a bare row.
+
+    Every value kept is of fixed width and stands alone, so both aggregates hash.
+    """
     epochs = step_epochs(events, bits)
-    is_open = F.col("opened_open")
-    closes = F.col("next.type") == "assistant/message"
-    ends = F.col("next.type") == "step/end"
-    last = F.max_by(
-        F.struct(
-            F.when(is_open, F.col("opened_time")).otherwise(F.col("next.time")).alias("start"),
-            F.when(is_open, F.col("chunk_first")).alias("chunk_first"),
-            F.when(is_open, F.col("chunk_last")).alias("chunk_last"),
-            F.col("next.input_tokens"), F.col("next.output_tokens"),
-            F.col("next.stream_first"), F.col("next.stream_last"), F.col("next.pos")),
-        F.when(closes, F.col("next.pos")))
+    starts, closes, ends = (F.col("next_kind") == k for k in range(1, 1 + len(BOUNDARIES)))
+    at, is_open = F.col("next_pos"), F.col("opened_open")
+    message = {
+        "start": F.when(is_open, F.col("opened_time")).otherwise(F.col("next_time")),
+        "chunk_first": F.when(is_open, F.col("chunk_first")),
+        "chunk_last": F.when(is_open, F.col("chunk_last")),
+        **{c: F.col(f"next_{c}") for c in ("input_tokens", "output_tokens", "stream_first", "stream_last",
+                                           "pos")}}
     grouped = (
         epochs.groupBy(*STEP)
-        .agg(last.alias("m"),
-             F.max(F.when(ends, F.struct(F.col("next.pos"), F.col("next.time")))).alias("end"),
-             F.max(F.struct(F.col("next.pos"), F.col("next.type"), F.col("next.time")))
-             .alias("latest"))
-        .withColumn("open_since", F.when(F.col("latest.type") == "step/start",
-                                         F.col("latest.time")))
+        .agg(*[F.max_by(v, F.when(closes, at)).alias(f"m_{c}") for c, v in message.items()],
+             F.max(F.when(ends, at)).alias("end_pos"),
+             F.max_by("next_time", F.when(ends, at)).alias("end_time"),
+             F.max_by(starts, at).alias("reopened"), F.max_by("next_time", at).alias("latest_time"))
+        .select(*STEP, F.when(F.col("m_pos").isNotNull(), F.struct(*[F.col(f"m_{c}").alias(c) for c in message]))
+                .alias("m"),
+                F.struct(F.col("end_pos").alias("pos"), F.col("end_time").alias("time")).alias("end"),
+                F.when(F.col("reopened"), F.col("latest_time")).alias("open_since"))
         .where(F.col("m").isNotNull() | F.col("open_since").isNotNull())
     )
     return step_timing(grouped)
@@ -157,42 +163,48 @@ def pair_calls(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     if a call, went unanswered; a call followed by another call with its id was replaced. ``rank``
     is the order rows were observed in: results as they came, then unanswered calls.
     """
-    cols = ["pos", "type", "seq", "turn", "step", "name", "time", "arg_path"]
-    rows = events.where(F.col("type").isin("tool/call", "tool/result")) \
-        .select(*STREAM, "call_id", *cols, "error_code", "meta_path")
-    known = rows.where(F.col("call_id").isNotNull())
-    chained = with_previous(known, [*STREAM, "call_id"], "pos", {"prev": F.struct(*cols)}, bits)
     is_result, is_call = F.col("type") == "tool/result", F.col("type") == "tool/call"
-    after_call = F.coalesce(F.col("prev.type") == "tool/call", F.lit(False))
-    anonymous = (rows.where(is_result & F.col("call_id").isNull())
-                 .withColumn("prev", F.lit(None).cast(chained.schema["prev"].dataType)))
-    results = chained.where(is_result).unionByName(anonymous)
-    call = F.when(after_call, F.col("prev"))
-    answered = results.select(
-        *STREAM,
-        F.struct(F.lit(0).alias("late"), F.col("pos").alias("at")).alias("rank"),
-        F.when(after_call, call["turn"]).otherwise(F.col("turn")).alias("turn"),
-        F.when(after_call, call["step"]).otherwise(F.col("step")).alias("step"),
-        F.when(after_call, call["seq"]).otherwise(F.col("seq")).alias("seq"),
-        F.when(after_call, call["name"]).otherwise(F.col("name")).alias("name"),
-        call["time"].alias("started_at"), F.col("time").alias("ended_at"),
-        (F.col("time") - call["time"]).alias("duration_ms"),
-        "error_code", F.coalesce(call["arg_path"], "meta_path").alias("abs_path"),
-        (~after_call).alias("outcome_only"))
+    rows = events.where(F.col("type").isin("tool/call", "tool/result")) \
+        .select(*STREAM, "call_id", "pos", "type", "seq", "turn", "step", "name", "time", "arg_path",
+                "error_code", "meta_path")
+    # what is carried is a place and a flag; the call itself is fetched by its place
+    chained = with_previous(
+        rows.where(F.col("call_id").isNotNull()), [*STREAM, "call_id"], "pos",
+        {"prev_pos": F.col("pos"), "prev_call": is_call}, bits)
+    after_call = F.coalesce(F.col("prev_call"), F.lit(False))
+    no_call = {"prev_pos": F.lit(None).cast("bigint"), "prev_call": F.lit(False)}
+    results = chained.where(is_result).unionByName(
+        rows.where(is_result & F.col("call_id").isNull()).withColumns(no_call))
+    call = F.struct("seq", "turn", "step", "name", "time", "arg_path").alias("call")
+    calls = rows.where(is_call).select(*STREAM, F.col("pos").alias("call_pos"), call)
     unanswered = (
         chained.groupBy(*STREAM, "call_id")
-        .agg(F.max_by(F.struct(*cols), "pos").alias("last"),
+        .agg(F.max("pos").alias("call_pos"), F.max_by(is_call, "pos").alias("waits"),
              # replaced calls keep the place of the first one waiting
              F.max(F.when(is_call & ~after_call, F.col("pos"))).alias("waiting_since"))
-        .where(F.col("last.type") == "tool/call")
+        .where("waits")
+        .join(calls, [*STREAM, "call_pos"])
         .select(*STREAM,
                 F.struct(F.lit(1).alias("late"), F.col("waiting_since").alias("at")).alias("rank"),
-                "last.turn", "last.step", "last.seq", "last.name",
-                F.col("last.time").alias("started_at"),
+                "call.turn", "call.step", "call.seq", "call.name",
+                F.col("call.time").alias("started_at"),
                 F.lit(None).cast("bigint").alias("ended_at"),
                 F.lit(None).cast("bigint").alias("duration_ms"),
                 F.lit(None).cast("string").alias("error_code"),
-                F.col("last.arg_path").alias("abs_path"), F.lit(False).alias("outcome_only"))
+                F.col("call.arg_path").alias("abs_path"), F.lit(False).alias("outcome_only"))
+    )
+    known, call = F.col("call").isNotNull(), F.col("call")
+    answered = (
+        results.withColumn("call_pos", F.when(after_call, F.col("prev_pos")))
+        .join(calls, [*STREAM, "call_pos"], "left")
+        .select(
+            *STREAM,
+            F.struct(F.lit(0).alias("late"), F.col("pos").alias("at")).alias("rank"),
+            *[F.when(known, call[c]).otherwise(F.col(c)).alias(c) for c in ("turn", "step", "seq", "name")],
+            call["time"].alias("started_at"), F.col("time").alias("ended_at"),
+            (F.col("time") - call["time"]).alias("duration_ms"),
+            "error_code", F.coalesce(call["arg_path"], "meta_path").alias("abs_path"),
+            (~known).alias("outcome_only"))
     )
     return answered.unionByName(unanswered)
 

@@ -79,6 +79,11 @@ def test_folds_read_only_their_lines(spark, tmp_path):
         assert "command" not in schema
 
 
+@pytest.mark.parametrize("name", ["step_assembly", "call_result_pairs", "edit_miss"])
+def test_folds_carry_fixed_widths(spark, name):
+    assert "SortAggregate" not in plan(entry.queries()[name](spark, SF))
+
+
 def test_page_is_a_top_k(stored):
     from sessionlens.operators import findings
 
