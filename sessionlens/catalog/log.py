@@ -356,3 +356,17 @@ UNION ALL SELECT 'shell-edit', 'MUTATING', count(*) FROM shown""", ALL_PREFIX)(
     lambda f: detectors.stamp_guard(f).unionByName(detectors.shell_edit(f))
     .select("detector", F.explode("evidence").alias("e"))
     .groupBy("detector", "e.verb_class").agg(F.count(F.lit(1)).alias("count")))
+
+
+@on_held_facts("calls")("added_detector", f"""
+SELECT 'abort-watch' AS detector, 'GUARD' AS plane, code, seq, occurred_at FROM errors WHERE code = 'ABORTED'
+UNION ALL SELECT 'error-plane', {PLANE.format("code")}, code, seq, occurred_at FROM errors WHERE code <> 'ABORTED'""")
+def _added(f: Facts):
+    """A detector of the caller's own takes its code from the one for all errors."""
+    def aborted(facts: Facts):
+        return detectors.finding_rows(
+            facts.errors.where("code = 'ABORTED'"), "abort-watch", plane=F.lit("GUARD"), code=F.col("code"),
+            seq=F.col("seq"), occurred_at=F.col("occurred_at"), summary=F.lit("aborted"))
+
+    registry = detectors.register([], detectors.Detector("abort-watch", aborted, frozenset({"ABORTED"})))
+    return detectors.detect_all(f, registry).select("detector", "plane", "code", "seq", "occurred_at")
