@@ -1,20 +1,24 @@
 """Jaccard self-join of shingle sets with several global token orders.
 
-Two sets this similar share a token among the first few of each, under every order of all tokens. A
-candidate must do so under several orders; only then are the sets compared.
+Two sets this similar share tokens among the first few of each, under every order of all tokens, and
+how many they must share follows from their sizes (``needed``). A candidate must reach that under
+several orders; only then are the sets compared.
 
 * All orders put common tokens last, those that several documents have among the first of a plain
   random order. A Bloom filter of fixed size holds them; whom it names too many only moves in the
   orders, which never costs a link. The pairs come from an equi-join on the first tokens of the
   first order. Tokens that one document alone has there cannot join; a second Bloom filter keeps
   nearly all of them out of the shuffle.
-* The other orders are checked per candidate pair before the exact comparison. Pairs that differ too
-  much in how many tokens they have in each share of the hash space go before any set is moved.
+* A pair's common first tokens are counted by the aggregate that makes pairs distinct; a common token
+  whose places in both sets leave too few tokens before and behind it makes no row at all.
+* The other orders are checked on sketches, before any set is moved: a sketch holds the first tokens
+  under each of them, cut to 16 bits, and how many tokens the set has in each share of the hash space.
+  Either can only make two sets look more alike than they are.
 
 No pairs within a group of copies. Equal sets are one node. Near copies are first tied to a hub: the
-smallest node with the same least token, under each of several random orders. Links found so are merged
-to components; then, within one token, each node outside the most frequent component is tied to the
-leader of that component. The join pairs what is left: within one token, the nodes outside the most
+most central node with the same least token, under each of several random orders; a node is central
+when few of its first tokens are its own alone. Links found so are merged to components; then, within
+one token, each node outside the most frequent component is tied to the most central node of that one. The join pairs what is left: within one token, the nodes outside the most
 frequent component with those of all other components.
 
 Nodes are 128-bit set fingerprints. Components are found by contraction: each node joins its least
@@ -40,7 +44,7 @@ PERCENT = 85
 ORDERS = 3
 HUBS = 4
 COMMON = 8
-SHARES = 64
+MIN_SHARES, MAX_SHARES = 64, 4096
 BLOOM_BITS = 27
 BLOOM_SEGMENTS = 256
 MAX_BROADCAST_KEYS = 1_000_000
@@ -73,25 +77,76 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def order_key(tokens: np.ndarray, common: np.ndarray | None, order: int) -> np.ndarray:
-    """Where tokens stand in an order: those of the Bloom filter ``common`` after all others."""
-    key = mix(tokens, order) >> np.uint64(1)
-    return key if common is None else key | (in_bloom(common, tokens).astype(np.uint64) << np.uint64(63))
+def needed(x: int, y: int, percent: int) -> tuple[int, int]:
+    """How many tokens two similar sets of these sizes share, and how many among their first ones.
+
+    A set of x tokens has at most x - shared that the other lacks. Of the two sets, the one whose first
+    tokens end earlier in the order finds all that it shares of them among the first of the other.
+    """
+    shared = -(-percent * (x + y) // (100 + percent))
+    return shared, shared - -(-percent * max(x, y) // 100) + 1
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray | None, order: int, percent: int,
+def last_bits(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What an order adds to a token's place: tokens of the Bloom filter ``common`` come after all others."""
+    return in_bloom(common, tokens).astype(np.uint64) << np.uint64(63)
+
+
+def prefix(tokens: np.ndarray, last: np.ndarray | None, order: int, percent: int,
            times: int = 1) -> np.ndarray:
-    """The first tokens under an order: as many as decide, or that many ``times``."""
-    size = times * prefix_size(len(tokens), percent)
-    if size >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(order_key(tokens, common, order), size - 1)[:size]]
+    """Places of the first tokens under an order, in that order: as many as decide, or that many ``times``."""
+    size = min(times * prefix_size(len(tokens), percent), len(tokens))
+    key = mix(tokens, order) >> np.uint64(1)
+    if last is not None:
+        key |= last
+    first = np.argpartition(key, size - 1)[:size]
+    return first[np.argsort(key[first])]
 
 
-def share_counts(tokens: np.ndarray) -> bytes:
-    """How many tokens fall to each of ``SHARES`` equal shares of the hash space."""
-    counts = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=SHARES)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+def shares(size: int) -> int:
+    """Into how many equal shares the hash space is cut for a set: about one token falls to each."""
+    return min(MAX_SHARES, max(MIN_SHARES, 1 << size.bit_length() - 1))
+
+
+def sketch(tokens: np.ndarray, last: np.ndarray, percent: int) -> bytes:
+    """The set's size, its tokens in each share, and its first tokens under the orders after the first.
+
+    A count is one byte; 255 stands for any larger one. First tokens are cut to 16 bits and sorted.
+    """
+    parts = shares(len(tokens))
+    counts = np.bincount((tokens >> np.uint64(65 - parts.bit_length())).astype(np.int64), minlength=parts)
+    orders = [np.sort((tokens[prefix(tokens, last, k, percent)] & np.uint64(0xFFFF)).astype("<u2"))
+              for k in range(2, ORDERS + 1)]
+    return b"".join([np.uint32(len(tokens)).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(),
+                     *[o.tobytes() for o in orders]])
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays share, repeated ones as often as both have them."""
+    both = np.sort(np.concatenate([numbered(x), numbered(y)]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Sorted values made distinct by how many equal ones stand before."""
+    return (x.astype(np.int64) << 32) + np.arange(len(x)) - np.searchsorted(x, x)
+
+
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sketches leave it possible that their sets are similar enough."""
+    (n, m), (a, b) = (int.from_bytes(s[:4], "little") for s in (x, y)), (
+        np.frombuffer(s, np.uint8, offset=4) for s in (x, y))
+    shared, first = needed(n, m, percent)
+    if shared > min(n, m):
+        return False
+    p, q = shares(n), shares(m)
+    fold = min(p, q)
+    u, v = (s[:k].reshape(fold, -1).astype(np.int64) for s, k in ((a, p), (b, q)))
+    if u.max() < 255 and v.max() < 255 and np.minimum(u.sum(1), v.sum(1)).sum() < shared:
+        return False
+    orders = zip(a[p:].view("<u2").reshape(ORDERS - 1, -1), b[q:].view("<u2").reshape(ORDERS - 1, -1),
+                 strict=True)
+    return all(in_common(s, t) >= first for s, t in orders)
 
 
 def signed(tokens: np.ndarray) -> pa.Array:
@@ -105,23 +160,27 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 
 SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
-          "shares": pa.binary()}
-SURVEY_SQL = "key long, text_hash long, n long, node binary, least array<long>, shares binary"
+          "private": pa.int64(), "sketch": pa.binary()}
+SURVEY_SQL = "key long, text_hash long, n long, node binary, least array<long>, private long, sketch binary"
 
 
-def survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row per document: its set's size, node, least token per order and counts by hash share."""
+def survey(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
+    """A row per document: its set's size, node, least token per order, first tokens of its own, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, least, shares = [], [], [], []
+            rows = []
             for tokens in shingle_sets(batch.column(1), n):
-                sizes.append(len(tokens))
-                nodes.append(fingerprint(tokens) if len(tokens) else None)
-                least.append([int(mix(tokens, k).min().view(np.int64)) for k in range(1, HUBS + 1)]
-                             if len(tokens) else None)
-                shares.append(share_counts(tokens))
-            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, nodes, least, shares])
+                if not len(tokens):
+                    rows.append((0, None, None, None, None))
+                    continue
+                last = last_bits(tokens, common.value)
+                first = tokens[prefix(tokens, last, 1, percent)]
+                rows.append((len(tokens), fingerprint(tokens),
+                             [int(mix(tokens, k).min().view(np.int64)) for k in range(1, HUBS + 1)],
+                             int((~in_bloom(bloom.value, first)).sum()), sketch(tokens, last, percent)))
+            sizes, *others = zip(*rows, strict=True) if rows else ((),) * 5
+            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, *others])
 
     return docs.mapInArrow(run, SURVEY_SQL)
 
@@ -146,7 +205,8 @@ def token_counts(docs: DataFrame, common, n: int, percent: int, times: int) -> D
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                held.append(prefix(tokens, common and common.value, 1, percent, times))
+                last = common and last_bits(tokens, common.value)
+                held.append(tokens[prefix(tokens, last, 1, percent, times)])
                 size += len(held[-1])
                 if size > BATCH_TOKENS:
                     yield counted()
@@ -199,33 +259,44 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
-    """token, node, n: the first tokens of each set that another set may have among its own."""
+    """token, node, n, private, before, behind: the first tokens of each set that another may have among its own.
+
+    ``private``: how many first tokens no other set can have; ``before``: how many of the others come
+    before this one; ``behind``: how many tokens of the whole set come after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"token": pa.int64(), "node": pa.binary(), "n": pa.int64()}
+        schema = {"token": pa.int64(), "node": pa.binary(), "n": pa.int64(), "private": pa.int64(),
+                  "before": pa.int64(), "behind": pa.int64()}
         seen = set()
         for batch in batches:
-            tokens_out, nodes, sizes, held = [], [], [], 0
+            nodes, held = [], []
+
+            def rows() -> pa.RecordBatch:
+                tokens, *numbers = (np.concatenate(part) for part in zip(*held, strict=True))
+                return batch_of(schema, [signed(tokens), nodes, *numbers])
+
             for tokens in shingle_sets(batch.column(1), n):
                 node = fingerprint(tokens)
                 if not len(tokens) or node in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                first = prefix(tokens, common.value, 1, percent)
-                first = first[in_bloom(bloom.value, first)]
-                if len(first):
-                    tokens_out.append(first)
-                    nodes.extend([node] * len(first))
-                    sizes.extend([len(tokens)] * len(first))
-                    held += len(first)
-                if held > BATCH_TOKENS // 16:
-                    yield batch_of(schema, [signed(np.concatenate(tokens_out)), nodes, sizes])
-                    tokens_out, nodes, sizes, held = [], [], [], 0
-            if tokens_out:
-                yield batch_of(schema, [signed(np.concatenate(tokens_out)), nodes, sizes])
-
-    return docs.mapInArrow(run, "token long, node binary, n long")
+                first = tokens[prefix(tokens, last_bits(tokens, common.value), 1, percent)]
+                at = np.flatnonzero(in_bloom(bloom.value, first))
+                if not len(at):
+                    continue
+                nodes.extend([node] * len(at))
+                held.append((first[at], np.full(len(at), len(tokens)), np.full(len(at), len(first) - len(at)),
+                             np.arange(len(at)), len(tokens) - 1 - at))
+                if len(nodes) > BATCH_TOKENS // 16:
+                    yield rows()
+                    nodes, held = [], []
+            if held:
+                yield rows()
+
+    return docs.mapInArrow(
+        run, "token long, node binary, n long, private long, before long, behind long")
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -251,30 +322,23 @@ def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets could be similar enough by how many tokens each has in each hash share.
-
-    Two sets have no more in common than, summed over the shares, the smaller of their counts.
-    """
+    """The pairs whose sketches leave it possible that the sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"a": pa.binary(), "b": pa.binary()}
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SHARES).astype(np.int64)
-                    for c in (batch.column(2), batch.column(3)))
-            both, every = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
-            full = (x == 65535).any(1) | (y == 65535).any(1)  # a count beyond its field proves nothing
-            keep = pa.array(full | (100 * both >= percent * (every - both)))
+            keep = pa.array([alike(x.as_py(), y.as_py(), percent)
+                             for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield batch_of(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
 
-    left = classes.select(F.col("node").alias("a"), F.col("shares").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("shares").alias("y"))
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
                .mapInArrow(run, "a binary, b binary"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, common, n: int,
-             percent: int) -> DataFrame:
-    """The pairs (a, b) that share a first token under every order and are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that share enough first tokens under every order and are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"a": pa.binary(), "b": pa.binary()}
@@ -282,10 +346,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, common, n: i
             linked = []
             for a, b, x, y in zip(*batch.columns, strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if not all(len(np.intersect1d(prefix(x, common.value, k, percent),
-                                              prefix(y, common.value, k, percent), True))
-                           for k in range(1, ORDERS + 1)):
-                    continue
                 both = len(np.intersect1d(x, y, True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     linked.append((a.as_py(), b.as_py()))
@@ -294,7 +354,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, common, n: i
     pairs = possible(pairs, classes, percent)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = cut(classes.join(wanted, "node").select("key").distinct())
-    sets = cut(sets_of(docs, keys, n))
+    sets = stored(sets_of(docs, keys, n).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -330,45 +390,64 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(reduce(follow, maps[1:], maps[0]))
 
 
-def hub_pairs(classes: DataFrame) -> DataFrame:
-    """Each node with the least node that has the same least token, under each order."""
-    rows = classes.select("node", F.posexplode("least").alias("order", "token"))
+def hub_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Each node with the most central one that has the same least token, under each order."""
+    rows = classes.select("node", "n", "private", F.posexplode("least").alias("order", "token"))
     hubs = rows.groupBy("order", "token").agg(
-        F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub != _last").drop("_last")
-    return (rows.join(hubs, ["order", "token"]).where("node != hub")
-            .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        F.min(F.struct("private", "node", "n")).alias("_hub"), F.min("node").alias("_first"),
+        F.max("node").alias("_last")).where("_first != _last").select(
+        "order", "token", F.col("_hub.node").alias("hub"), F.col("_hub.n").alias("hub_n"))
+    return (rows.join(hubs, ["order", "token"])
+            .where((F.col("node") != F.col("hub"))
+                   & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+
+
+PLACE = ["token", "node", "n", "private", "before", "behind"]
 
 
 def mixed_rows(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """token, node, n, comp, most, leader: the rows of tokens that nodes of several components have.
+    """The rows of tokens that nodes of several components have, with comp, most and leader.
 
-    ``most`` is the component with the most rows of the token, ``leader`` its least node there.
+    ``most`` is the component with the most rows of the token, ``leader`` its most central node there.
     """
     placed = stored(rows.join(merged, "node", "left").select(
-        "token", "node", "n", F.coalesce("label", "node").alias("comp")))
-    groups = placed.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min("node").alias("leader"))
+        *PLACE, F.coalesce("label", "node").alias("comp")))
+    groups = placed.groupBy("token", "comp").agg(
+        F.count("*").alias("m"), F.min(F.struct("private", "node", "n")).alias("leader"))
     most = groups.groupBy("token").agg(
         F.max(F.struct("m", "comp", "leader")).alias("_most"), F.count("*").alias("comps")).where(
-        "comps > 1").select("token", F.col("_most.comp").alias("most"), F.col("_most.leader").alias("leader"))
+        "comps > 1").select("token", F.col("_most.comp").alias("most"),
+                            F.col("_most.leader.node").alias("leader"), F.col("_most.leader.n").alias("leader_n"))
     return stored(placed.join(most, "token"))
 
 
-def leader_pairs(mixed: DataFrame) -> DataFrame:
+def leader_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Each node outside a token's most frequent component with that component's leader there."""
-    return (mixed.where("comp != most")
+    return (mixed.where((F.col("comp") != F.col("most"))
+                        & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
 
 
 def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components with a first token in common, of fitting sizes."""
+    """Pairs of nodes of different components with as many first tokens in common as ``needed``.
+
+    A row per pair and common token: within a token two nodes meet once. A row whose token leaves too
+    few tokens to share before and behind it belongs to no link, nor does any row of that pair.
+    """
     other = mixed.where("comp != most").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    every = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"),
-                         F.col("comp").alias("cb"), (F.col("comp") == F.col("most")).alias("main"))
+        "token", F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in PLACE[1:]])
+    every = mixed.select("token", F.col("comp").alias("cb"), (F.col("comp") == F.col("most")).alias("main"),
+                         *[F.col(c).alias(f"{c}_b") for c in PLACE[1:]])
+    shared = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    first = shared - F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100") + 1
     return (other.join(every, "token")
-            .where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
-                   & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            .where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
+                   & (F.least("n_a", "n_b") >= shared)
+                   & (F.least("before_a", "before_b") + 1 + F.least("behind_a", "behind_b") >= shared))
+            .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            .agg(F.count("*").alias("_m"), F.max(first).alias("_needed"))
+            .where("_m >= _needed").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE,
@@ -385,20 +464,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
                        F.xxhash64(F.col(text)).alias("text_hash"))
-    rows = cut(survey(docs, n))
     share = spark.sparkContext.broadcast
-    classes = cut(rows.where("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.first("least").alias("least"), F.first("shares").alias("shares")))
     often = token_counts(docs, None, n, percent, 2).where(F.col("n") >= COMMON).select("token")
     common = share(bloom_of(often))
     bloom = share(bloom_of(token_counts(docs, common, n, percent, 1).select("token")))
-    near = verified(hub_pairs(classes), docs, classes, common, n, percent)
+    rows = stored(survey(docs, common, bloom, n, percent))
+    classes = stored(rows.where("n > 0").groupBy("node").agg(
+        F.min("key").alias("key"), F.min("n").alias("n"), F.first("least").alias("least"),
+        F.min("private").alias("private"), F.first("sketch").alias("sketch")))
+    near = verified(hub_pairs(classes, percent), docs, classes, n, percent)
     merged = components(near)
     mixed = mixed_rows(prefix_rows(docs, common, bloom, n, percent).distinct(), merged)
-    near = near.union(verified(leader_pairs(mixed), docs, classes, common, n, percent))
+    near = near.union(verified(leader_pairs(mixed, percent), docs, classes, n, percent))
     merged = components(near)
-    mixed = mixed_rows(mixed.select("token", "node", "n"), merged)
-    links = near.union(verified(cross_pairs(mixed, percent), docs, classes, common, n, percent))
+    mixed = mixed_rows(mixed.select(PLACE), merged)
+    links = near.union(verified(cross_pairs(mixed, percent), docs, classes, n, percent))
     found = components(links)
     labelled = classes.join(found, "node", "left").select(
         "node", "key", F.coalesce("label", "node").alias("label"))
