@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on every row its predecessor
 kept. All but the last return the columns of documents. ``run`` writes each stage as Parquet in the
-shared folder and reads it again for the next one, so a stage that fails repeats itself alone.
+shared folder and reads it again for the next one, so a lost executor
+repeats tasks of one stage alone. A new call of ``run`` starts from the first stage.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenizers and alignment are beyond SQL; the tests hold run() against a brute-force version.
+#: Tokenizers and alignment are beyond SQL; the tests hold near duplicates against brute
+#: force and the other stages against planted rows.
 ORACLE_SQL = None
 
 

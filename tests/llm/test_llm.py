@@ -552,6 +552,32 @@ def test_components_equal_brute_force(spark):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_sketches_lose_no_similar_sets():
+    rng = np.random.default_rng(31)
+    common = np.packbits(rng.random(1 << ngram_join.BLOOM_BITS) < 0.6)
+    dropped = 0
+    for trial in range(300):
+        size, percent = int(rng.integers(1, 400)), (85, 80)[trial % 2]
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size + 2, np.uint64))
+        base, spare = pool[rng.permutation(len(pool))][:size], pool[-1:]
+        share = rng.random() * (0.25 if trial % 3 else 1)
+        x = np.sort(base[rng.random(size) >= share * rng.random()])
+        y = np.unique(np.concatenate([base[rng.random(size) >= share * rng.random()], spare]))
+        if not len(x):
+            continue
+        both = len(np.intersect1d(x, y))
+        similar = 100 * both >= percent * (len(x) + len(y) - both)
+        last = [ngram_join.last_bits(s, common) for s in (x, y)]
+        sketches = [ngram_join.sketch(s, bits, percent) for s, bits in zip((x, y), last, strict=True)]
+        may = ngram_join.alike(*sketches, percent)
+        first = [s[ngram_join.prefix(s, bits, 1, percent)] for s, bits in zip((x, y), last, strict=True)]
+        assert may or not similar
+        if similar:
+            assert len(np.intersect1d(*first)) >= ngram_join.needed(len(x), len(y), percent)[1]
+        dropped += not may
+    assert dropped > 30
+
+
 def test_components_of_awkward_rows(spark):
     docs = awkward(spark)
     got = ngram_join.near_duplicates(docs).collect()
