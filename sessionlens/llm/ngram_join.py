@@ -10,7 +10,8 @@ several orders; only then are the sets compared.
   first order. Tokens that one document alone has there cannot join; a second Bloom filter keeps
   nearly all of them out of the shuffle.
 * A pair's common first tokens are counted by the aggregate that makes pairs distinct; a common token
-  whose places in both sets leave too few tokens before and behind it makes no row at all.
+  whose places in both sets leave too few tokens before and behind it makes no row at all, nor do
+  sets whose parities over 256 slots show that they differ too much.
 * The other orders are checked on sketches, before any set is moved: a sketch holds the first tokens
   under each of them, cut to 16 bits, and how many tokens the set has in each share of the hash space.
   Either can only make two sets look more alike than they are.
@@ -34,7 +35,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.llm.shared import batch_words, cut, grams, mix, stored
@@ -49,6 +50,8 @@ BLOOM_BITS = 27
 BLOOM_SEGMENTS = 256
 MAX_BROADCAST_KEYS = 1_000_000
 BATCH_TOKENS = 1 << 21
+PARITY = 4  # longs
+PLACE = ["token", "node", "n", "private", "before", "behind", *[f"parity_{k}" for k in range(PARITY)]]
 
 
 def distinct(tokens: np.ndarray) -> np.ndarray:
@@ -159,28 +162,50 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(schema))
 
 
-SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(), "least": pa.list_(pa.int64()),
-          "private": pa.int64(), "sketch": pa.binary()}
-SURVEY_SQL = "key long, text_hash long, n long, node binary, least array<long>, private long, sketch binary"
+SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(),
+          "least": pa.list_(pa.int64()), "private": pa.int64(), "sketch": pa.binary(),
+          "first": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "parity": pa.list_(pa.int64())}
+SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, private long, sketch binary, "
+              "first array<long>, at array<int>, parity array<long>")
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls to each of 256 slots, as four longs.
+
+    Each token that only one of two sets has changes one slot: no more slots can differ than tokens do.
+    """
+    slots = np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((slots & 1).astype(np.uint8)).view(np.int64)
 
 
 def survey(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
-    """A row per document: its set's size, node, least token per order, first tokens of its own, sketch."""
+    """A row per document: its set's size and node, and what the join needs to know of the set.
+
+    ``least``: its least token per order; ``first``: the first tokens that another set may have among its
+    own, ``at`` their places among all first ones, ``private`` how many others there are; ``sketch`` and
+    ``parity``. A task says all this for the first document of a node and leaves it null for others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             rows = []
             for tokens in shingle_sets(batch.column(1), n):
-                if not len(tokens):
-                    rows.append((0, None, None, None, None))
+                node = fingerprint(tokens) if len(tokens) else None
+                if node is None or node in seen:
+                    rows.append((len(tokens), node, *[None] * (len(SURVEY) - 4)))
                     continue
+                if len(seen) < 1 << 18:
+                    seen.add(node)
                 last = last_bits(tokens, common.value)
                 first = tokens[prefix(tokens, last, 1, percent)]
-                rows.append((len(tokens), fingerprint(tokens),
+                at = np.flatnonzero(in_bloom(bloom.value, first))
+                rows.append((len(tokens), node,
                              [int(mix(tokens, k).min().view(np.int64)) for k in range(1, HUBS + 1)],
-                             int((~in_bloom(bloom.value, first)).sum()), sketch(tokens, last, percent)))
-            sizes, *others = zip(*rows, strict=True) if rows else ((),) * 5
-            yield batch_of(SURVEY, [batch.column(0), batch.column(2), sizes, *others])
+                             len(first) - len(at), sketch(tokens, last, percent),
+                             first[at].view(np.int64), at.astype(np.int32), parity(tokens)))
+            others = zip(*rows, strict=True) if rows else ((),) * (len(SURVEY) - 2)
+            yield batch_of(SURVEY, [batch.column(0), batch.column(2), *others])
 
     return docs.mapInArrow(run, SURVEY_SQL)
 
@@ -258,45 +283,17 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_rows(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
-    """token, node, n, private, before, behind: the first tokens of each set that another may have among its own.
+def prefix_rows(classes: DataFrame) -> DataFrame:
+    """The columns PLACE and comp: a row per node and first token that another set may have among its own.
 
     ``private``: how many first tokens no other set can have; ``before``: how many of the others come
     before this one; ``behind``: how many tokens of the whole set come after it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"token": pa.int64(), "node": pa.binary(), "n": pa.int64(), "private": pa.int64(),
-                  "before": pa.int64(), "behind": pa.int64()}
-        seen = set()
-        for batch in batches:
-            nodes, held = [], []
-
-            def rows() -> pa.RecordBatch:
-                tokens, *numbers = (np.concatenate(part) for part in zip(*held, strict=True))
-                return batch_of(schema, [signed(tokens), nodes, *numbers])
-
-            for tokens in shingle_sets(batch.column(1), n):
-                node = fingerprint(tokens)
-                if not len(tokens) or node in seen:
-                    continue
-                if len(seen) < 1 << 18:
-                    seen.add(node)
-                first = tokens[prefix(tokens, last_bits(tokens, common.value), 1, percent)]
-                at = np.flatnonzero(in_bloom(bloom.value, first))
-                if not len(at):
-                    continue
-                nodes.extend([node] * len(at))
-                held.append((first[at], np.full(len(at), len(tokens)), np.full(len(at), len(first) - len(at)),
-                             np.arange(len(at)), len(tokens) - 1 - at))
-                if len(nodes) > BATCH_TOKENS // 16:
-                    yield rows()
-                    nodes, held = [], []
-            if held:
-                yield rows()
-
-    return docs.mapInArrow(
-        run, "token long, node binary, n long, private long, before long, behind long")
+    words = [F.col("parity")[k].alias(f"parity_{k}") for k in range(PARITY)]
+    return (classes.select("node", "n", "private", *words, "comp",
+                           F.posexplode(F.arrays_zip("first", "at")).alias("before", "_first"))
+            .withColumns({"token": F.col("_first.first"), "behind": F.col("n") - 1 - F.col("_first.at")})
+            .select(*PLACE, "comp"))
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -403,16 +400,16 @@ def hub_pairs(classes: DataFrame, percent: int) -> DataFrame:
             .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
 
 
-PLACE = ["token", "node", "n", "private", "before", "behind"]
+def with_components(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with comp: the component of the node, the node itself where nothing is linked to it."""
+    return rows.join(merged, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
 
-def mixed_rows(rows: DataFrame, merged: DataFrame) -> DataFrame:
+def mixed_rows(placed: DataFrame) -> DataFrame:
     """The rows of tokens that nodes of several components have, with comp, most and leader.
 
     ``most`` is the component with the most rows of the token, ``leader`` its most central node there.
     """
-    placed = stored(rows.join(merged, "node", "left").select(
-        *PLACE, F.coalesce("label", "node").alias("comp")))
     groups = placed.groupBy("token", "comp").agg(
         F.count("*").alias("m"), F.min(F.struct("private", "node", "n")).alias("leader"))
     most = groups.groupBy("token").agg(
@@ -433,7 +430,8 @@ def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components with as many first tokens in common as ``needed``.
 
     A row per pair and common token: within a token two nodes meet once. A row whose token leaves too
-    few tokens to share before and behind it belongs to no link, nor does any row of that pair.
+    few tokens to share before and behind it belongs to no link, nor does any row of that pair. Sets whose
+    parities differ in more slots than similar sets of their sizes can differ in tokens make no row.
     """
     other = mixed.where("comp != most").select(
         "token", F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in PLACE[1:]])
@@ -441,10 +439,13 @@ def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
                          *[F.col(c).alias(f"{c}_b") for c in PLACE[1:]])
     shared = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     first = shared - F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100") + 1
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"parity_{k}_a").bitwiseXOR(F.col(f"parity_{k}_b")))
+                                     for k in range(PARITY)])
     return (other.join(every, "token")
             .where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
                    & (F.least("n_a", "n_b") >= shared)
-                   & (F.least("before_a", "before_b") + 1 + F.least("behind_a", "behind_b") >= shared))
+                   & (F.least("before_a", "before_b") + 1 + F.least("behind_a", "behind_b") >= shared)
+                   & (differ <= F.col("n_a") + F.col("n_b") - 2 * shared))
             .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
             .agg(F.count("*").alias("_m"), F.max(first).alias("_needed"))
             .where("_m >= _needed").select("a", "b"))
@@ -470,14 +471,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     bloom = share(bloom_of(token_counts(docs, common, n, percent, 1).select("token")))
     rows = stored(survey(docs, common, bloom, n, percent))
     classes = stored(rows.where("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.min("n").alias("n"), F.first("least").alias("least"),
-        F.min("private").alias("private"), F.first("sketch").alias("sketch")))
+        F.min("key").alias("key"), F.min("n").alias("n"), F.min("private").alias("private"),
+        *[F.first(c, True).alias(c) for c in ("least", "sketch", "first", "at", "parity")]))
     near = verified(hub_pairs(classes, percent), docs, classes, n, percent)
     merged = components(near)
-    mixed = mixed_rows(prefix_rows(docs, common, bloom, n, percent).distinct(), merged)
+    tied = classes.select("node", "n", "private", "first", "at", "parity")
+    mixed = mixed_rows(prefix_rows(stored(with_components(tied, merged))))
     near = near.union(verified(leader_pairs(mixed, percent), docs, classes, n, percent))
     merged = components(near)
-    mixed = mixed_rows(mixed.select(PLACE), merged)
+    mixed = mixed_rows(stored(with_components(mixed.select(PLACE), merged)))
     links = near.union(verified(cross_pairs(mixed, percent), docs, classes, n, percent))
     found = components(links)
     labelled = classes.join(found, "node", "left").select(
