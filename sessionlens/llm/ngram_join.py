@@ -48,6 +48,7 @@ COMMON = 8
 MIN_SHARES, MAX_SHARES = 64, 4096
 BLOOM_BITS = 27
 BLOOM_SEGMENTS = 256
+BLOOM_SALTS = (101, 102, 103)
 MAX_BROADCAST_KEYS = 1_000_000
 BATCH_TOKENS = 1 << 21
 PARITY = 4  # longs
@@ -243,14 +244,19 @@ def token_counts(docs: DataFrame, common, n: int, percent: int, times: int) -> D
             .where("n > 1"))
 
 
-def bloom_slots(tokens: np.ndarray) -> list[np.ndarray]:
-    size = np.uint64((1 << BLOOM_BITS) - 1)
-    return [(mix(tokens, salt) & size).astype(np.int64) for salt in (101, 102, 103)]
+def bloom_slots(tokens: np.ndarray, salt: int) -> np.ndarray:
+    return (mix(tokens, salt) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
 
 def in_bloom(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return np.logical_and.reduce([
-        bits[s >> 3] & (np.uint8(128) >> (s & 7).astype(np.uint8)) > 0 for s in bloom_slots(tokens)])
+    """Which tokens the filter may hold; later slots are looked up only for what the earlier ones leave."""
+    left = np.arange(len(tokens))
+    for salt in BLOOM_SALTS:
+        s = bloom_slots(tokens[left], salt)
+        left = left[bits[s >> 3] & (np.uint8(128) >> (s & 7).astype(np.uint8)) > 0]
+    found = np.zeros(len(tokens), bool)
+    found[left] = True
+    return found
 
 
 def bloom_of(tokens: DataFrame) -> np.ndarray:
@@ -259,7 +265,8 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.unique(np.concatenate(bloom_slots(batch.column(0).to_numpy().view(np.uint64))))
+            tokens = batch.column(0).to_numpy().view(np.uint64)
+            own = np.unique(np.concatenate([bloom_slots(tokens, salt) for salt in BLOOM_SALTS]))
             cuts = np.searchsorted(own, np.arange(BLOOM_SEGMENTS + 1) * width)
             rows = [(k, (own[a:b] - k * width).astype("<u4").tobytes())
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]

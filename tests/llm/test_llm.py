@@ -572,12 +572,28 @@ def test_sketches_lose_no_similar_sets():
         may = ngram_join.alike(*sketches, percent)
         first = [s[ngram_join.prefix(s, bits, 1, percent)] for s, bits in zip((x, y), last, strict=True)]
         assert may or not similar
+        differ = sum(int(v).bit_count() for v in (ngram_join.parity(x) ^ ngram_join.parity(y)).view(np.uint64))
+        assert differ <= len(x) + len(y) - 2 * both
         if similar:
+            assert differ <= len(x) + len(y) - 2 * ngram_join.needed(len(x), len(y), percent)[0]
             assert len(np.intersect1d(*first)) >= ngram_join.needed(len(x), len(y), percent)[1]
         dropped += not may
     assert dropped > 30
 
 
+def test_filter_finds_what_all_slots_hold():
+    rng = np.random.default_rng(7)
+    bits = np.packbits(rng.random(1 << ngram_join.BLOOM_BITS) < 0.4)
+    tokens = rng.integers(0, 1 << 63, 5000, np.uint64)
+    plain = np.ones(len(tokens), bool)
+    for salt in ngram_join.BLOOM_SALTS:
+        at = ngram_join.bloom_slots(tokens, salt)
+        plain &= np.unpackbits(bits)[at].astype(bool)
+    assert 0 < plain.sum() < len(tokens)
+    assert (ngram_join.in_bloom(bits, tokens) == plain).all()
+    assert not len(ngram_join.in_bloom(bits, tokens[:0]))
+
+
 def test_components_of_awkward_rows(spark):
     docs = awkward(spark)
     got = ngram_join.near_duplicates(docs).collect()
