@@ -96,6 +96,14 @@ def last_bits(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return in_bloom(common, tokens).astype(np.uint64) << np.uint64(63)
 
 
+def sets_and_last(texts: pa.Array, n: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set with its ``last_bits``, looked up for 256 texts at a time."""
+    for at in range(0, len(texts), 256):
+        sets = list(shingle_sets(texts.slice(at, 256), n))
+        last = last_bits(np.concatenate(sets), common)
+        yield from zip(sets, np.split(last, np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)), strict=True)
+
+
 def prefix(tokens: np.ndarray, last: np.ndarray | None, order: int, percent: int,
            times: int = 1) -> np.ndarray:
     """Places of the first tokens under an order, in that order: as many as decide, or that many ``times``."""
@@ -191,14 +199,13 @@ def survey(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
         seen = set()
         for batch in batches:
             rows = []
-            for tokens in shingle_sets(batch.column(1), n):
+            for tokens, last in sets_and_last(batch.column(1), n, common.value):
                 node = fingerprint(tokens) if len(tokens) else None
                 if node is None or node in seen:
                     rows.append((len(tokens), node, *[None] * (len(SURVEY) - 4)))
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                last = last_bits(tokens, common.value)
                 first = tokens[prefix(tokens, last, 1, percent)]
                 at = np.flatnonzero(in_bloom(bloom.value, first))
                 rows.append((len(tokens), node,
@@ -225,13 +232,14 @@ def token_counts(docs: DataFrame, common, n: int, percent: int, times: int) -> D
             return batch_of(schema, [signed(tokens), counts])
 
         for batch in batches:
-            for tokens in shingle_sets(batch.column(1), n):
+            sets = (sets_and_last(batch.column(1), n, common.value) if common
+                    else ((tokens, None) for tokens in shingle_sets(batch.column(1), n)))
+            for tokens, last in sets:
                 node = fingerprint(tokens)
                 if not len(tokens) or node in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(node)
-                last = common and last_bits(tokens, common.value)
                 held.append(tokens[prefix(tokens, last, 1, percent, times)])
                 size += len(held[-1])
                 if size > BATCH_TOKENS:
