@@ -135,8 +135,9 @@ steps AS (
 on_log("step_assembly", f"""
 SELECT session_id, source_file, turn, step, started_at, ended_at, input_tokens, output_tokens,
   {r_sql('tps', 3)} AS decode_tps, ttft_ms, timing_source FROM steps""", STEPS)(
-    lambda log: facts.assemble_steps(log).withColumn(
-        "decode_tps", round_half_up(F.col("decode_tps"), 3)))
+    # the column is an INTEGER here; the operator's own is a long and holds any wait
+    lambda log: facts.assemble_steps(log).withColumns({
+        "decode_tps": round_half_up(F.col("decode_tps"), 3), "ttft_ms": F.col("ttft_ms").try_cast("int")}))
 
 on_log("chunk_window", """
 SELECT session_id, source_file, t AS turn, s AS step, bp AS opened_pos, first AS chunk_first, last AS chunk_last

@@ -140,6 +140,23 @@ def test_steps_equal_a_plain_fold(spark, bits):
     assert got == fold_steps(rows)
 
 
+def test_a_step_that_waits_longer_than_an_int_holds(spark, tmp_path):
+    late = 40 * 86_400_000
+    rows = [("step/start", {}), ("assistant/chunk", {"time": late}), ("assistant/chunk", {"time": late + 1000}),
+            ("assistant/message", {"time": late + 1500, "output_tokens": 50})]
+    step, = facts.assemble_steps(log(spark, rows)).collect()
+    assert (step.started_at, step.ttft_ms, step.decode_tps) == (0, late, 50.0)
+
+    import __spark_entry__ as entry
+
+    table = [(1, 0, "signup"), (8, 40, "view"), (15, 41, "view"), (22, 42, "purchase")]
+    spark.createDataFrame(table, "event_id bigint, day int, event_type string").selectExpr(
+        "event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(day) as ts", "1L as user_id", "event_type",
+        "1.0D as value", "'{\"k\": 1}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    step, = entry.queries()["step_assembly"](spark, str(tmp_path)).collect()
+    assert (step.timing_source, step.ttft_ms, step.decode_tps) == ("chunk-events", None, 0.0)
+
+
 # --- pairing ----------------------------------------------------------------------------------
 
 def fold_calls(rows):
