@@ -12,8 +12,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,16 @@ from sessionlens.llm.shared import cut, prefix_sums
 
 END_ID = 2
 CACHE_CHUNKS = 600_000
+TOGETHER = 1 << 20
 MAX_BROADCAST_PARTS = 1_000_000
 
-# The splitting pattern and normalisers for which letter runs can be looked up alone.
+# The splitting pattern and normalisers for which pieces can be looked up alone, and the same
+# pattern for lower-case text of characters before U+0250, of which the normalisers change none.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
-PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+_LETTERS, _NUMBERS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-\u02af", "0-9²³¹¼½¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+BEYOND = re.compile("[\u0250-\U0010ffff\u0130\u023a\u023e]")  # or others in lower case that are not letters here
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,12 +46,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """chunk -> its number, given when it is first asked for."""
+
+    def __init__(self, number):
+        self.number = number
+
+    def __missing__(self, raw: bytes) -> int:
+        found = self[raw] = self.number(raw)
+        return found
+
+
 class ChunkEncoder:
-    """Ids of a text, chunk by chunk between ASCII white space, each distinct chunk encoded once.
+    """Ids of texts, chunk by chunk between ASCII white space, each distinct chunk encoded once.
 
-    Right for tokenizers that drop white space and never look across it. A chunk of Latin letters
-    with closing punctuation, by far the most common, goes to the model piece by piece when the
-    tokenizer splits as ``LETTER_RUNS`` says; every other chunk goes through the whole tokenizer.
+    A chunk's number says where its ids stand in one array, so the ids of many texts are gathered at once.
+    Right for tokenizers that drop white space and never look across it. Where the tokenizer splits as
+    ``LETTER_RUNS`` says, a text of Latin letters and signs goes to the model piece by piece; the chunks of
+    every other text go through the whole tokenizer unless they are such texts themselves.
     """
 
     def __init__(self, path: str):
@@ -59,37 +77,60 @@ class ChunkEncoder:
         self.by_piece = (steps == NORMALISERS
                          and split.get("pattern", {}).get("Regex") == LETTER_RUNS)
         self.letters = _byte_letters()
-        self.chunks: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            shown = text.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
-
-    def chunk(self, raw: bytes) -> list[int]:
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
-            self.pieces.clear()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.start()
+
+    def start(self) -> None:
+        self.chunks, self.pieces = Numbers(self.chunk), Numbers(self.piece)
+        self.ids, self.ends = array("I", [END_ID]), array("q", [0, 1])  # number 0 closes a text
+
+    def added(self, ids: Iterable[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 2
+
+    def run(self, number: int) -> array:
+        return self.ids[self.ends[number]:self.ends[number + 1]]
+
+    def piece(self, text: str) -> int:
+        shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.letters)
+        return self.added([t.id for t in self.tokenizer.model.tokenize(shown)])
+
+    def split(self, text: str) -> list[str] | None:
+        """The pieces of a text that the model takes one by one; None if it is not such a text."""
+        if not self.by_piece or BEYOND.search(text):
+            return None
+        low = text.lower()
+        return None if any(t in text or t in low for t in self.special) else PIECES.findall(low)
+
+    def chunk(self, raw: bytes) -> int:
         text = raw.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text) if self.by_piece and max(text) < "ɐ" else None
-        if plain and len(low := plain[1].lower()) == len(plain[1]):
-            ids = self.piece(low)
-            if plain[2]:
-                ids = ids + self.piece(plain[2])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.chunks[raw] = ids
-        return ids
+        pieces = self.split(text)
+        if pieces is None:
+            return self.added(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        runs = [self.pieces[p] for p in pieces]
+        return runs[0] if len(runs) == 1 else self.added(chain.from_iterable(map(self.run, runs)))
+
+    def numbers(self, text: bytes | None) -> Iterable[int]:
+        pieces = self.split((text or b"").decode("utf-8", "replace"))
+        if pieces is None:
+            return map(self.chunks.__getitem__, text.split())
+        return map(self.pieces.__getitem__, pieces)
+
+    def closed(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``END_ID``, and how many each has."""
+        if len(self.chunks) + len(self.pieces) >= CACHE_CHUNKS:
+            self.start()
+        found = [[*self.numbers(text), 0] for text in texts]
+        numbers = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        ends = np.frombuffer(self.ends, np.int64)
+        first, size = ends[numbers], ends[numbers + 1] - ends[numbers]
+        before = np.cumsum(size) - size
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(first - before, size) + np.arange(size.sum())]
+        return ids.astype("<u4"), np.add.reduceat(size, np.cumsum([0, *map(len, found[:-1])]))
 
     def encode(self, text: bytes | None) -> list[int]:
-        known, ids = self.chunks, []
-        for raw in (text or b"").split():
-            found = known.get(raw)
-            ids += self.chunk(raw) if found is None else found
-        return ids
+        return self.closed([text])[0][:-1].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -98,6 +139,19 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def together(texts: pa.Array) -> Iterator[list[bytes | None]]:
+    """The texts in order, as many at a time as hold ``TOGETHER`` bytes, one at least."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or b"")
+        if size >= TOGETHER or len(held) >= TOGETHER >> 12:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 IDS_SCHEMA = "_part long, _start long, _key long, _ids binary"
 
 
@@ -108,11 +162,14 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
         own, part, start = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, starts, ids = batch.column(0), [], []
-            for body in batch.column(1).cast(pa.binary()):
-                found = np.array([*own.encode(body.as_py()), END_ID], "<u4")
-                starts.append(start)
-                start += len(found)
-                ids.append(found.tobytes())
+            for texts in together(batch.column(1).cast(pa.binary())):
+                found, sizes = own.closed(texts)
+                raw, at = found.tobytes(), 0
+                for size in sizes.tolist():
+                    starts.append(start)
+                    start += size
+                    ids.append(raw[4 * at:4 * (at + size)])
+                    at += size
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(starts), pa.int64()), pa.array(starts, pa.int64()),
                  keys, pa.array(ids, pa.binary())], ["_part", "_start", "_key", "_ids"])

@@ -146,6 +146,25 @@ def test_chunks_give_the_tokenizers_ids():
         assert own.encode(text.encode()) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_together_and_the_memory_starts_anew(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 3)
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["The", "the,", "Été!", "ÉTÉ", "don't.", "a1b", "end..."], n))
+                 for n in rng.integers(0, 9, 6)]
+        ids, sizes = own.closed([None if not t else t.encode() for t in texts])
+        want = [[*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    for text in ("y<|EndOfText|>", "10m² ½a ¼ \x1c\x7f\x01 ƁaȺ b_c J\u030c J’s s's's"):
+        assert own.encode(text.encode()) == plain.encode(text, add_special_tokens=False).ids
+    big = pa.array([b"x" * packing.TOGETHER, None, b"y"])
+    assert [len(t) for t in packing.together(big)] == [1, 2]
+
+
 # --- WARC -------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
