@@ -668,6 +668,43 @@ def test_class_probabilities_add_up(spark):
     assert np.allclose(np.exp(lm.log_softmax(weights, np.arange(500))).sum(1), 1)
 
 
+def test_word_probabilities_add_up():
+    rng = np.random.default_rng(3)
+    n, classes = 700, lm.CLASSES
+    total, shape, slot = rng.integers(1, 900, n), rng.integers(0, lm.SHAPES, n), rng.integers(0, lm.OWN, n)
+    model = lm.Model(300, 1 + lm.OWN + rng.integers(0, lm.SHARED, lm.SHAPES), rng.integers(0, lm.GROUPS, classes + 1),
+                     None, None, rng.uniform(0.1, 0.9, classes), None,
+                     rng.normal(size=(lm.HISTORIES, classes)).astype(np.float32),
+                     rng.normal(size=(lm.WORD_SLOTS, classes)).astype(np.float32),
+                     rng.normal(size=(lm.WORD_SLOTS, lm.CELLS)).astype(np.float32), int(total.sum()), n)
+    kind, cell = model.classes(total, shape, slot), lm.cells(shape, slot)
+    both = [np.zeros((classes, lm.CELLS)) for _ in range(2)]
+    for sums, value in zip(both, (total, 1), strict=True):
+        np.add.at(sums, (kind, cell), value)
+    model.size, model.words = (sums.sum(1) for sums in both)
+    model.mass = both[0] - model.discount[:, None] * both[1]
+    assert (model.words[1:] > 0).all()
+    texts = np.array([[5, 9, w] for w in range(n)])
+    block = lm.Block([], np.zeros(n, bool), np.full(n, 3), texts.ravel(), total, None, shape, slot)
+    slots, history = lm.word_features(model, block)[:, 2:3], lm.histories(model, block)[2][2:3]
+    outcome = lm.class_chances(model, history, slots)[0]
+    known = lm.token_chances(model, block)[2::3].sum()
+    assert known + (outcome * model.unknown())[1:].sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_sees_which_words_stand_together(spark):
+    rng = np.random.default_rng(29)  # all words of one shape, none frequent: one class
+    pairs = [(f"th{a}ing", f"th{a + 400}ing") for a in range(400)]
+    say = lambda own: " ".join(w for k in own for w in pairs[k])
+    rows = [(k, say(rng.permutation(400)[:60])) for k in range(100)]
+    rows += [(1000, say(range(80))),
+             (1001, " ".join(w for k in range(80) for w in (pairs[k][0], pairs[(k + 7) % 80][1])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") >= 1000).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score)
+    assert got[1000].score > got[1001].score + 1
+
+
 def test_language_model_of_few_rows(spark):
     assert lm.score(empty(spark), F.lit(False)).count() == 0
     docs = awkward(spark)
