@@ -18,9 +18,10 @@ several orders; only then are the sets compared.
 
 No pairs within a group of copies. Equal sets are one node. Near copies are first tied to a hub: the
 most central node with the same least token, under each of several random orders; a node is central
-when few of its first tokens are its own alone. Links found so are merged to components; then, within
-one token, each node outside the most frequent component is tied to the most central node of that one. The join pairs what is left: within one token, the nodes outside the most
-frequent component with those of all other components.
+when its parities are near those that most of the nodes have. Links found so are merged to components;
+then, within one token, each node outside the most frequent component is tied to the most central node
+of that one. The join pairs what is left: within one token, the nodes outside the most frequent
+component with those of all other components.
 
 Nodes are 128-bit set fingerprints. Components are found by contraction: each node joins its least
 neighbour, edges between what is left go on to the next round.
@@ -52,7 +53,9 @@ BLOOM_SALTS = (101, 102, 103)
 MAX_BROADCAST_KEYS = 1_000_000
 BATCH_TOKENS = 1 << 21
 PARITY = 4  # longs
-PLACE = ["token", "node", "n", "private", "before", "behind", *[f"parity_{k}" for k in range(PARITY)]]
+WORDS = [f"parity_{k}" for k in range(PARITY)]
+PLACE = ["token", "node", "n", "aside", "before", "behind", *WORDS]
+CROWD = 8192  # nodes counted at once for a middle
 
 
 def distinct(tokens: np.ndarray) -> np.ndarray:
@@ -172,9 +175,9 @@ def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 
 SURVEY = {"key": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "node": pa.binary(),
-          "least": pa.list_(pa.int64()), "private": pa.int64(), "sketch": pa.binary(),
+          "least": pa.list_(pa.int64()), "sketch": pa.binary(),
           "first": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "parity": pa.list_(pa.int64())}
-SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, private long, sketch binary, "
+SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>, sketch binary, "
               "first array<long>, at array<int>, parity array<long>")
 
 
@@ -191,8 +194,7 @@ def survey(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
     """A row per document: its set's size and node, and what the join needs to know of the set.
 
     ``least``: its least token per order; ``first``: the first tokens that another set may have among its
-    own, ``at`` their places among all first ones, ``private`` how many others there are; ``sketch`` and
-    ``parity``. A task says all this for the first document of a node and leaves it null for others.
+    own, ``at`` their places among all first ones; ``sketch`` and ``parity``. A task says all this for the first document of a node and leaves it null for others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,7 @@ def survey(docs: DataFrame, common, bloom, n: int, percent: int) -> DataFrame:
                 at = np.flatnonzero(in_bloom(bloom.value, first))
                 rows.append((len(tokens), node,
                              [int(mix(tokens, k).min().view(np.int64)) for k in range(1, HUBS + 1)],
-                             len(first) - len(at), sketch(tokens, last, percent),
+                             sketch(tokens, last, percent),
                              first[at].view(np.int64), at.astype(np.int32), parity(tokens)))
             others = zip(*rows, strict=True) if rows else ((),) * (len(SURVEY) - 2)
             yield batch_of(SURVEY, [batch.column(0), batch.column(2), *others])
@@ -301,11 +303,10 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
 def prefix_rows(classes: DataFrame) -> DataFrame:
     """The columns PLACE and comp: a row per node and first token that another set may have among its own.
 
-    ``private``: how many first tokens no other set can have; ``before``: how many of the others come
-    before this one; ``behind``: how many tokens of the whole set come after it.
+    ``before``: how many of the others come before this one; ``behind``: how many tokens of the whole set
+    come after it.
     """
-    words = [F.col("parity")[k].alias(f"parity_{k}") for k in range(PARITY)]
-    return (classes.select("node", "n", "private", *words, "comp",
+    return (classes.select("node", "n", "aside", *parity_words(), "comp",
                            F.posexplode(F.arrays_zip("first", "at")).alias("before", "_first"))
             .withColumns({"token": F.col("_first.first"), "behind": F.col("n") - 1 - F.col("_first.at")})
             .select(*PLACE, "comp"))
@@ -402,14 +403,58 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(reduce(follow, maps[1:], maps[0]))
 
 
-def hub_pairs(classes: DataFrame, percent: int) -> DataFrame:
+def parity_words() -> list[Column]:
+    return [F.col("parity")[k].alias(word) for k, word in enumerate(WORDS)]
+
+
+def middles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and WORDS: for each slot, what more than half of a group's rows have there.
+
+    A long counts four slots, so a group may have 16,383 rows.
+    """
+    each, top = 0x0001000100010001, 0x4000
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"),
+        *[F.sum(F.shiftrightunsigned(F.col(word), j).bitwiseAND(F.lit(each))).alias(f"_{word}_{j}")
+          for word in WORDS for j in range(16)])
+    carry = (F.lit(top - 1) - F.floor(F.col("_n") / 2)) * F.lit(each)
+
+    def most(word: str) -> Column:
+        return reduce(Column.bitwiseOR, [
+            F.shiftleft(F.shiftrightunsigned((F.col(f"_{word}_{j}") + carry).bitwiseAND(F.lit(top * each)), 14), j)
+            for j in range(16)])
+
+    return counts.select(*by, *[most(word).alias(word) for word in WORDS])
+
+
+def differing(x: str, y: str) -> Column:
+    """In how many slots the parities of two prefixed rows differ."""
+    return reduce(Column.__add__, [F.bit_count(F.col(x.format(word)).bitwiseXOR(F.col(y.format(word))))
+                                   for word in WORDS])
+
+
+def seats(classes: DataFrame) -> DataFrame:
+    """order, token, node, n, aside: a row per node and order in which others have its least token too.
+
+    ``aside``: in how many slots the node's parity differs from the middle of all these nodes. The middle of
+    a large group is that of the middles of its parts.
+    """
+    group = ["order", "token"]
+    rows = classes.select("node", "n", *parity_words(), F.posexplode("least").alias("order", "token"))
+    many = rows.groupBy(*group).agg(F.count("*").alias("_many")).where("_many > 1")
+    rows = stored(rows.join(many, group).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / CROWD))).drop("_many"))
+    middle = middles(middles(rows, [*group, "part"]), group)
+    middle = middle.select(*group, *[F.col(word).alias(f"middle_{word}") for word in WORDS])
+    return stored(rows.join(middle, group).select(
+        *group, "node", "n", differing("{}", "middle_{}").alias("aside")))
+
+
+def hub_pairs(seated: DataFrame, percent: int) -> DataFrame:
     """Each node with the most central one that has the same least token, under each order."""
-    rows = classes.select("node", "n", "private", F.posexplode("least").alias("order", "token"))
-    hubs = rows.groupBy("order", "token").agg(
-        F.min(F.struct("private", "node", "n")).alias("_hub"), F.min("node").alias("_first"),
-        F.max("node").alias("_last")).where("_first != _last").select(
+    hubs = seated.groupBy("order", "token").agg(F.min(F.struct("aside", "node", "n")).alias("_hub")).select(
         "order", "token", F.col("_hub.node").alias("hub"), F.col("_hub.n").alias("hub_n"))
-    return (rows.join(hubs, ["order", "token"])
+    return (seated.join(hubs, ["order", "token"])
             .where((F.col("node") != F.col("hub"))
                    & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
             .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
@@ -426,7 +471,7 @@ def mixed_rows(placed: DataFrame) -> DataFrame:
     ``most`` is the component with the most rows of the token, ``leader`` its most central node there.
     """
     groups = placed.groupBy("token", "comp").agg(
-        F.count("*").alias("m"), F.min(F.struct("private", "node", "n")).alias("leader"))
+        F.count("*").alias("m"), F.min(F.struct("aside", "node", "n")).alias("leader"))
     most = groups.groupBy("token").agg(
         F.max(F.struct("m", "comp", "leader")).alias("_most"), F.count("*").alias("comps")).where(
         "comps > 1").select("token", F.col("_most.comp").alias("most"),
@@ -454,13 +499,11 @@ def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
                          *[F.col(c).alias(f"{c}_b") for c in PLACE[1:]])
     shared = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     first = shared - F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100") + 1
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"parity_{k}_a").bitwiseXOR(F.col(f"parity_{k}_b")))
-                                     for k in range(PARITY)])
     return (other.join(every, "token")
             .where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
                    & (F.least("n_a", "n_b") >= shared)
                    & (F.least("before_a", "before_b") + 1 + F.least("behind_a", "behind_b") >= shared)
-                   & (differ <= F.col("n_a") + F.col("n_b") - 2 * shared))
+                   & (differing("{}_a", "{}_b") <= F.col("n_a") + F.col("n_b") - 2 * shared))
             .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
             .agg(F.count("*").alias("_m"), F.max(first).alias("_needed"))
             .where("_m >= _needed").select("a", "b"))
@@ -486,11 +529,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     bloom = share(bloom_of(token_counts(docs, common, n, percent, 1).select("token")))
     rows = stored(survey(docs, common, bloom, n, percent))
     classes = stored(rows.where("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.min("n").alias("n"), F.min("private").alias("private"),
+        F.min("key").alias("key"), F.min("n").alias("n"),
         *[F.first(c, True).alias(c) for c in ("least", "sketch", "first", "at", "parity")]))
-    near = verified(hub_pairs(classes, percent), docs, classes, n, percent)
+    seated = seats(classes)
+    near = verified(hub_pairs(seated, percent), docs, classes, n, percent)
     merged = components(near)
-    tied = classes.select("node", "n", "private", "first", "at", "parity")
+    tied = (classes.select("node", "n", "first", "at", "parity")
+            .join(seated.groupBy("node").agg(F.min("aside").alias("aside")), "node", "left"))
     mixed = mixed_rows(prefix_rows(stored(with_components(tied, merged))))
     near = near.union(verified(leader_pairs(mixed, percent), docs, classes, n, percent))
     merged = components(near)

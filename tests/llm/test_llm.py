@@ -600,6 +600,37 @@ def test_sketches_lose_no_similar_sets():
     assert dropped > 30
 
 
+def test_near_copies_are_tied_to_their_original_before_the_join(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = [(70, " ".join(base))]
+    for k in range(70):  # two copies of two edits each differ too much from each other
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 145), 2, replace=False):
+            copy[at] = f"edit{k}-{at}"
+        rows.append((k, " ".join(copy)))
+    left, pairs = [], ngram_join.cross_pairs
+    monkeypatch.setattr(ngram_join, "cross_pairs", lambda mixed, percent: left.append(
+        mixed.count()) or pairs(mixed, percent))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {0}
+    assert left == [0]
+
+
+def test_middle_is_what_most_rows_have(spark):
+    rng = np.random.default_rng(43)
+    words = [rng.integers(-(1 << 63), 1 << 63, (n, ngram_join.PARITY)) for n in (1, 2, 3, 40, 501)]
+    words.append(np.full((ngram_join.CROWD * 2 - 1, ngram_join.PARITY), -1))
+    rows = [(k, *map(int, row)) for k, group in enumerate(words) for row in group]
+    schema = "g int, " + ", ".join(f"{w} long" for w in ngram_join.WORDS)
+    got = {r[0]: np.array(r[1:]) for r in ngram_join.middles(
+        spark.createDataFrame(rows, schema), ["g"]).collect()}
+    for k, group in enumerate(words):
+        bits = np.unpackbits(group.view(np.uint8), axis=1)
+        want = np.packbits(2 * bits.sum(0, dtype=int) > len(group)).view(np.int64)
+        assert (got[k] == want).all()
+
+
 def test_filter_finds_what_all_slots_hold():
     rng = np.random.default_rng(7)
     bits = np.packbits(rng.random(1 << ngram_join.BLOOM_BITS) < 0.4)
