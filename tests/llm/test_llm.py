@@ -723,6 +723,34 @@ def test_word_probabilities_add_up():
     assert known + (outcome * model.unknown())[1:].sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_chances_are_computed_once_for_equal_contexts(monkeypatch):
+    rng = np.random.default_rng(47)
+    n, classes = 30, lm.CLASSES
+    total, shape, slot = rng.integers(0, 900, n), rng.integers(0, lm.SHAPES, n), rng.integers(0, lm.OWN, n)
+    model = lm.Model(300, 1 + lm.OWN + rng.integers(0, lm.SHARED, lm.SHAPES), rng.integers(0, lm.GROUPS, classes + 1),
+                     np.full(classes, 99.0), np.full(classes, 3), rng.uniform(0.1, 0.9, classes),
+                     rng.uniform(1, 50, (classes, lm.CELLS)),
+                     rng.normal(size=(lm.HISTORIES, classes)).astype(np.float32),
+                     rng.normal(size=(lm.WORD_SLOTS, classes)).astype(np.float32),
+                     rng.normal(size=(lm.WORD_SLOTS, lm.CELLS)).astype(np.float32), int(total.sum()), n)
+    text = np.append(rng.integers(1, n, 39), 0)
+    text[5] = text[4]
+    block = lm.Block([], np.zeros(200, bool), np.full(200, 40), np.tile(text, 200).astype("<u4"), total, None,
+                     shape, slot)
+    kind, same, history = lm.histories(model, block)
+    slots, cell, unknown = lm.word_features(model, block), lm.cells(shape, slot)[block.tokens], model.unknown()
+    outer, every = lm.class_chances(model, history, slots), np.arange(len(kind))
+    inner = lm.cell_chances(model, kind, slots)[every, cell]
+    seen = total[block.tokens]
+    share = (seen - model.discount[kind]) / model.mass[kind, cell]
+    want = (outer[every, kind] * np.where(seen > 0, (1 - unknown[kind]) * share * inner, unknown[kind])
+            + np.where(same, outer[:, lm.REPEAT], 0))
+    rows, chances = [], lm.chances
+    monkeypatch.setattr(lm, "chances", lambda scores, *other: rows.append(len(scores)) or chances(scores, *other))
+    assert np.allclose(lm.token_chances(model, block), want, rtol=1e-6)
+    assert 0 < sum(rows) <= 80  # 8,000 tokens
+
+
 def test_language_model_sees_which_words_stand_together(spark):
     rng = np.random.default_rng(29)  # all words of one shape, none frequent: one class
     pairs = [(f"th{a}ing", f"th{a + 400}ing") for a in range(400)]
