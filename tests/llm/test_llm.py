@@ -603,8 +603,8 @@ def test_sketches_lose_no_similar_sets():
 def test_near_copies_are_tied_to_their_original_before_the_join(spark, monkeypatch):
     rng = np.random.default_rng(41)
     base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
-    rows = [(70, " ".join(base))]
-    for k in range(70):  # two copies of two edits each differ too much from each other
+    rows = [(400, " ".join(base))]
+    for k in range(400):  # two copies of two edits each differ too much from each other
         copy = list(base)
         for at in rng.choice(np.arange(5, 145), 2, replace=False):
             copy[at] = f"edit{k}-{at}"
