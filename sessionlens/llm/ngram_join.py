@@ -9,9 +9,10 @@ several orders; only then are the sets compared.
   orders, which never costs a link. The pairs come from an equi-join on the first tokens of the
   first order. Tokens that one document alone has there cannot join; a second Bloom filter keeps
   nearly all of them out of the shuffle.
-* A pair's common first tokens are counted by the aggregate that makes pairs distinct; a common token
-  whose places in both sets leave too few tokens before and behind it makes no row at all, nor do
-  sets whose parities over 256 slots show that they differ too much.
+* Two sets need to meet only in the first token, in the first order, that both have. A common token makes no
+  row when one of the two tokens before it is common too, or when it leaves too few tokens behind it, nor do
+  sets whose parities over 512 slots show that they differ too much. A token that all its sets have after the
+  same other one makes no row at all.
 * The other orders are checked on sketches, before any set is moved: a sketch holds the first tokens
   under each of them, cut to 16 bits, and how many tokens the set has in each share of the hash space.
   Either can only make two sets look more alike than they are.
@@ -52,9 +53,12 @@ BLOOM_SEGMENTS = 256
 BLOOM_SALTS = (101, 102, 103)
 MAX_BROADCAST_KEYS = 1_000_000
 BATCH_TOKENS = 1 << 21
-PARITY = 4  # longs
+PARITY = 4  # longs, for a group's middle
 WORDS = [f"parity_{k}" for k in range(PARITY)]
-PLACE = ["token", "node", "n", "aside", "before", "behind", *WORDS]
+FINE = 2 * PARITY  # longs, for a pair
+FINE_WORDS = [f"fine_{k}" for k in range(FINE)]
+RECENT = ["prev", "prev2"]
+PLACE = ["token", "node", "n", "aside", *RECENT, "behind", *FINE_WORDS]
 CROWD = 8192  # nodes counted at once for a middle
 
 
@@ -182,11 +186,11 @@ SURVEY_SQL = ("key long, text_hash long, n long, node binary, least array<long>,
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Whether an odd number of tokens falls to each of 256 slots, as four longs.
+    """Whether an odd number of tokens falls to each of 512 slots, as eight longs.
 
     Each token that only one of two sets has changes one slot: no more slots can differ than tokens do.
     """
-    slots = np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+    slots = np.bincount((tokens & np.uint64(64 * FINE - 1)).astype(np.int64), minlength=64 * FINE)
     return np.packbits((slots & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -303,12 +307,17 @@ def bloom_of(tokens: DataFrame) -> np.ndarray:
 def prefix_rows(classes: DataFrame) -> DataFrame:
     """The columns PLACE and comp: a row per node and first token that another set may have among its own.
 
-    ``before``: how many of the others come before this one; ``behind``: how many tokens of the whole set
-    come after it.
+    ``prev`` and ``prev2``: the two of these before it; ``behind``: how many tokens of the whole set come
+    after it.
     """
-    return (classes.select("node", "n", "aside", *parity_words(), "comp",
-                           F.posexplode(F.arrays_zip("first", "at")).alias("before", "_first"))
-            .withColumns({"token": F.col("_first.first"), "behind": F.col("n") - 1 - F.col("_first.at")})
+    none = F.lit(None).cast("long")
+    return (classes.withColumns({"prev": F.concat(F.array(none), "first"),
+                                 "prev2": F.concat(F.array(none, none), "first")})
+            .select("node", "n", "aside", *[F.col("parity")[k].alias(w) for k, w in enumerate(FINE_WORDS)], "comp",
+                    F.explode(F.arrays_zip("first", "at", *RECENT)).alias("_first"))
+            .where("_first.first is not null")
+            .withColumns({"token": F.col("_first.first"), "behind": F.col("n") - 1 - F.col("_first.at"),
+                          **{c: F.col(f"_first.{c}") for c in RECENT}})
             .select(*PLACE, "comp"))
 
 
@@ -344,14 +353,15 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                              for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield batch_of(schema, [batch.column(0).filter(keep), batch.column(1).filter(keep)])
 
-    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    left = asked.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = asked.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
                .mapInArrow(run, "a binary, b binary"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that share enough first tokens under every order and are similar enough."""
+    """The pairs (a, b) that share enough first tokens under the other orders and are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"a": pa.binary(), "b": pa.binary()}
@@ -364,7 +374,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
                     linked.append((a.as_py(), b.as_py()))
             yield batch_of(schema, [[p[0] for p in linked], [p[1] for p in linked]])
 
-    pairs = possible(pairs, classes, percent)
+    pairs = possible(cut(pairs), classes, percent)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = cut(classes.join(wanted, "node").select("key").distinct())
     sets = stored(sets_of(docs, keys, n).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
@@ -404,7 +414,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def parity_words() -> list[Column]:
-    return [F.col("parity")[k].alias(word) for k, word in enumerate(WORDS)]
+    """The parities over 256 slots: two of the 512 fall together."""
+    return [F.col("parity")[k].bitwiseXOR(F.col("parity")[k + PARITY]).alias(word) for k, word in enumerate(WORDS)]
 
 
 def middles(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -427,10 +438,10 @@ def middles(rows: DataFrame, by: list[str]) -> DataFrame:
     return counts.select(*by, *[most(word).alias(word) for word in WORDS])
 
 
-def differing(x: str, y: str) -> Column:
-    """In how many slots the parities of two prefixed rows differ."""
+def differing(x: str, y: str, words: list[str]) -> Column:
+    """In how many slots the parities of two rows differ, whose columns are named after ``words``."""
     return reduce(Column.__add__, [F.bit_count(F.col(x.format(word)).bitwiseXOR(F.col(y.format(word))))
-                                   for word in WORDS])
+                                   for word in words])
 
 
 def seats(classes: DataFrame) -> DataFrame:
@@ -447,7 +458,7 @@ def seats(classes: DataFrame) -> DataFrame:
     middle = middles(middles(rows, [*group, "part"]), group)
     middle = middle.select(*group, *[F.col(word).alias(f"middle_{word}") for word in WORDS])
     return stored(rows.join(middle, group).select(
-        *group, "node", "n", differing("{}", "middle_{}").alias("aside")))
+        *group, "node", "n", differing("{}", "middle_{}", WORDS).alias("aside")))
 
 
 def hub_pairs(seated: DataFrame, percent: int) -> DataFrame:
@@ -468,13 +479,16 @@ def with_components(rows: DataFrame, merged: DataFrame) -> DataFrame:
 def mixed_rows(placed: DataFrame) -> DataFrame:
     """The rows of tokens that nodes of several components have, with comp, most and leader.
 
-    ``most`` is the component with the most rows of the token, ``leader`` its most central node there.
+    ``most`` is the component with the most rows of the token, ``leader`` its most central node there. A token
+    that all nodes have after the same other one is no pair's first common one and is left out.
     """
     groups = placed.groupBy("token", "comp").agg(
-        F.count("*").alias("m"), F.min(F.struct("aside", "node", "n")).alias("leader"))
+        F.count("*").alias("m"), F.min(F.struct("aside", "node", "n")).alias("leader"),
+        F.count("prev").alias("after"), F.min("prev").alias("low"), F.max("prev").alias("high"))
     most = groups.groupBy("token").agg(
-        F.max(F.struct("m", "comp", "leader")).alias("_most"), F.count("*").alias("comps")).where(
-        "comps > 1").select("token", F.col("_most.comp").alias("most"),
+        F.max(F.struct("m", "comp", "leader")).alias("_most"), F.count("*").alias("comps"),
+        F.sum("m").alias("rows"), F.sum("after").alias("after"), F.min("low").alias("low"),
+        F.max("high").alias("high")).where("comps > 1 and (after < rows or low < high)").select("token", F.col("_most.comp").alias("most"),
                             F.col("_most.leader.node").alias("leader"), F.col("_most.leader.n").alias("leader_n"))
     return stored(placed.join(most, "token"))
 
@@ -486,27 +500,31 @@ def leader_pairs(mixed: DataFrame, percent: int) -> DataFrame:
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
 
 
-def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components with as many first tokens in common as ``needed``.
+def meetings(mixed: DataFrame, percent: int) -> DataFrame:
+    """a, b, in order: nodes of different components that may link, once or more for each pair.
 
-    A row per pair and common token: within a token two nodes meet once. A row whose token leaves too
-    few tokens to share before and behind it belongs to no link, nor does any row of that pair. Sets whose
-    parities differ in more slots than similar sets of their sizes can differ in tokens make no row.
+    A pair that links meets in the first token that both have: nothing before that is common, and all else that
+    they share comes behind it in both sets. Other common tokens make a row only where neither of the two tokens
+    before is common. Sets whose parities differ in more slots than similar sets of their sizes can differ in
+    tokens make no row.
     """
     other = mixed.where("comp != most").select(
         "token", F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}_a") for c in PLACE[1:]])
     every = mixed.select("token", F.col("comp").alias("cb"), (F.col("comp") == F.col("most")).alias("main"),
                          *[F.col(c).alias(f"{c}_b") for c in PLACE[1:]])
     shared = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    first = shared - F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100") + 1
+    later = reduce(Column.__or__, [F.coalesce(F.col(f"{x}_a") == F.col(f"{y}_b"), F.lit(False))
+                                   for x in RECENT for y in RECENT])
     return (other.join(every, "token")
             .where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
-                   & (F.least("n_a", "n_b") >= shared)
-                   & (F.least("before_a", "before_b") + 1 + F.least("behind_a", "behind_b") >= shared)
-                   & (differing("{}_a", "{}_b") <= F.col("n_a") + F.col("n_b") - 2 * shared))
-            .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-            .agg(F.count("*").alias("_m"), F.max(first).alias("_needed"))
-            .where("_m >= _needed").select("a", "b"))
+                   & (F.least("n_a", "n_b") >= shared) & (F.least("behind_a", "behind_b") >= shared - 1) & ~later
+                   & (differing("{}_a", "{}_b", FINE_WORDS) <= F.col("n_a") + F.col("n_b") - 2 * shared))
+            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
+def cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that may link."""
+    return meetings(mixed, percent).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE,

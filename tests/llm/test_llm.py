@@ -600,6 +600,60 @@ def test_sketches_lose_no_similar_sets():
     assert dropped > 30
 
 
+def test_sets_meet_in_the_first_token_they_share():
+    """Whatever else the join drops, similar sets have one common token that it keeps."""
+    rng = np.random.default_rng(53)
+    similar = 0
+    for trial in range(300):
+        size, percent = int(rng.integers(1, 300)), (85, 80)[trial % 2]
+        base = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        own = rng.integers(0, 1 << 63, (2, size), np.uint64)
+        share = rng.random(2) * 0.1
+        x, y = (np.unique(np.where(rng.random(len(base)) < s, o[:len(base)], base))
+                for s, o in zip(share, own, strict=True))
+        y = y[:max(1, int(len(y) * (0.95 + 0.05 * rng.random())))]
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        similar += 1
+        shared, _ = ngram_join.needed(len(x), len(y), percent)
+        p, q = (s[ngram_join.prefix(s, None, 1, percent)].tolist() for s in (x, y))
+        kept = [t for t in set(p) & set(q)
+                if not {*p[max(0, p.index(t) - 2):p.index(t)]} & {*q[max(0, q.index(t) - 2):q.index(t)]}
+                and min(len(x) - p.index(t), len(y) - q.index(t)) >= shared]
+        assert kept
+    assert similar > 100
+
+
+def test_join_rows_follow_pairs_and_not_the_tokens_they_share(spark, monkeypatch):
+    """Two sets that just fail to link share most of their first tokens; they meet in few of them."""
+    rng = np.random.default_rng(47)
+    rows, both = [], 0
+    for k in range(40):
+        base = [f"w{k}-{x}" for x in range(300)]
+        copy = list(base)
+        for at in range(10, 290, 35):
+            copy[at + int(rng.integers(20))] = f"edit{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        x, y = ngram_join.shingle_sets(pa.array([r[1] for r in rows[-2:]]), ngram_join.SHINGLE)
+        both += len(np.intersect1d(*[s[ngram_join.prefix(s, None, 1, ngram_join.PERCENT)] for s in (x, y)]))
+    rows.append((100, rows[7][1] + " more"))
+    placed, met, pairs = [], [], ngram_join.cross_pairs
+
+    def counted(mixed, percent):
+        placed.append(mixed.count())
+        if hasattr(ngram_join, "meetings"):
+            met.append(ngram_join.meetings(mixed, percent).count())
+        return pairs(mixed, percent)
+
+    monkeypatch.setattr(ngram_join, "cross_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    assert placed[0] < 0.4 * 2 * both
+    assert met[0] <= 2 * 41
+
+
 def test_near_copies_are_tied_to_their_original_before_the_join(spark, monkeypatch):
     rng = np.random.default_rng(41)
     base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
